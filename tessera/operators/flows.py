@@ -106,27 +106,35 @@ def burst_table(packets: DataFrame, key: str, index: str, time: str, length: str
         (F.sum("packets") / F.count(F.lit(1))).alias("packets_per_group"))
 
 
+def _windows(n: int, k: int) -> list[range]:
+    return [range(i, i + k) for i in range(n - k + 1)]
+
+
+def _all(conds: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conds)
+
+
+def _any(conds: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conds)
+
+
 def longest_run(conds: Sequence[Column]) -> Column:
-    """Length of the longest stretch of true values."""
-    best: Column = F.lit(0.0)
-    run: Column = F.lit(0.0)
-    for c in conds:
-        run = F.when(c, run + 1).otherwise(0.0)
-        best = F.greatest(best, run)
-    return best
+    """Length of the longest stretch of true values: the widest window that is true throughout."""
+    n = len(conds)
+    out = F
+    for k in range(n, 0, -1):
+        out = out.when(_any([_all([conds[i] for i in w]) for w in _windows(n, k)]), F.lit(float(k)))
+    return out.otherwise(F.lit(0.0))
 
 
-def longest_monotone(steps: Sequence[Column]) -> Column:
+def longest_monotone(signs: Sequence[Column]) -> Column:
     """Longest run of steps with one non-zero sign; a zero step counts as a run of one."""
-    best: Column = F.lit(0.0)
-    run: Column = F.lit(0.0)
-    prev: Column = F.lit(0.0)
-    for d in steps:
-        s = F.signum(d)
-        run = F.when((s != 0) & (s == prev), run + 1).otherwise(F.lit(1.0))
-        prev = s
-        best = F.greatest(best, run)
-    return best
+    n = len(signs)
+    out = F
+    for k in range(n, 1, -1):
+        same = [_all([signs[w[0]] != 0] + [signs[i] == signs[w[0]] for i in w[1:]]) for w in _windows(n, k)]
+        out = out.when(_any(same), F.lit(float(k)))
+    return out.otherwise(F.lit(1.0))
 
 
 # ---- feature blocks --------------------------------------------------------------------------
@@ -175,8 +183,7 @@ def shape_block(df: DataFrame) -> DataFrame:
         cols |= {f"len_step_{i + 1}": s, f"len_step_sign_{i + 1}": F.signum(s)}
     cols |= {"len_n_increase": V.count_true([s > 0 for s in steps]),
              "len_n_decrease": V.count_true([s < 0 for s in steps]),
-             "len_n_equal_step": V.count_true([s == 0 for s in steps]),
-             "len_longest_monotone": longest_monotone(steps)}
+             "len_n_equal_step": V.count_true([s == 0 for s in steps])}
     top = F.greatest(*x)
     for i in range(N_PACKETS):
         cols |= {f"len_over_first_{i}": x[i] / (x[0] + V.EPS), f"len_over_max_{i}": x[i] / (top + V.EPS)}
@@ -184,7 +191,8 @@ def shape_block(df: DataFrame) -> DataFrame:
     running = [reduce(lambda a, b: a + b, x[:i + 1]) for i in range(N_PACKETS)]
     slope_b, r2_b = V.linear_fit(times(), running)
     cols |= {"len_trend_slope": slope, "len_trend_r2": r2, "bytes_time_slope": slope_b, "bytes_time_r2": r2_b}
-    return df.withColumns(cols)
+    df = df.withColumns(cols)
+    return df.withColumn("len_longest_monotone", longest_monotone([F.col(f"len_step_sign_{i}") for i in range(1, N_PACKETS)]))
 
 
 def protocol_block(df: DataFrame) -> DataFrame:
@@ -210,27 +218,30 @@ def protocol_block(df: DataFrame) -> DataFrame:
 
 
 def burst_block(df: DataFrame, thresholds: Sequence[float] = BURST_GAPS) -> DataFrame:
-    """Burst columns in row form; the group counters unroll over the four gaps."""
+    """Burst columns in row form.
+
+    The largest group is the heaviest window of packets joined by short gaps throughout: lengths are
+    not negative, so a window inside a group never outweighs the group.
+    """
     x, d = lens(), gaps()
+    n = len(d)
     for thr in thresholds:
         tag = f"{round(thr * 1e6)}us"
-        below = [g < thr for g in d]
-        pk, size = F.lit(1.0), x[0]
-        best_pk, best_size = pk, size
-        n: Column = F.lit(1.0)
-        gap_sum: Column = F.lit(0.0)
-        for i, b in enumerate(below):
-            pk = F.when(b, pk + 1).otherwise(F.lit(1.0))
-            size = F.when(b, size + x[i + 1]).otherwise(x[i + 1])
-            best_pk, best_size = F.greatest(best_pk, pk), F.greatest(best_size, size)
-            n = n + F.when(b, 0.0).otherwise(1.0)
-            gap_sum = gap_sum + F.when(b, F.lit(0.0)).otherwise(d[i])
+        df = df.withColumns({f"__b{i}": g < thr for i, g in enumerate(d)})
+        below = [F.col(f"__b{i}") for i in range(n)]
+        joined = [F.when(_all([below[i] for i in range(a, b)]), V.total(x[a:b + 1]))
+                  for a in range(N_PACKETS) for b in range(a + 1, N_PACKETS)]
+        splits = V.count_true([~b for b in below])
+        gap_sum = V.total([F.when(b, F.lit(0.0)).otherwise(g) for b, g in zip(below, d)])
+        df = df.withColumns({
+            f"n_iat_below_{tag}": V.count_true(below), f"longest_burst_{tag}": longest_run(below) + 1,
+            f"n_groups_{tag}": splits + 1, f"group_max_bytes_{tag}": F.greatest(*x, *joined), "__gap_sum": gap_sum})
+        groups = F.col(f"n_groups_{tag}")
         df = df.withColumns({
-            f"n_iat_below_{tag}": V.count_true(below), f"frac_iat_below_{tag}": V.count_true(below) / len(d),
-            f"longest_burst_{tag}": longest_run(below) + 1, f"n_groups_{tag}": n,
-            f"group_max_packets_{tag}": best_pk, f"group_max_bytes_{tag}": best_size,
-            f"group_gap_mean_{tag}": F.when(n > 1, gap_sum / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0),
-            f"packets_per_group_{tag}": N_PACKETS / n})
+            f"frac_iat_below_{tag}": F.col(f"n_iat_below_{tag}") / n, f"group_max_packets_{tag}": F.col(f"longest_burst_{tag}"),
+            f"group_gap_mean_{tag}": F.when(groups > 1, F.col("__gap_sum") / F.greatest(groups - 1, F.lit(1.0))).otherwise(0.0),
+            f"packets_per_group_{tag}": N_PACKETS / groups})
+        df = df.drop("__gap_sum", *[f"__b{i}" for i in range(n)])
     return df
 
 

@@ -92,7 +92,7 @@ def _(t):
 r as (select flow_id, us, list_transform({LIST_G}, lambda x: case when x < threshold then '1' else '0' end) as m from f_flow, th),
 b as (select flow_id, us, 1 + list_max(list_transform(string_split(array_to_string(m,''), '0'), lambda s: length(s))) as v from r),
 st as (select flow_id, [sign(packet_length_1-packet_length_0), sign(packet_length_2-packet_length_1), sign(packet_length_3-packet_length_2), sign(packet_length_4-packet_length_3)] as s from f_flow),
-mono as (select flow_id, list_max(list_transform([[1,1],[1,2],[1,3],[1,4],[2,2],[2,3],[2,4],[3,3],[3,4],[4,4]], w ->
+mono as (select flow_id, list_max(list_transform([[1,1],[1,2],[1,3],[1,4],[2,2],[2,3],[2,4],[3,3],[3,4],[4,4]], lambda w:
   case when w[1]=w[2] or (s[w[1]]<>0 and len(list_distinct(s[w[1]:w[2]]))=1) then w[2]-w[1]+1 else 0 end)) as mono from st)
 select flow_id, cast(mono as double) as len_longest_monotone, {", ".join(f"cast(max(case when us={u} then v end) as double) as longest_burst_{u}us" for u in (500,1000,5000,20000))}
 from b join mono using (flow_id) group by flow_id, mono""")
