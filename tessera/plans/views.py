@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -102,14 +102,13 @@ class Tables:
             for m, a, c, b in (("a", 7, 13, 11), ("b", 5, 11, 9), ("c", 3, 19, 14))]))
         f = self.flow.select(F.col("flow_id").alias("row_id"), F.col("label_id").alias("y"), "fold",
                              models.alias("m"))
+        # one higher-order function over the class ids: the array stays opaque to expression folding
         weight = lambda k: (F.lit(1.0) + (F.col("row_id") * F.col("m.a") + F.col("m.c") * k) % 17
                             + F.when(F.col("y") == k, F.col("m.boost")).otherwise(0))
-        ws = [weight(k) for k in range(10)]
-        f = f.select("row_id", "y", "fold", F.col("m.model").alias("model"), F.array(*ws).alias("w"))
-        tot = reduce(lambda a, b: a + b, [F.element_at("w", k + 1) for k in range(10)])
-        f = f.withColumn("s", tot)
-        return f.select("row_id", "y", "fold", "model", F.array(*[
-            F.element_at("w", k + 1) / F.col("s") for k in range(10)]).alias("probs"))
+        f = f.select("row_id", "y", "fold", F.col("m.model").alias("model"),
+                     F.transform(F.sequence(F.lit(0), F.lit(9)), weight).alias("w"))
+        f = f.withColumn("s", F.aggregate("w", F.lit(0.0), lambda a, v: a + v))
+        return f.select("row_id", "y", "fold", "model", F.transform("w", lambda v: v / F.col("s")).alias("probs"))
 
     @cached_property
     def prob(self) -> DataFrame:

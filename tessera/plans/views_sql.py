@@ -59,6 +59,15 @@ from (select p.image_id, p.cand_id, p.source, p.score, g.box_id,
    greatest(least(p.x2,g.x2)-greatest(p.x1,g.x1),0)*greatest(least(p.y2,g.y2)-greatest(p.y1,g.y1),0) as inter,
    (p.x2-p.x1)*(p.y2-p.y1) as ap, (g.x2-g.x1)*(g.y2-g.y1) as ag
   from f_pred p join f_gt g on p.image_id=g.image_id) z where inter > 0"""),
+    "f_match": (["f_iou"], """
+select image_id, cand_id, score, hit is not null as tp from (
+with recursive ce as (select image_id, cand_id, list({'b': box_id, 'i': iou} order by iou desc, box_id) as el from f_iou where iou>=0.5 group by image_id, cand_id),
+c2 as (select p.image_id, p.cand_id, p.score, row_number() over (partition by p.image_id order by p.score desc, p.cand_id) as rk, coalesce(el, []) as el from f_pred p left join ce using (image_id, cand_id)),
+rec as (select distinct image_id, cast(0 as bigint) as rk, cast(null as bigint) as cand_id, cast(null as double) as score, cast(null as bigint) as hit, cast([] as bigint[]) as used from f_pred
+ union all
+ select image_id, rk, cand_id, score, hit, case when hit is null then used else list_append(used, hit) end from (
+  select r.image_id, c2.rk, c2.cand_id, c2.score, list_filter(c2.el, lambda s: not list_contains(r.used, s.b))[1].b as hit, r.used from rec r join c2 on c2.image_id=r.image_id and c2.rk=r.rk+1) z)
+select * from rec where rk>0) y"""),
     "f_raster": (["f_gt"], """
 select i.image_id, yy.v as y, xx.v as x, cast((xx.v*7+yy.v*11+i.image_id)%9 as double) as t_ink,
   cast((xx.v*7+yy.v*11+i.image_id)%9 as double) + case when (floor(xx.v/6)+floor(yy.v/5)+i.image_id)%7=0 then 40 else 0 end as p_ink
