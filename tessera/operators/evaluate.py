@@ -46,21 +46,17 @@ def prior_row(rows: DataFrame) -> DataFrame:
     return rows.agg(F.array(*[share(F.col("y") == k) for k in range(N_CLASSES)]).alias("prior"))
 
 
-def elements(col: str = "probs") -> list[Column]:
-    return [F.element_at(col, k + 1) for k in range(N_CLASSES)]
-
-
 def prior_correct(prob_rows: DataFrame, prior: Column) -> DataFrame:
     """Divide by the class prior and renormalise; a class without rows gets no weight."""
     d = prob_rows.withColumn("__prior", prior)
-    w = [F.coalesce(F.try_divide(p, q), F.lit(0.0)) for p, q in zip(elements("probs"), elements("__prior"))]
-    return normalise(d.withColumn("probs", F.array(*w)).drop("__prior"))
+    w = F.zip_with("probs", "__prior", lambda p, q: F.coalesce(F.try_divide(p, q), F.lit(0.0)))
+    return normalise(d.withColumn("probs", w).drop("__prior"))
 
 
 def normalise(prob_rows: DataFrame) -> DataFrame:
-    """Rows scaled to sum 1; plain element arithmetic, which stays in generated code."""
-    d = prob_rows.withColumn("__t", reduce(lambda a, b: a + b, elements()))
-    return d.withColumn("probs", F.array(*[p / F.col("__t") for p in elements()])).drop("__t")
+    """Rows scaled to sum 1."""
+    d = prob_rows.withColumn("__t", F.aggregate("probs", F.lit(0.0), lambda a, b: a + b))
+    return d.withColumn("probs", F.transform("probs", lambda p: p / F.col("__t"))).drop("__t")
 
 
 def defer_within_pair(prob_rows: DataFrame, margin: float, prior: Column) -> DataFrame:
@@ -265,7 +261,7 @@ def rank_average(prob: DataFrame) -> DataFrame:
 
 def temper(prob_rows: DataFrame, t: float | Column) -> DataFrame:
     t = F.lit(float(t)) if isinstance(t, (int, float)) else t
-    return normalise(prob_rows.withColumn("probs", F.array(*[F.pow(F.greatest(p, F.lit(EPS)), 1 / t) for p in elements()])))
+    return normalise(prob_rows.withColumn("probs", F.transform("probs", lambda p: F.pow(F.greatest(p, F.lit(EPS)), 1 / t))))
 
 
 def temperature_grid(lo: float = 0.4, hi: float = 4.0, n: int = 73) -> list[float]:
