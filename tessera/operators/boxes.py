@@ -358,27 +358,39 @@ def islands(df: DataFrame, cell: float = 16.0) -> DataFrame:
     return split(d, ["image_id", "slab"], "y1", "y2", "block")
 
 
-def _fuse(boxes: np.ndarray, scores: np.ndarray, iou_thr: float, n_sources: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Running weighted averages over boxes already in visiting order."""
-    fused, members = np.zeros((0, 4)), []
-    for i, b in enumerate(boxes):
-        j = -1
-        if len(fused):
-            wh = np.clip(np.minimum(b[2:], fused[:, 2:]) - np.maximum(b[:2], fused[:, :2]), 0, None)
-            inter = wh[:, 0] * wh[:, 1]
-            union = np.prod(b[2:] - b[:2]) + np.prod(fused[:, 2:] - fused[:, :2], axis=1) - inter
+def _fuse(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sources: int) -> list[tuple]:
+    """Running weighted averages over boxes in visiting order; a wide block is compared in one array step."""
+    fused: list[list[float]] = []
+    members: list[list[int]] = []
+    for i, (x1, y1, x2, y2) in enumerate(boxes):
+        best, j = 0.0, -1
+        if len(fused) > 64:
+            f = np.asarray(fused)
+            inter = np.clip(np.minimum(x2, f[:, 2]) - np.maximum(x1, f[:, 0]), 0, None) * np.clip(np.minimum(y2, f[:, 3]) - np.maximum(y1, f[:, 1]), 0, None)
+            union = (x2 - x1) * (y2 - y1) + (f[:, 2] - f[:, 0]) * (f[:, 3] - f[:, 1]) - inter
             iou = np.where(union > 0, inter / np.maximum(union, 1e-9), 0.0)
-            j = int(iou.argmax()) if iou.max() >= iou_thr else -1
-        if j < 0:
+            j = int(iou.argmax())
+            best = float(iou[j])
+        else:
+            for k, (a, b, c, d) in enumerate(fused):
+                w, h = min(x2, c) - max(x1, a), min(y2, d) - max(y1, b)
+                if w > 0 and h > 0:
+                    union = (x2 - x1) * (y2 - y1) + (c - a) * (d - b) - w * h
+                    v = w * h / max(union, 1e-9) if union > 0 else 0.0
+                    if v > best:
+                        best, j = v, k
+        if j < 0 or best < iou_thr:
             members.append([i])
-            fused = np.vstack([fused, b])
+            fused.append([x1, y1, x2, y2])
         else:
             members[j].append(i)
-            w = scores[members[j]]
-            fused[j] = (boxes[members[j]] * w[:, None]).sum(0) / w.sum()
-    sizes = np.array([len(m) for m in members])
-    mean = np.array([scores[m].mean() for m in members])
-    return fused, np.clip(mean * np.minimum(sizes, n_sources) / n_sources, 0, 1), sizes
+            total = sum(scores[m] for m in members[j])
+            fused[j] = [sum(boxes[m][c] * scores[m] for m in members[j]) / total for c in range(4)]
+    out = []
+    for f, m in zip(fused, members):
+        score = sum(scores[i] for i in m) / len(m) * min(len(m), n_sources) / n_sources
+        out.append((*f, min(max(score, 0.0), 1.0), len(m)))
+    return out
 
 
 def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFrame:
@@ -389,8 +401,9 @@ def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFram
     visit order, and many blocks run in one Arrow batch.
     """
     key = ["image_id", "slab", "block"]
-    cols = df.select("image_id", "cand_id", *[F.col(c).cast("double").alias(c) for c in GEO], "score")
-    placed = islands(cols)
+    # the candidates feed several steps: written once instead of being computed for each of them
+    cols = cut(df.select("image_id", "cand_id", *[F.col(c).cast("double").alias(c) for c in GEO], "score"))
+    placed = cut(islands(cols))
     alone = placed.join(placed.groupBy(*key).agg(n_rows("__n")), key)
     single = alone.filter("__n = 1").select(
         "image_id", *GEO, F.least(F.greatest(F.col("score") / n_sources, F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(1).cast("long").alias("members"))
@@ -411,17 +424,9 @@ def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFram
             yield fuse_blocks(rest, [0, len(rest)])
 
     def fuse_blocks(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        geo, sc, img = pdf[GEO].to_numpy(float), pdf["score"].to_numpy(float), pdf["image_id"].to_numpy()
-        parts, who = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            f, s, n = _fuse(geo[a:b], sc[a:b], iou_thr, n_sources)
-            parts.append(np.column_stack([f, s, n]))
-            who.append(np.full(len(f), img[a]))
-        m = np.vstack(parts)
-        out = pd.DataFrame(m[:, :5], columns=GEO + ["score"])
-        out.insert(0, "image_id", np.concatenate(who))
-        out["members"] = m[:, 5].astype(np.int64)
-        return out
+        geo, sc, img = pdf[GEO].to_numpy(float).tolist(), pdf["score"].tolist(), pdf["image_id"].tolist()
+        rows = [(img[a], *r) for a, b in zip(cuts, cuts[1:]) for r in _fuse(geo[a:b], sc[a:b], iou_thr, n_sources)]
+        return pd.DataFrame(rows, columns=["image_id", *GEO, "score", "members"])
 
     work = (alone.filter("__n > 1").select(*key, "cand_id", *GEO, "score").repartition(*key)
             .sortWithinPartitions(*key, F.desc("score"), "cand_id"))

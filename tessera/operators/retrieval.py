@@ -21,20 +21,24 @@ n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
 
 # ---- lexical ---------------------------------------------------------------------------------
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(corpus, term, doc_id, tf, dl): the term counts of a chunk are made inside its row, no shuffle."""
+def tokenised(chunks: DataFrame) -> DataFrame:
     t = chunks.select("corpus", "doc_id", tokens(F.col("text")).alias("tk"))
-    t = t.select("corpus", "doc_id", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
-    return t.groupBy("corpus", "term", "doc_id").agg(n_rows("tf"), F.first("dl").alias("dl"))
+    return t.withColumn("dl", F.size("tk"))
+
 
+def postings(tok: DataFrame, terms: DataFrame) -> DataFrame:
+    """(corpus, term, doc_id, tf, dl) of the wanted terms; other tokens are dropped before the shuffle."""
+    t = tok.select("corpus", "doc_id", "dl", F.explode("tk").alias("term")).join(terms, "term", "left_semi")
+    return t.groupBy("corpus", "term", "doc_id").agg(n_rows("tf"), F.first("dl").alias("dl"))
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("corpus").agg(n_rows("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
 
+def term_weights(tok: DataFrame) -> DataFrame:
+    """Inverse document frequency per (corpus, term); negative values become a share of the mean one.
 
-def term_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """Inverse document frequency per (corpus, term); negative values become a share of the mean one."""
-    df = post.groupBy("corpus", "term").agg(n_rows("df"))
+    A chunk's distinct terms are found inside its row, so only partial counts are shuffled.
+    """
+    stats = tok.groupBy("corpus").agg(n_rows("n_docs"), F.avg("dl").alias("avgdl"))
+    df = tok.select("corpus", F.explode(F.array_distinct("tk")).alias("term")).groupBy("corpus", "term").agg(n_rows("df"))
     raw = df.join(stats, "corpus").withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("corpus").agg((F.avg("raw") * FLOOR).alias("floor"))
     return raw.join(mean, "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -43,15 +47,15 @@ def term_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
     """Score of every (query, corpus, chunk) pair that shares a term; a repeated query term counts again.
 
-    Postings are cut to query terms by a semi join before anything is multiplied.  A term's postings are
-    spread over ``salts`` parts and its queries copied to each part, so a frequent term is no hot key;
-    contributions are summed on the map side first.
+    Tokens are cut to query terms by a semi join before anything is counted or multiplied.  A term's
+    postings are spread over ``salts`` parts and its queries copied to each part, so a frequent term is
+    no hot key; contributions are summed on the map side first.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(n_rows("qtf"))
     terms = q.select("term").distinct()
-    post = postings(chunks)
-    w = term_weights(post, corpus_stats(chunks))
-    used = post.join(terms, "term", "left_semi").join(w.join(terms, "term", "left_semi"), ["corpus", "term"])
+    tok = tokenised(chunks)
+    w = term_weights(tok).join(terms, "term", "left_semi")
+    used = postings(tok, terms).join(w, ["corpus", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     used = used.select("corpus", "term", "doc_id", part.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))

@@ -143,3 +143,11 @@ def _(t):
 @register("j10_negative_pairs")
 def _(t):
     return X.negative_pairs(t.grouped.filter("split = 'train'"), "gkey", "flow_id", DENS)
+
+
+@register("j12_block_pair_means", "", """
+with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings)
+select a.label as block_a, b.label as block_b, count(*) as pairs, round(avg(list_dot_product(a.e,b.e)/((sqrt(list_dot_product(a.e,a.e))+1e-9)*(sqrt(list_dot_product(b.e,b.e))+1e-9))),6) as mean_cosine
+from v a join v b on (a.label=b.label and a.vec_id<b.vec_id) or a.label<b.label group by all""")
+def _(t):
+    return R6(X.block_pair_means(t.table("embeddings"), "label", "embedding", 64), "mean_cosine")

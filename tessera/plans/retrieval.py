@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tessera.operators import docs as D, retrieval as R
 from tessera.plans.registry import register
+from tessera.session import cut, spread
 
 R6 = lambda df, *cols: df.withColumns({x: F.round(F.col(x).cast("double"), 6) for x in cols})
 c = F.col
 
 
 def chunks(t):
-    return t.table("documents").select(c("lang").alias("corpus"), "doc_id", "text")
+    return spread(t.table("documents"), "doc_id").select(c("lang").alias("corpus"), "doc_id", "text")
 
 
 def queries(t):
@@ -110,19 +111,21 @@ def _(t):
 # ---- text retrieval with a known answer ------------------------------------------------------
 
 def scored(t):
-    """Candidates are the pairs that share a term; the second score is arithmetic on the ids."""
+    """Candidates are the pairs that share a term; the second score is arithmetic on the ids.
+
+    The table feeds several steps, so it is written once and its lineage cut.
+    """
     ch = chunks(t)
     s = R.bm25(ch, queries(t)).join(ch.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs")), "corpus")
     s = R.min_max(s, ["query_id", "corpus"], "score", "bm25_n", c("n_docs"))
-    return s.withColumn("dense_n", ((c("doc_id") * 37 + c("query_id") * 11) % 101) / 100.0)
+    return cut(s.withColumn("dense_n", ((c("doc_id") * 37 + c("query_id") * 11) % 101) / 100.0))
 
 
-def relevant(t):
+def relevant(t, pairs):
     """A chunk that contains the item text shares every query term, so only such pairs are compared."""
-    q = queries(t)
-    n = q.select("query_id", "item", F.size(F.array_distinct(D.tokens(c("text")))).alias("n_terms"))
-    pairs = R.bm25(chunks(t), q).join(n, "query_id").filter(c("matched_terms") == c("n_terms"))
-    return pairs.join(chunks(t), ["corpus", "doc_id"]).filter(F.contains("text", c("item"))).select("query_id", "corpus", "doc_id")
+    n = queries(t).select("query_id", "item", F.size(F.array_distinct(D.tokens(c("text")))).alias("n_terms"))
+    pairs = pairs.join(n, "query_id").filter(c("matched_terms") == c("n_terms"))
+    return cut(pairs.join(chunks(t), ["corpus", "doc_id"]).filter(F.contains("text", c("item"))).select("query_id", "corpus", "doc_id"))
 
 
 SC = BM + """, mm as (select query_id, corpus, min(score) as lo, max(score) as hi, count(*) as m from bm group by all), m2 as (select query_id, corpus, case when m<n then least(lo,0) else lo end as lo, case when m<n then greatest(hi,0) else hi end as hi from mm join st using (corpus)),
@@ -136,7 +139,8 @@ tk as (select alpha, query_id, corpus, doc_id, row_number() over (partition by a
 fr as (select alpha, query_id, corpus, min(rank) as fr from tk join rel using (query_id,corpus,doc_id) group by all), ask as (select distinct query_id, corpus, alpha from rel, al), k as (select unnest([3,5]) as k)
 select alpha, k, count(*) filter (fr<=k) as hits, count(*) as asked, round(count(*) filter (fr<=k)/count(*),6) as hit_rate from ask left join fr using (alpha,query_id,corpus), k group by alpha, k""")
 def _(t):
-    return R6(R.hit_rates(scored(t), relevant(t), AL), "hit_rate")
+    s = scored(t)
+    return R6(R.hit_rates(s, relevant(t, s), AL), "hit_rate")
 
 
 @register("a43_phrase_hits", "", SC + f""", tk as (select query_id, corpus, doc_id, row_number() over (partition by query_id, corpus order by round(0.25*dn+0.75*bn,9) desc, doc_id) as rank from sc qualify rank<=5),

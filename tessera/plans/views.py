@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators.flows import flow_key, group_key
 from tessera.operators.ordered import ordinal_in_slots
-from tessera.session import tune
+from tessera.session import spread, tune
 from tessera.vocabulary import LABELS, N_CHECKPOINTS
 
 HOUR_US = 3_600_000_000
@@ -223,7 +223,7 @@ class Tables:
     @cached_property
     def docs(self) -> DataFrame:
         c = F.col
-        d = self.table("documents").filter(~(c("source").isin("src7", "src17") & (c("doc_id") % 9 == 0)))
+        d = spread(self.table("documents"), "doc_id").filter(~(c("source").isin("src7", "src17") & (c("doc_id") % 9 == 0)))
         text = F.concat(c("text"), F.when(c("doc_id") % 6 == 0, " [DEFICIENCY - NOT DOCUMENTED]").otherwise(""),
                         F.when(c("doc_id") % 11 == 0, " records kept in Vietnamese").otherwise(""))
         return d.select("doc_id", c("source").alias("case_id"), "lang", (1 + c("doc_id") % 9).cast("int").alias("track"),
