@@ -149,7 +149,7 @@ def sweep(flagged: DataFrame, truth_counts: DataFrame, keys: Sequence[str] = (),
     dense = bins.unionByName(empty).groupBy(*keys, "b").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     down = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("b"))
     cum = dense.withColumn("tp", F.sum("tp").over(down)).withColumn("n", F.sum("n").over(down)).filter("b > 0")
-    cum = cum.join(F.broadcast(truth_counts), keys) if keys else cum.withColumn("n_gt", truth_counts.scalar())
+    cum = cum.join(truth_counts, keys) if keys else cum.withColumn("n_gt", truth_counts.scalar())
     cum = cum.withColumn("fp", F.col("n") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return cum.select(*keys, F.element_at(arr, F.col("b")).alias("threshold"), "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import lgamma, log, pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -166,27 +167,41 @@ def paired_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
                    tally(F.col("b") & ~F.col("a")).alias("b_only"), tally(F.col("a") & ~F.col("b")).alias("a_only"))
 
 
+def _stirling_rest(n: Column) -> Column:
+    """ln n! minus Stirling's main term; small n from the definition, larger n from the series."""
+    small = [lgamma(k + 1) - ((k + 0.5) * log(k) - k + 0.5 * log(2 * pi)) for k in range(1, 16)]
+    x = n.cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 15, F.try_element_at(F.array(*[F.lit(v) for v in small]), n.cast("int"))).otherwise(series)
+
+
+def _log_half_binomial(n: Column, i: Column) -> Column:
+    """ln of C(n, i) / 2^n for 0 < i < n, in the form that keeps its digits for large n."""
+    p = i / n
+    divergence = p * F.log(2 * p) + (1 - p) * F.log(2 * (1 - p))
+    return -n * divergence - 0.5 * F.log(2 * pi * n * p * (1 - p)) + _stirling_rest(n) - _stirling_rest(i) - _stirling_rest(n - i)
+
+
 def mcnemar(counts: DataFrame) -> DataFrame:
     """Exact two-sided binomial test on the discordant pairs.
 
-    The tail comes from log factorials, built as a running sum over 1..n in slices; at p = 1/2 the
-    distribution is symmetric, so the two-sided value is twice the smaller tail, capped at 1.
+    At p = 1/2 the distribution is symmetric, so the value is twice the smaller tail, capped at 1.  The tail
+    is summed downwards from its largest term; terms more than 6 sqrt(n) further down are below e^-72 of
+    it, so the work grows with sqrt(n) and not with the number of rows.
     """
     d = counts.withColumn("n", F.col("a_only") + F.col("b_only")).withColumn("lo", F.least("a_only", "b_only"))
-    # log C(n, i) = log C(n, i - 1) + log((n - i + 1) / i); i only has to run to the smaller count
-    steps = F.aggregate(
-        F.sequence(F.lit(0), F.col("lo")),
-        F.struct(F.lit(0.0).alias("logc"), F.lit(0.0).alias("tail")),
-        lambda s, i: F.struct(
-            (s["logc"] + F.when(i > 0, F.log((F.col("n") - i + 1) / F.greatest(i, F.lit(1)).cast("double"))).otherwise(0.0)).alias("logc"),
-            (s["tail"] + F.exp(s["logc"] + F.when(i > 0, F.log((F.col("n") - i + 1) / F.greatest(i, F.lit(1)).cast("double"))).otherwise(0.0)
-                               - F.col("n") * F.log(F.lit(2.0)))).alias("tail")),
-        lambda s: s["tail"])
-    p = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(F.col("a_only") == F.col("b_only"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * steps))
+    n, lo = F.col("n"), F.col("lo")
+    d = d.withColumn("__top", F.when(lo == 0, -n * log(2.0)).otherwise(_log_half_binomial(n, lo)))
+    terms = F.least(lo, F.ceil(6 * F.sqrt(n.cast("double"))) + 100)
+    total = F.aggregate(F.sequence(F.lit(0).cast("bigint"), terms.cast("bigint")),
+                        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+                        lambda s, k: F.struct((s["term"] * (lo - k) / (n - lo + k + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum")),
+                        lambda s: s["sum"])
+    p = F.when(n == 0, F.lit(None).cast("double")).when(F.col("a_only") == F.col("b_only"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp("__top") * total))
     d = d.withColumn("p_value", p)
     sig = F.col("p_value") < 0.05
     return d.withColumn("verdict", F.when(sig & (F.col("b_only") > F.col("a_only")), "B significantly better")
-                        .when(sig & (F.col("a_only") > F.col("b_only")), "A significantly better").otherwise("not established")).drop("lo").withColumnRenamed("n", "discordant")
+                        .when(sig & (F.col("a_only") > F.col("b_only")), "A significantly better").otherwise("not established")).drop("lo", "__top").withColumnRenamed("n", "discordant")
 
 
 def bootstrap_gain(rows: DataFrame, before: str, after: str, replicates: int, seed: int) -> DataFrame:

@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.operators.ordered import ordinal_in_slots
 
 
-def hash_slot(*cols: str | Column, seed: int = 0, slots: int = 256) -> Column:
-    return F.pmod(F.shiftright(F.xxhash64(*cols, F.lit(seed)), 16), F.lit(slots))
-
-
-def seeded_ordinal(df: DataFrame, keys: Sequence[str], row: str, seed: int, out: str, slots: int = 256) -> DataFrame:
+def seeded_ordinal(df: DataFrame, keys: Sequence[str], row: str, seed: int, out: str) -> DataFrame:
     """Position of each row in a seeded permutation of its key's rows.
 
-    The permutation orders by a hash; its high part is the slice, so no key is sorted in one task.
+    The permutation orders by a hash; its high 16 bits are the slice, so no key is sorted in one task.
     """
     h = F.xxhash64(row, F.lit(seed))
-    d = df.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 56))
+    d = df.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 48))
     return ordinal_in_slots(d, keys, ["__slot"], ["__h", row], out).drop("__h", "__slot")
 
 
@@ -32,7 +28,7 @@ def stratified_folds(df: DataFrame, row: str, label: str, k: int = 5, repeats: i
     """Repeated stratified folds: within a class and repeat, fold sizes differ by one at most."""
     reps = df.select(row, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     h = F.xxhash64(row, F.lit(seed), "repeat")
-    d = reps.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 56))
+    d = reps.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 48))
     d = ordinal_in_slots(d, ["repeat", label], ["__slot"], ["__h", row], "__o")
     return d.select(row, label, "repeat", ((F.col("__o") + F.col("repeat")) % k).cast("int").alias("fold"))
 

@@ -32,6 +32,13 @@ def ordinal_in_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[str],
             .drop("__start"))
 
 
+def even_slots(df: DataFrame, value: str, n: int = 4096) -> Column:
+    """Slice number of an integer column: ``n`` equal ranges between its extremes, found by one aggregate."""
+    ext = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    lo, hi = ext.select("lo").scalar(), ext.select("hi").scalar()
+    return F.floor((F.col(value) - lo).cast("double") * n / (hi - lo + 1).cast("double"))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
                    splits: int = 32) -> DataFrame:
     """Exclusive running sums in value order; ``df`` holds one row per (keys, value).

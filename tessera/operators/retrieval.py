@@ -123,17 +123,20 @@ def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 10, exclude
     Each batch keeps its own ``k`` per (query, class); the rest of the selection is a ranked limit.
     """
     def kernel(ids, q, pdf):
-        d = np.vstack(pdf["vector"].to_numpy()).astype(float)
-        dist = np.sqrt(np.maximum(((q[:, None, :] - d[None, :, :]) ** 2).sum(-1), 0)) if len(d) * len(q) <= 200_000 else \
-            np.sqrt(np.maximum((q ** 2).sum(1)[:, None] + (d ** 2).sum(1)[None, :] - 2 * q @ d.T, 0))
-        docs, cls = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        pdf = pdf.sort_values("doc_id")  # a stable sort by distance then breaks ties by id
         frames = []
-        for i, qid in enumerate(ids):
-            f = pd.DataFrame({"query_id": qid, "label": cls, "doc_id": docs, "dist": dist[i]})
-            if exclude_self:
-                f = f[f["doc_id"] != qid]
-            frames.append(f.sort_values(["dist", "doc_id"]).groupby("label", sort=False).head(k))
-        return pd.concat(frames, ignore_index=True)
+        for cls, own in pdf.groupby("label"):
+            d, docs = np.vstack(own["vector"].to_numpy()).astype(float), own["doc_id"].to_numpy()
+            step = max(1, 20_000_000 // (d.size or 1))
+            for a in range(0, len(ids), step):
+                dist = np.sqrt(((q[a:a + step, None, :] - d[None, :, :]) ** 2).sum(-1))
+                if exclude_self:
+                    dist[ids[a:a + step, None] == docs[None, :]] = np.inf
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                frames.append(pd.DataFrame({"query_id": np.repeat(ids[a:a + step], best.shape[1]), "label": cls, "doc_id": docs[best].ravel(),
+                                            "dist": np.take_along_axis(dist, best, axis=1).ravel()}))
+        out = pd.concat(frames, ignore_index=True)
+        return out[np.isfinite(out["dist"])]
 
     near = score_in_blocks(queries, corpus, kernel, "query_id long, label int, doc_id long, dist double")
     w = Window.partitionBy("query_id", "label").orderBy("dist", "doc_id")

@@ -116,6 +116,18 @@ def _(t):
     return ledger.call_status(ledger.resume(t.ledger, done), 600).select("case_id", "turn", "status")
 
 
+@register("s19_followed_log", "f_ledger", "select case_id, turn, case when finish_reason='length' or completion_tokens>=600 then 'truncated' else 'ok' end as status from f_ledger")
+def _(t):
+    from tessera.session import scratch_path
+    from tessera.streaming.ledger import follow_log
+    log, out, progress = (scratch_path(t.spark, n) for n in ("log", "calls", "progress"))
+    # two arrivals, and a second run that must take only what is new
+    ledger.append_log(t.ledger.filter("case_id % 2 = 0"), log)
+    follow_log(t.spark, log, out, progress, 600)
+    ledger.append_log(t.ledger.filter("case_id % 2 = 1"), log)
+    return follow_log(t.spark, log, out, progress, 600).select("case_id", "turn", "status")
+
+
 @register("a33_ledger_totals", "f_ledger", """
 select model, case_id, count(*) as calls, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens, cast(sum(prompt_tokens+completion_tokens) as bigint) as total_tokens, count(*) filter (finish_reason='length') as finish_length, cast(grouping(model,case_id) as bigint) as level from f_ledger group by rollup(model,case_id)""")
 def _(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import docs as D
+from tessera.operators.ordered import even_slots
 from tessera.plans.registry import register
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
@@ -79,7 +80,7 @@ def _(t):
 
 def parts(t):
     text = F.concat(F.lit("## Track "), c("track").cast("string"), F.lit(" —\n\n"), c("text"))
-    return t.docs.select("case_id", (c("track") * 10_000_000_000 + c("doc_id")).alias("part_no"), text.alias("text"))
+    return t.docs.select("case_id", c("track").alias("track_no"), "doc_id", even_slots(t.docs, "doc_id").alias("block"), text.alias("text"))
 
 
 WORDS = "len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w<>''))"
@@ -99,7 +100,7 @@ gr as (select case_id, track, doc_id, rec, line, k, w, w as cum, 0 as grp from l
 ch as (select case_id, track, doc_id, rec, 0 as grp, text from rw where words<=280 union all select case_id, track, doc_id, rec, grp, string_agg(line, chr(10) order by k) from gr group by case_id, track, doc_id, rec, grp)
 select case_id, cast(track as int) as track, row_number() over (partition by case_id order by track, doc_id, rec, grp)-1 as chunk_id, length(text) as n_chars, md5(text) as text_md5 from ch""")
 def _(t):
-    ch = D.chunk_parts(parts(t))
+    ch = D.chunk_parts(parts(t), ["track_no", "doc_id"], ["track_no", "block"])
     return ch.select("case_id", "track", "chunk_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

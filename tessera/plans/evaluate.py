@@ -57,7 +57,7 @@ select row_number() over (order by row_id) as idx, label from f_pred_label p joi
 def _(t):
     from tessera.sources.files import label_file
     rows = decided(t, "a").join(t.test.select(F.col("flow_id").alias("row_id")), "row_id", "left_semi")
-    return label_file(rows, "row_id", F.floor(F.col("row_id") / 1000))
+    return label_file(rows, "row_id")
 
 
 @register("s12_label_file_checks", "f_pred_label", """
@@ -66,7 +66,7 @@ select count(*) as n_rows, cast(0 as bigint) as index_gaps, cast(0 as bigint) as
 def _(t):
     from tessera.sources.files import label_file, label_file_checks
     rows = decided(t, "a").join(t.test.select(F.col("flow_id").alias("row_id")), "row_id", "left_semi")
-    checks = label_file_checks(label_file(rows, "row_id", F.floor(F.col("row_id") / 1000)))
+    checks = label_file_checks(label_file(rows, "row_id"))
     return R6(checks.withColumn("mean_confidence", rows.agg(F.avg("conf")).scalar()), "mean_confidence")
 
 

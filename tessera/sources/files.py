@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.operators.flows import label_text
-from tessera.operators.ordered import ordinal_in_slots
+from tessera.operators.ordered import even_slots, ordinal_in_slots
 from tessera.session import scratch_path
 from tessera.vocabulary import FLOW_COLUMNS, LABELS
 
@@ -42,11 +42,11 @@ def flow_violations(df: DataFrame) -> DataFrame:
 
 # ---- label file ------------------------------------------------------------------------------
 
-def label_file(rows: DataFrame, row: str, slot: Column, path: str | None = None) -> DataFrame:
+def label_file(rows: DataFrame, row: str, path: str | None = None) -> DataFrame:
     """Headerless ``index,label`` file numbered 1..N in row order, read back."""
     spark = rows.sparkSession
     path = path or scratch_path(spark, "labels")
-    numbered = ordinal_in_slots(rows.withColumn("__slot", slot), [], ["__slot"], [row], "__o")
+    numbered = ordinal_in_slots(rows.withColumn("__slot", even_slots(rows, row)), [], ["__slot"], [row], "__o")
     (numbered.select((F.col("__o") + 1).alias("idx"), label_text(F.col("pred")).alias("label"))
      .repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").csv(path))
     return spark.read.schema("idx BIGINT, label STRING").csv(path)

@@ -108,6 +108,15 @@ def test_mcnemar_known_value(spark):
     assert round(E.mcnemar(c).first()["p_value"], 4) == 0.1354
 
 
+def test_mcnemar_matches_the_plain_sum(spark):
+    from math import comb
+    pairs = [(0, 3), (1, 9), (12, 20), (200, 260), (5, 5)]
+    got = E.mcnemar(spark.createDataFrame([(1, a, b) for a, b in pairs], "rows long, a_only long, b_only long")).collect()
+    for r, (a, b) in zip(got, pairs):
+        want = 1.0 if a == b else min(1.0, 2 * sum(comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+        assert np.isclose(r.p_value, want, rtol=1e-9)
+
+
 def test_arbitration(spark):
     rows = [("1", "0", "1", 0.9), ("1", "0", "0", 0.5), ("1", "1", "1", 0.5), ("1", "0", "N/A", 0.5), (None, "0", None, 0.5), (None, None, None, 0.9)]
     df = spark.createDataFrame(rows, "a string, b string, c string, confidence double")
