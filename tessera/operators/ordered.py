@@ -12,9 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ONE = "__all"
-
-
 def ordinal_in_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[str],
                      order: Sequence[Column | str], out: str) -> DataFrame:
     """Zero-based row number per key.
@@ -46,15 +43,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequenc
     Adds ``<s>_below`` for every column in ``sums``: its total over smaller values of the same key.
     """
     keys, sums = list(keys), list(sums)
-    if not keys:
-        df, keys = df.withColumn(_ONE, F.lit(0)), [_ONE]
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
-    bounds = (df.select(*keys, value)
-              .withColumn("__r", F.row_number().over(by_hash)).filter(F.col("__r") <= splits)
-              .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__bounds")))
-    sliced = (df.join(bounds, keys)
-              .withColumn("__slice", F.size(F.filter("__bounds", lambda b: b <= F.col(value))))
-              .drop("__bounds"))
+    picked = F.sort_array(F.collect_list(value)).alias("__bounds")
+    if keys:
+        sample = df.select(*keys, value).withColumn("__r", F.row_number().over(by_hash)).filter(F.col("__r") <= splits)
+        sliced = df.join(sample.groupBy(*keys).agg(picked), keys)
+    else:
+        sample = df.select(value).orderBy(F.xxhash64(value), F.col(value)).limit(splits)
+        sliced = df.withColumn("__bounds", sample.agg(picked).scalar())
+    sliced = sliced.withColumn("__slice", F.size(F.filter("__bounds", lambda b: b <= F.col(value)))).drop("__bounds")
     totals = sliced.groupBy(*keys, "__slice").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "__slice", *[
@@ -64,7 +61,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequenc
     out = sliced.join(starts, keys + ["__slice"])
     for s in sums:
         out = out.withColumn(f"{s}_below", F.coalesce(F.sum(s).over(local), F.lit(0)) + F.col(f"__{s}_start"))
-    return out.drop("__slice", _ONE, *[f"__{s}_start" for s in sums])
+    return out.drop("__slice", *[f"__{s}_start" for s in sums])
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n") -> DataFrame:

@@ -260,58 +260,62 @@ def pure_keys(train: DataFrame, key: str, *extra: str) -> DataFrame:
             .withColumn("pure", F.col("lo") == F.col("hi")))
 
 
-def lookup_summary(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
-    """Key counts in train and how many test rows they match; both sides shrink to keys before the join."""
-    keys = pure_keys(train, key)
-    probe = test.groupBy(key).agg(n_rows())
-    hit = probe.join(keys, key, "left")
-    m = hit.agg(F.sum("n").alias("test_rows"), F.sum(F.when(F.col("pure").isNotNull(), F.col("n")).otherwise(0)).alias("test_rows_matched"),
-                F.sum(F.when(F.col("pure"), F.col("n")).otherwise(0)).alias("test_rows_matched_pure"))
-    k = keys.agg(n_rows("distinct_train_tuples"), tally(F.col("pure")).alias("pure_train_tuples"))
-    pick = lambda c: k.select(c).scalar()
-    return m.select(pick("distinct_train_tuples").alias("distinct_train_tuples"), pick("pure_train_tuples").alias("pure_train_tuples"),
-                    "test_rows_matched", "test_rows_matched_pure",
+def lookup_summary(train: DataFrame, test: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Key counts in train and how many test rows they match; both sides shrink to keys before the join.
+
+    ``by`` separates independent runs (such as tolerances), which then share one job.
+    """
+    by = list(by)
+    keys = pure_keys(train, key, *by)
+    probe = test.groupBy(*by, key).agg(n_rows())
+    # one row per key of either side
+    j = probe.join(keys, [*by, key], "full")
+    n, pure = F.coalesce("n", F.lit(0)), F.col("pure")
+    m = j.groupBy(*by).agg(tally(pure.isNotNull()).alias("distinct_train_tuples"), tally(pure).alias("pure_train_tuples"), F.sum(n).alias("test_rows"),
+                           F.sum(F.when(pure.isNotNull(), n).otherwise(0)).alias("test_rows_matched"), F.sum(F.when(pure, n).otherwise(0)).alias("test_rows_matched_pure"))
+    return m.select(*by, "distinct_train_tuples", "pure_train_tuples", "test_rows_matched", "test_rows_matched_pure",
                     (F.col("test_rows_matched") / F.col("test_rows")).alias("matched_share"),
                     (F.col("test_rows_matched_pure") / F.col("test_rows")).alias("matched_pure_share"))
 
 
-def fold_answers(train: DataFrame, key: str) -> DataFrame:
+def fold_answers(cells: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, fold, answer): the single class seen under the key in all *other* folds, if there is one.
 
-    No self join: with per-(key, fold, class) counts, a class is absent elsewhere exactly when its count
+    ``cells`` is (key, fold, label_id, n).  No self join: a class is absent elsewhere exactly when its count
     in the fold equals its count in the key, so the answer follows from small per-key sums.
     """
-    c = train.groupBy(key, "fold", "label_id").agg(n_rows("nf"))
-    per_class = c.groupBy(key, "label_id").agg(F.sum("nf").alias("nk"),
-                                              F.map_from_entries(F.collect_list(F.struct("fold", "nf"))).alias("by_fold"))
-    folds = c.select(key, "fold").distinct().groupBy(key).agg(F.collect_set("fold").alias("folds"))
-    rows = per_class.join(folds, key).withColumn("fold", F.explode("folds"))
-    elsewhere = F.col("nk") > F.coalesce(F.col("by_fold")[F.col("fold")], F.lit(0))
-    return (rows.filter(elsewhere).groupBy(key, "fold").agg(F.min("label_id").alias("answer"), n_rows("classes"))
-            .filter(F.col("classes") == 1).drop("classes"))
+    key = list(key)
+    c = cells.groupBy(*key, "fold", "label_id").agg(F.sum("n").alias("nf"))
+    # one row per key: at most classes x folds entries
+    per = c.groupBy(*key).agg(F.collect_list(F.struct("fold", "label_id", "nf")).alias("cells"), F.collect_set("fold").alias("folds"))
+    held = per.select(*key, "cells", F.explode("folds").alias("fold"))
+    seen = F.array_distinct(F.transform(F.filter("cells", lambda x: x["fold"] != F.col("fold")), lambda x: x["label_id"]))
+    return held.select(*key, "fold", seen.alias("seen")).filter(F.size("seen") == 1).select(*key, "fold", F.col("seen")[0].alias("answer"))
 
 
-def fold_lookup(train: DataFrame, key: str) -> DataFrame:
+def fold_lookup(train: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Coverage and accuracy when each fold looks its keys up in the other folds."""
-    per = train.groupBy(key, "fold", "label_id").agg(n_rows())
-    j = per.join(fold_answers(train, key), [key, "fold"], "left")
-    return (j.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("answer").isNotNull(), F.col("n")).otherwise(0)).alias("rows_with_lookup"),
-                  F.sum(F.when(F.col("answer") == F.col("label_id"), F.col("n")).otherwise(0)).alias("correct"))
-            .select("rows_with_lookup", (F.col("rows_with_lookup") / F.greatest("rows", F.lit(1))).alias("coverage"),
+    by = list(by)
+    per = train.groupBy(*by, key, "fold", "label_id").agg(n_rows())
+    j = per.join(fold_answers(per, [*by, key]), [*by, key, "fold"], "left")
+    return (j.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("answer").isNotNull(), F.col("n")).otherwise(0)).alias("rows_with_lookup"),
+                               F.sum(F.when(F.col("answer") == F.col("label_id"), F.col("n")).otherwise(0)).alias("correct"))
+            .select(*by, "rows_with_lookup", (F.col("rows_with_lookup") / F.greatest("rows", F.lit(1))).alias("coverage"),
                     (F.col("correct") / F.greatest("rows_with_lookup", F.lit(1))).alias("accuracy_when_available")))
 
 
-def lookup_override(train: DataFrame, key: str, model_pred: DataFrame) -> DataFrame:
+def lookup_override(train: DataFrame, key: str, model_pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Replace the model answer where a pure key exists; ``model_pred`` is (flow_id, pred)."""
-    rows = train.select("flow_id", key, "fold", "label_id").join(model_pred, "flow_id")
-    cell = rows.groupBy(key, "fold", "label_id", "pred").agg(n_rows())
-    j = cell.join(fold_answers(train, key), [key, "fold"], "left")
+    by = list(by)
+    rows = train.select("flow_id", *by, key, "fold", "label_id").join(model_pred, "flow_id")
+    cell = rows.groupBy(*by, key, "fold", "label_id", "pred").agg(n_rows())
+    j = cell.join(fold_answers(cell, [*by, key]), [*by, key, "fold"], "left")
     y, p, a, n = F.col("label_id"), F.col("pred"), F.col("answer"), F.col("n")
     w = lambda cond: F.sum(F.when(cond, n).otherwise(0))
-    s = j.agg(F.sum("n").alias("rows"), w(a.isNotNull()).alias("rows_covered"), w(a.isNotNull() & (p == y)).alias("mc"),
-              w(a.isNotNull() & (a == y)).alias("lc"), w(p == y).alias("m"), w(F.coalesce(a, p) == y).alias("o"),
-              w(F.coalesce(a, p) != p).alias("rows_changed"))
-    return s.select("rows_covered", (F.col("rows_covered") / F.col("rows")).alias("coverage"),
+    s = j.groupBy(*by).agg(F.sum("n").alias("rows"), w(a.isNotNull()).alias("rows_covered"), w(a.isNotNull() & (p == y)).alias("mc"),
+                           w(a.isNotNull() & (a == y)).alias("lc"), w(p == y).alias("m"), w(F.coalesce(a, p) == y).alias("o"),
+                           w(F.coalesce(a, p) != p).alias("rows_changed"))
+    return s.select(*by, "rows_covered", (F.col("rows_covered") / F.col("rows")).alias("coverage"),
                     F.try_divide("mc", "rows_covered").alias("model_accuracy_on_covered"),
                     F.try_divide("lc", "rows_covered").alias("lookup_accuracy_on_covered"),
                     (F.col("o") / F.col("rows")).alias("overall_accuracy"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tessera.operators import flows, profile
@@ -237,8 +235,12 @@ TOLS = (0, 1, 2, 4)
 TOL_KEYS = ", tk as (" + " union all ".join(f"select {t} as tolerance, {_key_sql(t)} as k, flow_id, label_id, fold, split from f_flow" for t in TOLS) + ")"
 
 
-def per_tolerance(fn):
-    return reduce(lambda a, b: a.unionByName(b), [fn(tol).withColumn("tolerance", F.lit(tol)) for tol in TOLS])
+def tolerant(df):
+    """Every row once per tolerance, with its key: all tolerances run as one job."""
+    for tol in TOLS:
+        df = flows.flow_key(df, tol, f"k{tol}")
+    alts = F.explode(F.array(*[F.struct(F.lit(tol).alias("tolerance"), F.col(f"k{tol}").alias("k")) for tol in TOLS]))
+    return df.select("flow_id", "split", "fold", "label_id", alts.alias("r")).select("flow_id", "split", "fold", "label_id", "r.*")
 
 
 @register("j01_exact_lookup", "f_flow", TOL_KEYS + """
@@ -247,10 +249,8 @@ n as (select tolerance, count(*) as distinct_train_tuples, count(*) filter (c=1)
 m as (select t.tolerance, count(k.k) as test_rows_matched, count(*) filter (c=1) as test_rows_matched_pure, count(*) as tot from tk t left join k on t.tolerance=k.tolerance and t.k=k.k where split='test' group by t.tolerance)
 select tolerance, distinct_train_tuples, pure_train_tuples, test_rows_matched, test_rows_matched_pure, round(test_rows_matched/tot,6) as matched_share, round(test_rows_matched_pure/tot,6) as matched_pure_share from n join m using (tolerance)""")
 def _(t):
-    def one(tol):
-        df = flows.flow_key(t.flow, tol, "k")
-        return profile.lookup_summary(df.filter("split = 'train'"), df.filter("split = 'test'"), "k")
-    return R6(per_tolerance(one), "matched_share", "matched_pure_share")
+    df = tolerant(t.flow)
+    return R6(profile.lookup_summary(df.filter("split = 'train'"), df.filter("split = 'test'"), "k", ["tolerance"]), "matched_share", "matched_pure_share")
 
 
 FOLD_ANS = TOL_KEYS + """
@@ -262,7 +262,7 @@ FOLD_ANS = TOL_KEYS + """
 , j as (select t.*, answer from tk t left join ans using (tolerance,k,fold) where split='train')
 select tolerance, count(answer) as rows_with_lookup, round(count(answer)/count(*),6) as coverage, round(count(*) filter (answer=label_id)/greatest(count(answer),1),6) as accuracy_when_available from j group by tolerance""")
 def _(t):
-    return R6(per_tolerance(lambda tol: profile.fold_lookup(flows.flow_key(t.train, tol, "k"), "k")), "coverage", "accuracy_when_available")
+    return R6(profile.fold_lookup(tolerant(t.train), "k", ["tolerance"]), "coverage", "accuracy_when_available")
 
 
 @register("j03_lookup_override", "f_pred_label", FOLD_ANS + """
@@ -273,5 +273,5 @@ select tolerance, count(answer) as rows_covered, round(count(answer)/count(*),6)
 def _(t):
     from tessera.operators.evaluate import argmax_rows
     pred = argmax_rows(t.prob_rows.filter("model = 'a'")).select(F.col("row_id").alias("flow_id"), "pred")
-    return R6(per_tolerance(lambda tol: profile.lookup_override(flows.flow_key(t.train, tol, "k"), "k", pred)),
+    return R6(profile.lookup_override(tolerant(t.train), "k", pred, ["tolerance"]),
               "coverage", "model_accuracy_on_covered", "lookup_accuracy_on_covered", "overall_accuracy", "delta_vs_model")
