@@ -86,11 +86,10 @@ def likelihood_columns(ll: DataFrame, row: str, prefix: str) -> DataFrame:
 def out_of_fold_chains(df: DataFrame, row: str, label: str, seq: str, bins: int, folds: int = 5) -> DataFrame:
     """Each row scored by chains fitted on the other folds; all folds in one job.
 
-    Counts per (fold, class, step) are made once; leaving a fold out is a subtraction from the total.
+    A training row is counted once for every fold that leaves it in; the edges come from all rows.
     """
-    # rows of every training fold carry the fold that leaves them out
     edges = quantile_edges(df, seq, bins)
-    d = states(df.withColumn("edges", edges.scalar()), seq)
+    d = cut(states(df.withColumn("edges", edges.scalar()), seq).select(row, label, "fold", "states"))
     train = d.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
     init, trans = fit_chains(train, label, bins, keys=["held"])
     return chain_likelihood(d.withColumn("held", F.col("fold")), row, init, trans, ["held"]).drop("held")

@@ -8,6 +8,7 @@ from tessera.operators import fitted as X, folds, profile
 from tessera.plans.flows import GAP, LN
 from tessera.plans.profile import FEAT, FEAT_LONG
 from tessera.plans.registry import register
+from tessera.session import cut
 
 R6 = lambda df, *cols: df.withColumns({x: F.round(F.col(x).cast("double"), 6) for x in cols})
 c = F.col
@@ -72,9 +73,10 @@ ll as (select flow_id, k, sum(lp) as ll from (select s.flow_id, ini.k, ini.lp fr
 
 
 def chains(t, kind, bins):
-    d = t.flow.withColumn("seq", X.sequence_values(t.flow, kind))
+    # edges, tables and scores all read the sequences: written once
+    d = cut(t.flow.select("flow_id", "label_id", "split", X.sequence_values(t.flow, kind).alias("seq")))
     edges = X.quantile_edges(d.filter("split = 'train'"), "seq", bins)
-    d = X.states(d.withColumn("edges", edges.scalar()), "seq")
+    d = cut(X.states(d.withColumn("edges", edges.scalar()), "seq").select("flow_id", "label_id", "split", "states"))
     init, trans = X.fit_chains(d.filter("split = 'train'"), "label_id", bins)
     return X.likelihood_columns(X.chain_likelihood(d, "flow_id", init, trans), "flow_id", "mk")
 
@@ -100,7 +102,7 @@ def _(t):
 
 @register("m07_out_of_fold_chains", "f_flow", chain_sql("len", 16, held=True) + " select flow_id, cast(k as int) as k, round(ll,5) as ll from ll")
 def _(t):
-    d = t.train.withColumn("seq", X.sequence_values(t.train, "len"))
+    d = cut(t.train.select("flow_id", "label_id", "fold", X.sequence_values(t.train, "len").alias("seq")))
     ll = X.out_of_fold_chains(d, "flow_id", "label_id", "seq", 16)
     return ll.select("flow_id", F.posexplode("ll").alias("k", "ll")).withColumn("ll", F.round("ll", 5))
 
