@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import linededup, mixing, packing, quality, simhash
+from tessera.llm import licenses, linededup, mixing, packing, qda, quality, simhash, tokencounts, topk, toxicity
 from tessera.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,21 +24,50 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_boilerplate(read(spark, sf_dir, "documents"), counts=True)
 
 
+@query
+def op2_branch_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(read(spark, sf_dir, "documents")))
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokencounts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(read(spark, sf_dir, "documents")))
 
 
+@query
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read(spark, sf_dir, "documents")))
+
+
+SQL["op2_branch_bound_topk"] = topk.SQL
