@@ -54,8 +54,8 @@ class Automaton:
                 self.skip[optional].add(len(self.step) - 1)
             elif part.startswith("<<"):
                 begin, n = len(self.step) - 1, int(part[2:-2])
-                for _ in range(n):
-                    self.any[-1] = self.grow()
+                for s in range(begin, begin + n):
+                    self.any[s] = self.grow()
                 for s in range(begin, begin + n):
                     self.skip[s].add(begin + n)
             else:
