@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.draws import hash_text, unit
+
 from tessera.session import cut
 
 GEO = ["x1", "y1", "x2", "y2"]
@@ -271,18 +273,17 @@ def training_windows(images: DataFrame, gt: DataFrame, n: int, tile: int, positi
     The box of a window is the one with the smallest hash of (image, window, box): a map-side combined
     minimum, so an image with many boxes is not gathered.
     """
-    unit = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(1 << 30)).cast("double") + 0.5) / (1 << 30)
     draws = images.withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("centred", unit("image_id", "win", F.lit(seed)) < positive)
+    draws = draws.withColumn("centred", unit(seed, "image_id", "win") < positive)
     picks = (gt.select("image_id", *GEO, "box_id").withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .groupBy("image_id", "win").agg(F.min_by(F.struct("box_id", *GEO), F.xxhash64("image_id", "win", "box_id", F.lit(seed))).alias("p")))
+             .groupBy("image_id", "win").agg(F.min_by(F.struct("box_id", *GEO), hash_text(seed, "image_id", "win", "box_id")).alias("p")))
     d = draws.join(picks, ["image_id", "win"], "left")
     use = F.col("centred") & F.col("p").isNotNull()
 
     def start(lo: str, hi: str, size: str, k: int) -> Column:
         room = F.greatest(F.col(size) - tile, F.lit(0))
-        centre = (F.col(f"p.{lo}") + F.col(f"p.{hi}")) / 2 - tile / 2 + F.floor(unit("image_id", "win", F.lit(seed + k)) * (2 * jitter + 1)) - jitter
-        free = F.floor(unit("image_id", "win", F.lit(seed + k + 10)) * (room + 1))
+        centre = (F.col(f"p.{lo}") + F.col(f"p.{hi}")) / 2 - tile / 2 + F.floor(unit(seed + k, "image_id", "win") * (2 * jitter + 1)) - jitter
+        free = F.floor(unit(seed + k + 10, "image_id", "win") * (room + 1))
         return F.when(use, F.floor(F.least(F.greatest(centre, F.lit(0.0)), room))).otherwise(F.least(free, room)).cast("bigint")
 
     return d.select("image_id", "win", "w", "h", use.alias("centred"), start("x1", "x2", "w", 1).alias("tx"), start("y1", "y2", "h", 2).alias("ty"))
@@ -296,15 +297,15 @@ def top_per_image(df: DataFrame, k: int = 40) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hard_negatives(banded: DataFrame, per_positive: int = 8, slots: int = 128) -> DataFrame:
+def hard_negatives(banded: DataFrame, per_positive: int = 8) -> DataFrame:
     """All positives and the best-scored negatives, up to ``per_positive`` per positive (at least that many).
 
-    Negatives are ranked inside score slices of their image.
+    Negatives are ranked in slices whose number grows with them.
     """
-    from tessera.operators.ordered import ordinal_in_slots
+    from tessera.operators.ordered import ordinal
     npos = banded.groupBy("image_id").agg((per_positive * F.greatest(tally(F.col("band") == "positive"), F.lit(1))).alias("quota"))
-    neg = banded.filter("band = 'negative'").withColumn("__slot", -F.floor(F.col("score") * slots))
-    ranked = ordinal_in_slots(neg, ["image_id"], ["__slot"], [F.desc("score"), "cand_id"], "__r").drop("__slot")
+    neg = banded.filter("band = 'negative'").withColumn("__neg", -F.col("score"))
+    ranked = ordinal(neg, ["image_id"], ["__neg", "cand_id"], "__r").drop("__neg")
     kept = ranked.join(npos, "image_id").filter(F.col("__r") < F.col("quota")).drop("__r", "quota")
     return kept.unionByName(banded.filter("band = 'positive'"))
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.flows import gaps, lens
-from tessera.operators.ordered import exact_percentiles
+from tessera.operators.ordered import exact_percentiles, ordinal
 from tessera.session import cut
 from tessera.vocabulary import N_CLASSES
 
+#: Room for the state numbers of one chain when two of them form a code.
+STATES = 1 << 20
 n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
 
 
@@ -63,10 +65,10 @@ def chain_likelihood(df: DataFrame, row: str, init: DataFrame, trans: DataFrame,
     keys = list(keys)
     vec = lambda t, s: t.groupBy(*keys, *s).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "log_p"))), lambda r: r["log_p"]).alias("v"))
     i = vec(init, ["s"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("s", "v"))).alias("mi"))
-    t = vec(trans, ["s", "s2"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("s") * 1000 + F.col("s2")).alias("c"), "v"))).alias("mt"))
+    t = vec(trans, ["s", "s2"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("s") * F.lit(STATES).cast("bigint") + F.col("s2")).alias("c"), "v"))).alias("mt"))
     model = i.join(t, keys) if keys else i.withColumn("mt", t.scalar())
     d = df.join(F.broadcast(model), keys) if keys else df.withColumn("mi", i.scalar()).withColumn("mt", t.scalar())
-    codes = F.zip_with(F.slice("states", F.lit(1), F.size("states") - 1), F.slice("states", F.lit(2), F.size("states") - 1), lambda a, b: a * 1000 + b)
+    codes = F.zip_with(F.slice("states", F.lit(1), F.size("states") - 1), F.slice("states", F.lit(2), F.size("states") - 1), lambda a, b: a * F.lit(STATES).cast("bigint") + b)
     d = d.withColumn("__c", codes)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     ll = F.aggregate("__c", F.col("mi")[F.element_at("states", 1)], lambda acc, code: add(acc, F.col("mt")[code]))
@@ -157,14 +159,13 @@ def pair_counts(df: DataFrame, group: str) -> DataFrame:
     return g.select(group, "n", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
 
 
-def neighbour_pairs(df: DataFrame, group: str, row: str, columns: Sequence[str], slot: Column) -> DataFrame:
+def neighbour_pairs(df: DataFrame, group: str, row: str, columns: Sequence[str]) -> DataFrame:
     """Every member of a group with its successor by row id, and their symmetric pair features.
 
     A chain through each group is linear in the group; the row numbers come from slices, so a group that
     holds a large part of all rows is not sorted in one task.
     """
-    from tessera.operators.ordered import ordinal_in_slots
-    o = ordinal_in_slots(df.select(group, row, *columns).withColumn("__slot", slot), [group], ["__slot"], [row], "__o").drop("__slot")
+    o = ordinal(df.select(group, row, *columns), [group], [row], "__o")
     nxt = o.select(group, (F.col("__o") - 1).alias("__o"), F.col(row).alias(f"{row}_b"), *[F.col(x).alias(f"b_{x}") for x in columns])
     j = o.join(nxt, [group, "__o"])
     return j.select(group, row, f"{row}_b", *[F.abs(F.col(x) - F.col(f"b_{x}")).alias(f"diff_{x}") for x in columns],

@@ -8,6 +8,7 @@ from math import cos, pi, sin, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.draws import unit
 from tessera.functions import vectors as V
 from tessera.vocabulary import (AUDIO_LIMIT, BANDS, BURST_GAPS, GROUP_BYTES, LABELS, LENGTHS, N_PACKETS, TIMES)
 
@@ -349,18 +350,17 @@ def jitter(df: DataFrame, seed: int, *keep: str) -> DataFrame:
 
     Every draw is a hash of (row, seed, draw number): a retried task gives the same rows.
     """
-    key = F.struct(*[F.col(k) for k in keep])
-    unit = lambda n: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(n)), F.lit(1 << 20)).cast("double") + 0.5) / (1 << 20)
+    draw = lambda n: unit(seed * 1000 + n, *keep)
     x, d = lens(), gaps()
     acc: Column = F.lit(0.0)
     rows = []
     for i in range(N_PACKETS):
         if i:
-            acc = acc + d[i - 1] * (0.9 + 0.2 * unit(10 + i))
-        shift = F.floor(unit(20 + i) * 5) - 2
+            acc = acc + d[i - 1] * (0.9 + 0.2 * draw(10 + i))
+        shift = F.floor(draw(20 + i) * 5) - 2
         rows.append(F.struct(F.lit(i).alias("packet_index"), acc.alias("relative_time"),
                              F.greatest(x[i] + shift, F.lit(1.0)).alias("length"),
-                             (unit(30 + i) >= 0.1).alias("kept")))
+                             (draw(30 + i) >= 0.1).alias("kept")))
     return df.select(*keep, F.explode(F.array(*rows)).alias("r")).select(*keep, "r.*")
 
 

@@ -6,17 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.operators.ordered import ordinal_in_slots
+from tessera.functions.draws import hash_text
+from tessera.operators.ordered import ordinal
 
 
 def seeded_ordinal(df: DataFrame, keys: Sequence[str], row: str, seed: int, out: str) -> DataFrame:
     """Position of each row in a seeded permutation of its key's rows.
 
-    The permutation orders by a hash; its high 16 bits are the slice, so no key is sorted in one task.
+    The permutation orders by a text hash that every engine has; slices grow with the rows.
     """
-    h = F.xxhash64(row, F.lit(seed))
-    d = df.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 48))
-    return ordinal_in_slots(d, keys, ["__slot"], ["__h", row], out).drop("__h", "__slot")
+    return ordinal(df.withColumn("__h", hash_text(seed, row)), keys, ["__h", row], out).drop("__h")
 
 
 def permuted_folds(df: DataFrame, row: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -27,9 +26,7 @@ def permuted_folds(df: DataFrame, row: str, k: int = 5, seed: int = 0) -> DataFr
 def stratified_folds(df: DataFrame, row: str, label: str, k: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """Repeated stratified folds: within a class and repeat, fold sizes differ by one at most."""
     reps = df.select(row, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.xxhash64(row, F.lit(seed), "repeat")
-    d = reps.withColumn("__h", h).withColumn("__slot", F.shiftright("__h", 48))
-    d = ordinal_in_slots(d, ["repeat", label], ["__slot"], ["__h", row], "__o")
+    d = ordinal(reps.withColumn("__h", hash_text(seed, row, "repeat")), ["repeat", label], ["__h", row], "__o")
     return d.select(row, label, "repeat", ((F.col("__o") + F.col("repeat")) % k).cast("int").alias("fold"))
 
 
@@ -42,11 +39,8 @@ def group_folds(df: DataFrame, row: str, group: str, label: str, k: int = 5, rep
     per = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
     g = per.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, F.struct("n", -F.col(label))).alias("__main"))
     g = g.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.xxhash64(group, F.lit(seed), "repeat")
-    # slices follow size (large first), then the hash
-    g = g.withColumn("__h", h).withColumn("__big", -F.least(F.col("size"), F.lit(1024))).withColumn("__slot", F.shiftright("__h", 58))
-    g = g.withColumn("__neg", -F.col("size")).withColumn("__slot", F.when(F.col("__big") == -1024, F.lit(0)).otherwise(F.col("__slot")))
-    g = ordinal_in_slots(g, ["repeat", "__main"], ["__big", "__slot"], ["__big", "__neg", "__h", group], "__o")
+    g = g.withColumn("__h", hash_text(seed, group, "repeat")).withColumn("__neg", -F.col("size"))
+    g = ordinal(g, ["repeat", "__main"], ["__neg", "__h", group], "__o")
     turn, lap = F.col("__o") % k, F.floor(F.col("__o") / k)
     snake = F.when(lap % 2 == 0, turn).otherwise(k - 1 - turn)
     g = g.select(group, "repeat", F.pmod(snake + F.col("__main"), F.lit(k)).cast("int").alias("fold"))

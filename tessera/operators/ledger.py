@@ -59,27 +59,24 @@ def status_counts(rows: DataFrame, status: str, shard: Column) -> DataFrame:
 def parse_verdicts(responses: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(cp, verdict) pairs out of model text.
 
-    The array is taken from a fenced block, else from the outermost brackets; trailing commas are removed;
-    when that gives nothing, pairs are picked by pattern.  A repeated checkpoint keeps its last answer.
+    What stands from the first opening to the last closing bracket is read as one array.  Where that gives nothing
+    (trailing commas, a cut-off answer), its objects are read one by one: each runs from its last opening brace to its
+    closing one, without a comma at the end.  A repeated checkpoint keeps its last answer.
     """
     keys = list(keys)
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\[.*\])\s*```", 1)
-    bare = F.regexp_extract(t, r"(?s)(\[.*\])", 1)
-    body = F.when(fenced != "", fenced).otherwise(bare)
-    body = F.regexp_replace(body, r",\s*([\]}])", "$1")
-    parsed = F.from_json(body, "ARRAY<STRUCT<cp: STRING, verdict: STRING>>")
-    cps = [f"CP{i}" for i in range(1, N_CHECKPOINTS + 1)]
-    good = F.filter(parsed, lambda r: r["cp"].isin(*cps))
-    pattern = r'"cp"\s*:\s*"(CP\d+)"[^{}]*?"verdict"\s*:\s*"(1|0|N/A)"'
-    loose = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("cp"),
-                         F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)).alias("verdict"))
-    loose = F.filter(F.transform(loose, lambda r: F.struct(r["cp"].alias("cp"), r["verdict"].alias("verdict"))), lambda r: r["cp"].isin(*cps))
-    d = responses.withColumn("__good", good).withColumn("__loose", loose)
-    picked = F.when(F.size(F.coalesce("__good", F.array())) > 0, F.col("__good")).otherwise(F.col("__loose"))
-    rows = d.select(*keys, F.posexplode(picked).alias("pos", "r"))
-    last = rows.groupBy(*keys, F.col("r.cp").alias("cp")).agg(F.max_by("r.verdict", "pos").alias("verdict"))
-    return last
+    t = F.coalesce(F.col(text), F.lit(""))
+    kind = "STRUCT<cp: STRING, verdict: STRING>"
+    known = F.array(*[F.lit(f"CP{i}") for i in range(1, N_CHECKPOINTS + 1)])
+    named = lambda rows: F.filter(rows, lambda r: F.array_contains(known, r["cp"]) & r["verdict"].isNotNull())
+    first, beyond = F.instr(t, "["), F.length(t) - F.instr(F.reverse(t), "]") + 2  # one past the last closing bracket
+    body = F.when((first > 0) & (F.instr(t, "]") > 0) & (beyond > first), F.substring(t, first, beyond - first))
+    whole = named(F.from_json(body, f"ARRAY<{kind}>"))
+    ended = F.split(t, r"\}")
+    objects = F.filter(F.slice(ended, 1, F.greatest(F.size(ended) - 1, F.lit(0))), lambda x: F.contains(x, F.lit("{")))
+    single = named(F.transform(objects, lambda x: F.from_json(F.concat(F.lit("{"), F.rtrim(F.substring_index(x, "{", -1), F.lit(", \t\r\n")), F.lit("}")), kind)))
+    picked = F.when(F.size(F.coalesce(whole, F.array().cast(f"ARRAY<{kind}>"))) > 0, whole).otherwise(single)
+    rows = responses.select(*keys, F.posexplode(picked).alias("pos", "r"))
+    return rows.groupBy(*keys, F.col("r.cp").alias("cp")).agg(F.max_by("r.verdict", "pos").alias("verdict"))
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
@@ -92,6 +89,7 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 def scope_text(cps: Column) -> Column:
     """Wording of the checkpoint scope for an ordered array of names."""
+    # fixed values: the two wordings
     n = F.size(cps)
     return F.when(n >= N_CHECKPOINTS, F.lit("all 41 checking points (CP1 through CP41)")).otherwise(
         F.concat(F.lit("these "), n.cast("string"), F.lit(" checking point(s): "), F.array_join(cps, ", ")))

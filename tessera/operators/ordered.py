@@ -2,8 +2,8 @@
 
 A plain window over a hot key sorts that key's rows in a single task.  The helpers here split every
 group into slices of its order first, add up slice totals (a few rows per key), and run the window
-inside ``(key, slice)`` only.  Slices come from data that any recomputation reproduces: either a
-column the caller names, or splitters taken as the values with the smallest hash.
+inside ``(key, slice)`` only.  Slices are a column the caller names, or ranges whose number grows with the
+rows; ranges are written with the rows, so any recomputation finds the same ones.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import cut
+
+#: Rows that one task orders.
+SLICE_ROWS = 200_000
+
 def ordinal_in_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[str],
                      order: Sequence[Column | str], out: str) -> DataFrame:
     """Zero-based row number per key.
@@ -29,36 +34,39 @@ def ordinal_in_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[str],
             .drop("__start"))
 
 
-def even_slots(df: DataFrame, value: str, n: int = 4096) -> Column:
-    """Slice number of an integer column: ``n`` equal ranges between its extremes, found by one aggregate."""
-    ext = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = ext.select("lo").scalar(), ext.select("hi").scalar()
-    return F.floor((F.col(value) - lo).cast("double") * n / (hi - lo + 1).cast("double"))
+def sliced(df: DataFrame, order: Sequence[Column | str], out: str = "__slice", rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds a slice number that does not decrease along ``order``; slices hold about ``rows`` rows, whatever the keys.
+
+    Range splitters come from a sample of the rows, so a key of any size is cut where its rows lie.  The numbers are
+    written once with the rows, and a lost executor cannot move a border.  Rows equal in ``order`` share a slice.
+    """
+    base = cut(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-base.count() // rows))
+    return cut(base.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id()))
+
+
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Zero-based row number per key along ``order``; no key is sorted in one task."""
+    cols = [*keys, *order]
+    return ordinal_in_slots(sliced(df, cols, rows=rows), keys, ["__slice"], order, out).drop("__slice")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
-                   splits: int = 32) -> DataFrame:
+                   rows: int = SLICE_ROWS) -> DataFrame:
     """Exclusive running sums in value order; ``df`` holds one row per (keys, value).
 
     Adds ``<s>_below`` for every column in ``sums``: its total over smaller values of the same key.
     """
     keys, sums = list(keys), list(sums)
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
-    picked = F.sort_array(F.collect_list(value)).alias("__bounds")
-    if keys:
-        sample = df.select(*keys, value).withColumn("__r", F.row_number().over(by_hash)).filter(F.col("__r") <= splits)
-        sliced = df.join(sample.groupBy(*keys).agg(picked), keys)
-    else:
-        sample = df.select(value).orderBy(F.xxhash64(value), F.col(value)).limit(splits)
-        sliced = df.withColumn("__bounds", sample.agg(picked).scalar())
-    sliced = sliced.withColumn("__slice", F.size(F.filter("__bounds", lambda b: b <= F.col(value)))).drop("__bounds")
-    totals = sliced.groupBy(*keys, "__slice").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    cutup = sliced(df, [*keys, value], rows=rows)
+    totals = cutup.groupBy(*keys, "__slice").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "__slice", *[
         F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}_start") for s in sums])
     local = (Window.partitionBy(*keys, "__slice").orderBy(value)
              .rowsBetween(Window.unboundedPreceding, -1))
-    out = sliced.join(starts, keys + ["__slice"])
+    out = cutup.join(starts, keys + ["__slice"])
     for s in sums:
         out = out.withColumn(f"{s}_below", F.coalesce(F.sum(s).over(local), F.lit(0)) + F.col(f"__{s}_start"))
     return out.drop("__slice", *[f"__{s}_start" for s in sums])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import docs as D
-from tessera.operators.ordered import even_slots
 from tessera.plans.registry import register
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in cols})
@@ -79,15 +78,18 @@ def _(t):
 # ---- chunks ----------------------------------------------------------------------------------
 
 def parts(t):
+    """Every document as one part of its case: a track header and the text."""
+    d = t.table("documents").select("doc_id", c("source").alias("case_id"), (1 + c("doc_id") % 9).cast("int").alias("track"), "text")
     text = F.concat(F.lit("## Track "), c("track").cast("string"), F.lit(" —\n\n"), c("text"))
-    return t.docs.select("case_id", c("track").alias("track_no"), "doc_id", even_slots(t.docs, "doc_id").alias("block"), text.alias("text"))
+    return d.select("case_id", c("track").alias("track_no"), "doc_id", text.alias("text"))
 
 
 WORDS = "len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w<>''))"
 
 
-@register("w09_chunks", "f_doc", """
-, ln as (select case_id, track, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as ix from f_doc),
+@register("w09_chunks", "", """
+with recursive f_doc as (select doc_id, source as case_id, cast(1 + doc_id % 9 as int) as track, text from documents),
+ln as (select case_id, track, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1) as ix from f_doc),
 fl as (select *, not regexp_matches(line,'[a-zA-Z0-9]') as blank, starts_with(line,'### ') as hd from ln),
 rc as (select *, sum(case when blank or hd then 1 else 0 end) over (partition by doc_id order by ix) as rec from fl),
 kept as (select * from rc where not blank),
@@ -100,7 +102,7 @@ gr as (select case_id, track, doc_id, rec, line, k, w, w as cum, 0 as grp from l
 ch as (select case_id, track, doc_id, rec, 0 as grp, text from rw where words<=280 union all select case_id, track, doc_id, rec, grp, string_agg(line, chr(10) order by k) from gr group by case_id, track, doc_id, rec, grp)
 select case_id, cast(track as int) as track, row_number() over (partition by case_id order by track, doc_id, rec, grp)-1 as chunk_id, length(text) as n_chars, md5(text) as text_md5 from ch""")
 def _(t):
-    ch = D.chunk_parts(parts(t), ["track_no", "doc_id"], ["track_no", "block"])
+    ch = D.chunk_parts(parts(t), ["track_no", "doc_id"])
     return ch.select("case_id", "track", "chunk_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

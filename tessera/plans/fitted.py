@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from tessera.operators import fitted as X, folds, profile
 from tessera.plans.flows import GAP, LN
 from tessera.plans.profile import FEAT, FEAT_LONG
+from tessera.functions.draws import hash_sql
 from tessera.plans.registry import register
 from tessera.session import cut
 
@@ -16,22 +17,37 @@ c = F.col
 
 # ---- folds -----------------------------------------------------------------------------------
 
-@register("m01_image_folds")
+@register("m01_image_folds", "f_gt", f"""
+, i as (select distinct image_id from f_gt)
+select image_id, cast((row_number() over (order by {hash_sql(0, "image_id")}, image_id) - 1) % 5 as int) as fold from i""")
 def _(t):
     return folds.permuted_folds(t.gt.select("image_id").distinct(), "image_id")
 
 
-@register("m02_stratified_folds")
+@register("m02_stratified_folds", "f_flow", f"""
+, r as (select flow_id, label_id, cast(unnest(range(2)) as int) as repeat from f_flow where split = 'train')
+select flow_id, label_id, repeat, cast((row_number() over (partition by repeat, label_id order by {hash_sql(42, "flow_id", "repeat")}, flow_id) - 1 + repeat) % 5 as int) as fold from r""")
 def _(t):
     return folds.stratified_folds(t.train, "flow_id", "label_id", repeats=2)
 
 
-@register("m03_group_folds")
+@register("m03_group_folds", "f_group f_flow", f"""
+, src as (select g.flow_id, g.gkey, g.label_id from f_group g join f_flow f using (flow_id) where f.split = 'train'),
+per as (select gkey, label_id, count(*) as n from src group by all),
+g as (select gkey, sum(n) as size, arg_max(label_id, struct_pack(n := n, l := -label_id)) as main from per group by gkey),
+r as (select *, cast(unnest(range(2)) as int) as repeat from g),
+o as (select *, row_number() over (partition by repeat, main order by size desc, {hash_sql(42, "gkey", "repeat")}, gkey) - 1 as o from r),
+f as (select gkey, repeat, (case when (o // 5) % 2 = 0 then o % 5 else 4 - o % 5 end + main) % 5 as fold from o)
+select s.flow_id, s.gkey, s.label_id, f.repeat, cast(f.fold as int) as fold from src s join f using (gkey)""")
 def _(t):
     return folds.group_folds(t.grouped.filter("split = 'train'"), "flow_id", "gkey", "label_id")
 
 
-@register("m24_shuffled_labels")
+@register("m24_shuffled_labels", "f_flow", f"""
+, t as (select flow_id, label_id from f_flow where split = 'train'),
+a as (select *, row_number() over (order by {hash_sql(1, "flow_id")}, flow_id) as o from t),
+b as (select label_id as shuffled, row_number() over (order by {hash_sql(2, "flow_id")}, flow_id) as o from t)
+select a.flow_id, a.label_id, b.shuffled from a join b using (o)""")
 def _(t):
     return folds.shuffled_labels(t.train.select("flow_id", "label_id"), "flow_id", "label_id", 1)
 
@@ -138,7 +154,7 @@ def _(t):
 , o as (select *, lead(flow_id) over w as flow_id_b, {", ".join(f"lead({x}) over w as b_{x}" for x in DENS)} from f_group where split='train' window w as (partition by gkey order by flow_id))
 select gkey, flow_id, flow_id_b, {", ".join(f"round(abs({x}-b_{x}),9) as diff_{x}, round(({x}+b_{x})/2,9) as mean_{x}" for x in DENS)} from o where flow_id_b is not null""")
 def _(t):
-    p = X.neighbour_pairs(t.grouped.filter("split = 'train'"), "gkey", "flow_id", DENS, F.floor(c("flow_id") / 1000))
+    p = X.neighbour_pairs(t.grouped.filter("split = 'train'"), "gkey", "flow_id", DENS)
     return p.select("gkey", "flow_id", "flow_id_b", *[F.round(f"{k}_{x}", 9).alias(f"{k}_{x}") for x in DENS for k in ("diff", "mean")])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tessera.functions.vectors import SUMMARY_NAMES
 from tessera.operators import flows, ordered, profile
+from tessera.functions.draws import unit_sql
 from tessera.plans.registry import register
 from tessera.vocabulary import BANDS, BURST_GAPS, FLOW_COLUMNS
 
@@ -322,9 +323,17 @@ def _(t):
     return df.withColumns({c: F.round(c, 6) for c in ("log_bitrate", "log_mean_gap", "frac_mtu")})
 
 
-@register("f12_transport_jitter")
+def _jitter_sql() -> str:
+    draw = lambda n: unit_sql(7000 + n, "flow_id")
+    gap = lambda i: f"(relative_time_{i} - relative_time_{i - 1}) * (0.9 + 0.2 * {draw(10 + i)})"
+    rows = [f"""select flow_id, {i} as packet_index, {" + ".join(["0.0"] + [gap(j) for j in range(1, i + 1)])} as relative_time,
+ greatest(packet_length_{i} + cast(floor({draw(20 + i)} * 5) as bigint) - 2, 1.0) as length, {draw(30 + i)} >= 0.1 as kept from f_flow where split = 'train'""" for i in range(5)]
+    return ", j as (" + " union all ".join(rows) + ") select flow_id, cast(packet_index as int) as packet_index, round(relative_time, 9) as relative_time, cast(length as double) as length, kept from j"
+
+
+@register("f12_transport_jitter", "f_flow", _jitter_sql())
 def _(t):
-    return flows.jitter(t.train, 7, "flow_id")
+    return flows.jitter(t.train, 7, "flow_id").withColumn("relative_time", F.round("relative_time", 9))
 
 
 @register("s09_feature_cache", "f_group", """

@@ -184,7 +184,7 @@ def _(t):
 @register("m30_same_source_scorer")
 def _(t):
     g = t.grouped.filter("split = 'train'")
-    pos = fitted.neighbour_pairs(g, "gkey", "flow_id", DENS, F.floor(c("flow_id") / 1000))
+    pos = fitted.neighbour_pairs(g, "gkey", "flow_id", DENS)
     neg = fitted.negative_pairs(g, "gkey", "flow_id", DENS)
     feats = [f"{k}_{x}" for x in DENS for k in ("diff", "mean")]
     _, scored = M.pair_scorer(pos, neg, "gkey", feats)

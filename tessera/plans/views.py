@@ -47,7 +47,7 @@ class Tables:
         flows = ev.groupBy("user_id", "flow_no").agg(
             F.sort_array(F.collect_list(F.struct("idx", "us", "length", "event_type"))).alias("packets"))
         return (flows.filter(F.size("packets") == 5)
-                .withColumn("flow_id", F.col("user_id") * 1000 + F.col("flow_no"))
+                .withColumn("flow_id", F.col("user_id") * F.lit(10**9).cast("bigint") + F.col("flow_no"))
                 .withColumn("us0", F.array_min(F.col("packets.us"))))
 
     @cached_property

@@ -12,7 +12,7 @@ with o as (select user_id, ts, event_type, value, row_number() over (partition b
 g as (select user_id, event_type, value, epoch_us(ts) as us, cast(floor(rn/5) as bigint) as flow_no, cast(rn%5 as int) as idx,
       least(3, cast(floor(value/25) as int)) as b from o),
 h as (select *, count(*) over (partition by user_id, flow_no) as n, min(us) over (partition by user_id, flow_no) as us0 from g)
-select user_id*1000+flow_no as flow_id, user_id, flow_no, idx, event_type,
+select user_id*1000000000+flow_no as flow_id, user_id, flow_no, idx, event_type,
   cast(case b when 0 then 47 when 1 then 120 when 2 then 650 else 1150 end
        + case when b>=2 then cast(floor(value*100) as bigint)%2 else 0 end as double) as length,
   cast(us-us0 as double)/1e13 as t

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.operators.flows import label_text
-from tessera.operators.ordered import even_slots, ordinal_in_slots
+from tessera.operators.ordered import ordinal
 from tessera.session import scratch_path
 from tessera.vocabulary import FLOW_COLUMNS, LABELS
 
@@ -46,7 +46,7 @@ def label_file(rows: DataFrame, row: str, path: str | None = None) -> DataFrame:
     """Headerless ``index,label`` file numbered 1..N in row order, read back."""
     spark = rows.sparkSession
     path = path or scratch_path(spark, "labels")
-    numbered = ordinal_in_slots(rows.withColumn("__slot", even_slots(rows, row)), [], ["__slot"], [row], "__o")
+    numbered = ordinal(rows, [], [row], "__o")
     (numbered.select((F.col("__o") + 1).alias("idx"), label_text(F.col("pred")).alias("label"))
      .repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").csv(path))
     return spark.read.schema("idx BIGINT, label STRING").csv(path)
@@ -54,10 +54,14 @@ def label_file(rows: DataFrame, row: str, path: str | None = None) -> DataFrame:
 
 def label_file_checks(df: DataFrame) -> DataFrame:
     """Row count, gaps or repeats in the index, labels outside the vocabulary."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.countDistinct("idx").alias("d"),
+    # 1..n is the only set of n whole numbers with these extremes, sum and sum of squares that has no repeat or gap
+    i = F.col("idx").cast("decimal(38,0)")
+    n = F.col("n_rows").cast("decimal(38,0)")
+    odd = (F.col("s1") * 2 != n * (n + 1)) | (F.col("s2") * 6 != n * (n + 1) * (2 * n + 1))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.sum(i).alias("s1"), F.sum(i * i).alias("s2"),
                   F.sum(F.when(F.col("label").isin(*LABELS), 0).otherwise(1)).alias("outside_vocabulary"),
                   F.countDistinct("label").alias("distinct_labels")).select(
-        "n_rows", (F.abs(F.col("lo") - 1) + F.abs(F.col("hi") - F.col("n_rows")) + F.col("n_rows") - F.col("d")).alias("index_gaps"),
+        "n_rows", (F.abs(F.col("lo") - 1) + F.abs(F.col("hi") - F.col("n_rows")) + odd.cast("bigint")).alias("index_gaps"),
         "outside_vocabulary", "distinct_labels")
 
 

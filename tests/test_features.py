@@ -139,17 +139,20 @@ def test_last_write_wins(spark):
 
 
 def test_prompt_and_responses(spark):
-    df = spark.createDataFrame([(1, 'x ```json [{"cp":"CP1","verdict":"1"},{"cp":"CP1","verdict":"0"},] ``` y'), (2, 'cut "cp": "CP2", "v": 1, "verdict": "N/A"'), (3, "nothing"), (4, None)], "id int, t string")
+    df = spark.createDataFrame([(1, 'x ```json [{"cp":"CP1","verdict":"1"},{"cp":"CP1","verdict":"0"},] ``` y'), (2, 'cut [{"cp": "CP2", "v": 1, "verdict": "N/A"}, {"cp": "CP3'), (3, "nothing"), (4, None)], "id int, t string")
     got = {(r.id, r.cp, r.verdict) for r in ledger.parse_verdicts(df, ["id"], "t").collect()}
     assert got == {(1, "CP1", "0"), (2, "CP2", "N/A")}
 
 
 # ---- text ------------------------------------------------------------------------------------
 
-def test_chunker():
+def test_chunker(spark):
     long = "\n".join(f"line {i} " + "w " * 50 for i in range(12))
     text = f"preface is dropped\n## Track 2 — Plan\n\nalpha beta\ngamma\n\n### Sheet: one\nrow | 1\n---\n{long}\n## Track 4 — X\nlast"
-    got = docs.chunk_text(text)
+    parts = spark.createDataFrame([("c", 1, text), ("c", 0, "## Track 9 —\nzero"), ("c", 2, None)], "case_id string, part int, text string")
+    rows = docs.chunk_parts(parts, ["part"]).orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in rows] == list(range(len(rows))) and (rows[0]["track"], rows[0]["text"]) == (9, "zero")
+    got = [(r["track"], r["text"]) for r in rows[1:]]
     assert got[0] == (2, "alpha beta\ngamma") and got[1] == (2, "### Sheet: one\nrow | 1") and got[-1] == (4, "last")
     packed = got[2:-1]
     assert all(len(c.split()) <= 280 for _, c in packed) and "\n".join(c for _, c in packed).split() == long.split()
