@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
@@ -17,8 +18,9 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.draws import unit
 from tessera.operators import evaluate as E
 from tessera.operators.ordered import rank_auc
 from tessera.session import cut
@@ -26,27 +28,36 @@ from tessera.vocabulary import APPS, N_CLASSES
 
 SEED = 42
 
-# name -> (number of features, number of classes, parameters) -> estimator
+# name -> (number of features, number of classes, parameters) -> estimator; the defaults are full budgets
 FAMILIES: dict[str, Callable[[int, int, dict], Estimator]] = {
-    "forest": lambda d, k, p: RandomForestClassifier(labelCol="y", seed=SEED, **({"numTrees": 10, "maxDepth": 5} | p)),
-    "boosted": lambda d, k, p: OneVsRest(labelCol="y", classifier=GBTClassifier(labelCol="y", seed=SEED, **({"maxIter": 3, "maxDepth": 3} | p))),
-    "logistic": lambda d, k, p: LogisticRegression(labelCol="y", family="multinomial", **({"maxIter": 20, "regParam": 0.01} | p)),
-    "perceptron": lambda d, k, p: MultilayerPerceptronClassifier(labelCol="y", seed=SEED, layers=[d, 16, k], **({"maxIter": 20} | p)),
-    "linear_svm": lambda d, k, p: OneVsRest(labelCol="y", classifier=LinearSVC(labelCol="y", **({"maxIter": 10, "regParam": 0.01} | p))),
+    "forest": lambda d, k, p: RandomForestClassifier(labelCol="y", seed=SEED, **({"numTrees": 300, "maxDepth": 12} | p)),
+    "boosted": lambda d, k, p: OneVsRest(labelCol="y", classifier=GBTClassifier(labelCol="y", seed=SEED, **({"maxIter": 200, "maxDepth": 4, "stepSize": 0.05} | p))),
+    "logistic": lambda d, k, p: LogisticRegression(labelCol="y", family="multinomial", **({"maxIter": 200, "regParam": 0.01} | p)),
+    "perceptron": lambda d, k, p: MultilayerPerceptronClassifier(labelCol="y", seed=SEED, layers=[d, p.get("hidden", 64), k],
+                                                                 **({"maxIter": 200} | {x: v for x, v in p.items() if x != "hidden"})),
+    "linear_svm": lambda d, k, p: OneVsRest(labelCol="y", classifier=LinearSVC(labelCol="y", **({"maxIter": 100, "regParam": 0.01} | p))),
 }
+#: Budgets for quick runs; pass one as ``params`` where a query is run often.
+QUICK: dict[str, dict] = {"forest": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 3, "maxDepth": 3}, "logistic": {"maxIter": 20},
+                          "perceptron": {"maxIter": 20, "hidden": 16}, "linear_svm": {"maxIter": 10}, "neighbours": {}}
+#: Families that measure distances or sums over columns; their columns are scaled by a fit on the training rows.
+SCALED = {"logistic", "perceptron", "linear_svm", "neighbours"}
 
 
-def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str], scale: bool = True) -> DataFrame:
-    """Feature vectors, scaled by a fit over all rows, materialised once."""
-    v = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(df.select(*keep, *columns)).select(*keep, "raw")
-    if scale:
-        v = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v).drop("raw")
-    else:
-        v = v.withColumnRenamed("raw", "features")
-    return cut(v)
+def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Feature vectors, unscaled, materialised once; scaling belongs to a fit."""
+    return cut(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.select(*keep, *columns)).select(*keep, "features"))
+
+
+def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """The frames with features scaled by means and deviations of the first one."""
+    fit = StandardScaler(inputCol="features", outputCol="__scaled", withMean=True).fit(train)
+    return [fit.transform(d).drop("features").withColumnRenamed("__scaled", "features") for d in (train, *others)]
 
 
 def compress(df: DataFrame, k: int = 16) -> DataFrame:
+    """Principal components of the scaled features."""
+    df, = scaled(df)
     return PCA(k=k, inputCol="features", outputCol="pca").fit(df).transform(df)
 
 
@@ -62,14 +73,48 @@ def probabilities(scored: DataFrame, n: int) -> DataFrame:
     return E.normalise(scored.withColumn("probs", pad(raw, n)))
 
 
+def neighbour_probabilities(train: DataFrame, valid: DataFrame, n: int, k: int = 5) -> DataFrame:
+    """Share of each class among the ``k`` nearest training rows, exact, in blocks."""
+    from tessera.operators.retrieval import class_neighbours
+    q = valid.select(F.col("row_id").alias("query_id"), vector_to_array("features").alias("vector"))
+    rows = train.select(F.col("y").cast("int").alias("label"), F.col("row_id").alias("doc_id"), vector_to_array("features").alias("vector"))
+    near = class_neighbours(q, rows, k)
+    best = near.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "doc_id"))).filter(F.col("__r") <= k)
+    votes = best.groupBy(F.col("query_id").alias("row_id")).agg(F.array(*[F.avg(F.when(F.col("label") == c, 1.0).otherwise(0.0)) for c in range(n)]).alias("probs"))
+    return valid.join(votes, "row_id")
+
+
 def fit_predict(family: str, train: DataFrame, valid: DataFrame, n: int = N_CLASSES, params: dict | None = None, weight: str | None = None) -> DataFrame:
-    dim = len(train.first()["features"])
-    est = FAMILIES[family](dim, n, dict(params or {}))
+    """Probability arrays of ``valid`` by a model, and a scaling where the family needs one, fitted on ``train`` alone."""
+    params = dict(params or {})
+    if family in SCALED:
+        train, valid = scaled(train, valid)
+    if family == "neighbours":
+        return neighbour_probabilities(train, valid, n, **params)
+    dim = len(train.first()["features"]) if family == "perceptron" else 0
+    est = FAMILIES[family](dim, n, params)
     if weight:
         est = est.setWeightCol(weight)
     return probabilities(est.fit(train.withColumn("y", F.col("y").cast("double"))).transform(valid), n)
 
 
+def refit_predict(family: str, data: DataFrame, test: DataFrame, n: int = N_CLASSES, params: dict | None = None) -> DataFrame:
+    """Probability rows of the test rows by a model of all training rows."""
+    return cut(fit_predict(family, data, test, n, params).select("row_id", F.lit(family).alias("model"), "probs"))
+
+
+def repeated_record(data: DataFrame, family: str, folds: DataFrame, n: int = N_CLASSES, params: dict | None = None) -> DataFrame:
+    """Record over repeats of out-of-fold runs; ``folds`` has row_id, repeat, fold of any fold scheme."""
+    repeats = [r[0] for r in folds.select("repeat").distinct().orderBy("repeat").collect()]  # one row per repeat
+    parts = []
+    for r in repeats:
+        dealt = cut(data.drop("fold").join(folds.filter(F.col("repeat") == r).select("row_id", "fold"), "row_id"))
+        k = dealt.agg(F.max("fold")).first()[0] + 1
+        parts.append(out_of_fold(dealt, family, range(k), n, params).withColumn("model", F.concat_ws("#", F.lit(family), F.lit(str(r)))))
+    rec = oof_record(reduce(lambda a, b: a.unionByName(b), parts))
+    return rec.agg(F.lit(family).alias("model"), F.count(F.lit(1)).alias("repeats"), *[F.avg(f"{c}_mean").alias(f"{c}_mean") for c in ("accuracy", "macro_f1", "log_loss")])
+
+
 def rows_of(scored: DataFrame, model: str) -> DataFrame:
     return scored.select("row_id", F.col("y").cast("int").alias("y"), "fold", F.lit(model).alias("model"), "probs")
 
@@ -89,7 +134,7 @@ def oof_record(oof: DataFrame) -> DataFrame:
 
 def grid_search(data: DataFrame, family: str, grid: dict[str, Sequence], n: int = N_CLASSES, parallelism: int = 4) -> DataFrame:
     """One specification per grid point, evaluated over the fold column with fits running side by side."""
-    dim = len(data.first()["features"])
+    dim = len(data.first()["features"]) if family == "perceptron" else 0
     est = FAMILIES[family](dim, n, {})
     b = ParamGridBuilder()
     for name, values in grid.items():
@@ -145,6 +190,12 @@ def mixture_view(train: DataFrame, valid: DataFrame, family: str = "forest", par
     return fold_back(p).withColumn("model", F.lit("mixture"))
 
 
+def over_folds(data: DataFrame, folds: Sequence[int], view: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Probability rows of every fold by ``view(training rows, held-out rows)``."""
+    parts = [view(data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)).select("row_id", F.col("y").cast("int").alias("y"), "fold", "model", "probs") for f in folds]
+    return cut(reduce(lambda a, b: a.unionByName(b), parts))
+
+
 # ---- ensembles -------------------------------------------------------------------------------
 
 def member_table(prob_rows: DataFrame, members: Sequence[str]) -> DataFrame:
@@ -162,42 +213,55 @@ def _mix(members: Sequence[str], weights: Sequence[float]) -> Column:
     return out
 
 
-def hill_climb(table: DataFrame, members: Sequence[str], steps: int = 10, where: Column | None = None) -> dict[str, float]:
-    """Greedy forward selection with replacement; each step scores all members in one aggregate."""
-    rows = table if where is None else table.filter(where)
-    counts, best = [0] * len(members), 0.0
+def hill_climbs(table: DataFrame, members: Sequence[str], held: Sequence[int | None], steps: int = 80) -> dict[int | None, dict[str, float]]:
+    """Greedy forward selection with replacement, one climb per held-out fold (None: all rows).
+
+    A step scores every member of every open climb in one aggregate; a climb ends when its best member lowers its score
+    or after ``steps``.
+    """
+    counts = {f: [0] * len(members) for f in held}
+    best, open_ = {f: 0.0 for f in held}, set(held)
     for step in range(steps):
-        trial = lambda i: [c + (1 if j == i else 0) for j, c in enumerate(counts)]
-        got = rows.agg(*[F.avg(F.when(E.argmax(_mix(members, trial(i))) == F.col("y"), 1.0).otherwise(0.0)).alias(m) for i, m in enumerate(members)]).first()
-        top = max(range(len(members)), key=lambda i: (got[i], -i))
-        if step and got[top] < best - 1e-9:
+        trials = [(f, i, [c + (j == i) for j, c in enumerate(counts[f])]) for f in held if f in open_ for i in range(len(members))]
+        if not trials:
             break
-        counts[top] += 1
-        best = got[top]
-    total = sum(counts) or 1
-    return {m: c / total for m, c in zip(members, counts)}
+        hit = lambda t: F.when(E.argmax(_mix(members, t)) == F.col("y"), 1.0).otherwise(0.0)
+        row = lambda f, t: hit(t) if f is None else F.when(F.col("fold") != f, hit(t))
+        got = table.agg(*[F.avg(row(f, t)).alias(f"s{n}") for n, (f, i, t) in enumerate(trials)]).first()
+        score = {(f, i): got[f"s{n}"] or 0.0 for n, (f, i, t) in enumerate(trials)}
+        for f in list(open_):
+            top = max(range(len(members)), key=lambda i: (score[f, i], -i))
+            if step and score[f, top] < best[f] - 1e-9:
+                open_.discard(f)
+                continue
+            counts[f][top] += 1
+            best[f] = score[f, top]
+    return {f: {m: c / (sum(counts[f]) or 1) for m, c in zip(members, counts[f])} for f in held}
+
+
+def hill_climb(table: DataFrame, members: Sequence[str], steps: int = 80) -> dict[str, float]:
+    return hill_climbs(table, members, [None], steps)[None]
 
 
 def weights_frame(spark, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(weights.items()), "member string, weight double")  # one row per member
 
 
-def nested_hill_climb(table: DataFrame, members: Sequence[str], folds: Sequence[int], steps: int = 6) -> DataFrame:
+def nested_hill_climb(table: DataFrame, members: Sequence[str], folds: Sequence[int], steps: int = 80) -> DataFrame:
     """Weights from the other folds, decisions on the held-out one."""
-    parts = []
-    for f in folds:
-        w = hill_climb(table, members, steps, F.col("fold") != f)
-        parts.append(table.filter(F.col("fold") == f).select("row_id", "y", "fold", F.lit("nested_climb").alias("model"), _mix(members, [w[m] for m in members]).alias("probs")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    weights = hill_climbs(table, members, list(folds), steps)
+    part = lambda f: table.filter(F.col("fold") == f).select("row_id", "y", "fold", F.lit("nested_climb").alias("model"), _mix(members, [weights[f][m] for m in members]).alias("probs"))
+    return reduce(lambda a, b: a.unionByName(b), map(part, folds))
 
 
-def stack(table: DataFrame, members: Sequence[str], folds: Sequence[int], log: bool = False, reg: float = 0.01, name: str = "stack") -> DataFrame:
+def stack(table: DataFrame, members: Sequence[str], folds: Sequence[int], log: bool = False, reg: float = 0.01, name: str = "stack",
+          params: dict | None = None) -> DataFrame:
     """Multinomial logistic model on the concatenated member arrays, out of fold; with ``log`` it calibrates."""
     arr = F.concat(*[F.col(f"p_{m}") for m in members])
     if log:
         arr = F.transform(arr, lambda p: F.log(F.greatest(p, F.lit(1e-9))))
     data = cut(table.select("row_id", "y", "fold", array_to_vector(arr).alias("features")))
-    oof = out_of_fold(data, "logistic", folds, params={"regParam": reg})
+    oof = out_of_fold(data, "logistic", folds, params={"regParam": reg} | (params or {}))
     return oof.withColumn("model", F.lit(name))
 
 
@@ -208,34 +272,51 @@ def choose_ensemble(candidates: DataFrame) -> DataFrame:
     return s.withColumn("chosen", F.col("model") == best.scalar())
 
 
-def fit_bias(rows: DataFrame, folds: int = 5, rounds: int = 2, l2: float = 0.5) -> DataFrame:
-    """Per-class bias on log-probabilities by coordinate ascent, one bias vector per held-out fold.
+def objective(hits: np.ndarray, said: np.ndarray, true: np.ndarray, kind: str) -> float:
+    """Accuracy or macro-F1 from counts per class."""
+    if kind == "accuracy":
+        return float(hits.sum() / max(true.sum(), 1))
+    return float(np.mean(2 * hits / np.maximum(said + true, 1)))
+
 
-    All folds and all 25 grid values of a coordinate are aggregates of one pass: with the other classes
-    fixed, a row's answer only depends on whether the class beats the best of the others.
+def fit_bias(rows: DataFrame, folds: int = 5, rounds: int = 6, l2: float = 0.5, kind: str = "accuracy") -> DataFrame:
+    """Per-class bias on log-probabilities by coordinate ascent, one bias vector per held-out fold; ``kind`` is the objective.
+
+    With the other classes fixed, a row's answer turns to the class once its bias passes the row's gap to the best of
+    the others.  So one aggregate per coordinate, counts by gap slot, gives either objective at all 25 grid values; it
+    has at most folds x classes x classes x 26 rows.
     """
-    grid = [-1.2 + 0.1 * i for i in range(25)]
+    grid = [round(-1.2 + 0.1 * i, 10) for i in range(25)]
     z = cut(rows.select("y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))).alias("held"),
                         F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-9)))).alias("z")))
     bias = {f: [0.0] * N_CLASSES for f in range(folds)}
-    penalty = lambda b: l2 * sum(v * v for v in b) / N_CLASSES
     for _ in range(rounds):
         moved = False
         for k in range(N_CLASSES):
             table = F.array(*[F.array(*[F.lit(v) for v in bias[f]]) for f in range(folds)])
-            b = F.element_at(table, F.col("held") + 1)
-            s = z.withColumn("s", F.zip_with("z", b, lambda u, v: u + v))
+            s = z.withColumn("s", F.zip_with("z", F.element_at(table, F.col("held") + 1), lambda u, v: u + v))
             others = F.transform("s", lambda v, i: F.when(i == k, F.lit(-1e9)).otherwise(v))
             s = s.select("held", "y", (F.element_at("z", k + 1)).alias("zk"), F.array_max(others).alias("om"), E.argmax(others).alias("oa"))
             win = lambda v: (F.col("zk") + v > F.col("om")) | ((F.col("zk") + v == F.col("om")) & (F.col("oa") > k))
-            got = s.groupBy("held").agg(*[F.avg(F.when(F.when(win(v), F.lit(k)).otherwise(F.col("oa")) == F.col("y"), 1.0).otherwise(0.0)).alias(f"g{i}") for i, v in enumerate(grid)]).collect()
-            for r in got:  # one row per fold
-                old = bias[r["held"]]
-                obj = lambda i: r[f"g{i}"] - penalty(old[:k] + [grid[i]] + old[k + 1:])
+            slot = sum((F.when(win(v), 0).otherwise(1) for v in grid[1:]), F.when(win(grid[0]), 0).otherwise(1))  # grid values that do not win
+            got = s.groupBy("held", "y", "oa", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+            for f in range(folds):
+                own = [(r["y"], r["oa"], r["slot"], r["n"]) for r in got if r["held"] == f]
+                if not own:
+                    continue
+                y, oa, slots, n = (np.array(x) for x in zip(*own))
+                true = np.bincount(y, n, N_CLASSES)
+                old = bias[f]
+
+                def value(i: int) -> float:
+                    said = np.where(slots <= i, k, oa)
+                    penalty = l2 * sum(v * v for v in old[:k] + [grid[i]] + old[k + 1:]) / N_CLASSES
+                    return objective(np.bincount(y[said == y], n[said == y], N_CLASSES), np.bincount(said, n, N_CLASSES), true, kind) - penalty
+
                 now = min(range(25), key=lambda i: abs(grid[i] - old[k]))
-                top = max(range(25), key=lambda i: (obj(i), -abs(grid[i])))
-                if obj(top) > obj(now) + 1e-12:
-                    bias[r["held"]] = old[:k] + [grid[top]] + old[k + 1:]
+                top = max(range(25), key=lambda i: (value(i), -abs(grid[i])))
+                if value(top) > value(now) + 1e-12:
+                    bias[f] = old[:k] + [grid[top]] + old[k + 1:]
                     moved = True
         if not moved:
             break
@@ -250,13 +331,13 @@ def apply_bias(rows: DataFrame, bias: DataFrame) -> DataFrame:
 
 # ---- controls and diagnostics ----------------------------------------------------------------
 
-def adversarial_auc(data: DataFrame, folds: Sequence[int], family: str = "forest") -> DataFrame:
+def adversarial_auc(data: DataFrame, folds: Sequence[int], family: str = "forest", params: dict | None = None) -> DataFrame:
     """AUC of telling train from test rows; ``y`` is the side."""
-    oof = out_of_fold(data, family, folds, 2)
+    oof = out_of_fold(data, family, folds, 2, params)
     return rank_auc(oof.select("y", F.round(F.element_at("probs", 2), 9).alias("s")), [], "s", F.col("y") == 1)
 
 
-def separability(data: DataFrame, folds: Sequence[int], min_count: int = 10, family: str = "forest") -> DataFrame:
+def separability(data: DataFrame, folds: Sequence[int], min_count: int = 10, family: str = "forest", params: dict | None = None) -> DataFrame:
     """Mode AUC per application inside the audio-only rows; null when a mode has too few rows."""
     sub = data.filter("audio_only").withColumn("app", F.floor(F.col("y") / 2).cast("int")).withColumn("y", (F.col("y") % 2).cast("int"))
     sizes = sub.groupBy("app").agg(F.count(F.lit(1)).alias("flows"), F.sum("y").alias("video"))
@@ -264,15 +345,15 @@ def separability(data: DataFrame, folds: Sequence[int], min_count: int = 10, fam
     for r in sizes.collect():  # one row per application
         if min(r["video"], r["flows"] - r["video"]) >= min_count:
             own = sub.filter(F.col("app") == r["app"])
-            oof = out_of_fold(own, family, folds, 2)
+            oof = out_of_fold(own, family, folds, 2, params)
             auc = rank_auc(oof.select("y", F.round(F.element_at("probs", 2), 9).alias("s")), [], "s", F.col("y") == 1)
             parts.append(auc.select(F.lit(r["app"]).alias("app"), "auc"))
     return sizes.join(reduce(lambda a, b: a.unionByName(b), parts), "app", "left")
 
 
-def factorised(data: DataFrame, folds: Sequence[int], family: str = "forest") -> DataFrame:
+def factorised(data: DataFrame, folds: Sequence[int], family: str = "forest", params: dict | None = None) -> DataFrame:
     """Accuracy of the flat label, the application, the mode, and the product of the last two."""
-    acc = lambda name, y, n: E.argmax_rows(out_of_fold(data.withColumn("y", y.cast("int")), family, folds, n)).agg(
+    acc = lambda name, y, n: E.argmax_rows(out_of_fold(data.withColumn("y", y.cast("int")), family, folds, n, params)).agg(
         F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("accuracy")).select(F.lit(name).alias("target"), "accuracy")
     y = F.col("y")
     t = cut(acc("flat", y, N_CLASSES).unionByName(acc("application", F.floor(y / 2), len(APPS))).unionByName(acc("mode", y % 2, 2)))
@@ -321,12 +402,12 @@ def permutation_importance(model, data: DataFrame, columns: Sequence[str], row:
     return acc.filter("col >= 0").select(names.alias("feature"), split.alias("split_importance"), (base - F.col("acc")).alias("accuracy_drop"))
 
 
-def shipped(train: DataFrame, test: DataFrame, external: DataFrame, weight: float = 0.4, temperature: float = 2.0, params: Sequence[dict] = ({}, {}, {})) -> DataFrame:
-    """Three tree models averaged, tempered, corrected by the class prior, blended with an external matrix, ruled.
+def shipped(train: DataFrame, test: DataFrame, external: DataFrame, weight: float = 0.4, temperature: float = 2.0, members: Sequence[tuple[str, dict]] = (("boosted", {}), ("forest", {}), ("forest", {"featureSubsetStrategy": "all"}))) -> DataFrame:
+    """Three tree families (boosted, random forest, bagged trees over all columns) averaged, tempered, corrected by the class prior, blended with an external matrix, ruled.
 
     ``test`` carries ``audio_only``; ``external`` is probability rows of the same rows.
     """
-    fits = [rows_of(fit_predict("forest", train, test, N_CLASSES, dict(p)), f"tree_{i}") for i, p in enumerate(params)]
+    fits = [rows_of(fit_predict(family, train, test, N_CLASSES, dict(p)), f"tree_{i}") for i, (family, p) in enumerate(members)]
     mean = E.blend(reduce(lambda a, b: a.unionByName(b), fits), {f"tree_{i}": 1 / len(fits) for i in range(len(fits))})
     own = E.prior_correct(E.temper(mean, temperature), E.prior_row(train).scalar()).withColumn("model", F.lit("own"))
     both = own.unionByName(external.withColumn("model", F.lit("external")).select(*own.columns))
@@ -340,7 +421,7 @@ def shipped(train: DataFrame, test: DataFrame, external: DataFrame, weight: floa
 def pair_scorer(positives: DataFrame, negatives: DataFrame, group: str, columns: Sequence[str], train_share: float = 0.7, seed: int = 5) -> tuple[object, DataFrame]:
     """Forest on pair features; trained and tested on disjoint groups."""
     pairs = positives.withColumn("y", F.lit(1)).unionByName(negatives.withColumn("y", F.lit(0)))
-    side = F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(100)) < int(train_share * 100)
+    side = unit(seed, group) < train_share
     v = assemble(pairs.withColumn("is_train", side).withColumn("row_id", F.col("flow_id")), columns, ["row_id", "flow_id_b", "y", "is_train"])
     model = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=5, seed=SEED).fit(v.filter("is_train").withColumn("y", F.col("y").cast("double")))
     scored = cut(probabilities(model.transform(v), 2).select("row_id", "flow_id_b", "y", "is_train", F.round(F.element_at("probs", 2), 9).alias("score")))

@@ -1,18 +1,19 @@
 """Lexical, dense and fused retrieval over corpora of chunks, and hit rates.
 
 Chunks are ``(corpus, doc_id, text)``, queries are ``(query_id, text)`` and run against every corpus.
-Scores exist only for (query, chunk) pairs that share a term; everything else scores 0.
+Scores are made in pairs of blocks and only the best of each block leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.operators.docs import tokens
+from tessera.session import cut
 
 # fixed values: lexical parameters
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -44,101 +45,173 @@ def term_weights(tok: DataFrame) -> DataFrame:
     return raw.join(mean, "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
-    """Score of every (query, corpus, chunk) pair that shares a term; a repeated query term counts again.
+def weighted_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks with the weights of the query terms they hold: ``terms`` and ``weights``, two arrays of one length.
 
-    Tokens are cut to query terms by a semi join before anything is counted or multiplied.  A term's
-    postings are spread over ``salts`` parts and its queries copied to each part, so a frequent term is
-    no hot key; contributions are summed on the map side first.
+    Other tokens are cut by a semi join before anything is counted.  A weight does not depend on the query, so a score
+    is the sum of weights over a query's terms.  Chunks without any query term keep empty arrays.
     """
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(n_rows("qtf"))
-    terms = q.select("term").distinct()
+    terms = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     tok = tokenised(chunks)
     w = term_weights(tok).join(terms, "term", "left_semi")
     used = postings(tok, terms).join(w, ["corpus", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    used = used.select("corpus", "term", "doc_id", part.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    hit = used.join(qs, ["term", "salt"])
-    return hit.groupBy("query_id", "corpus", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"), n_rows("matched_terms"))
+    own = used.groupBy("corpus", "doc_id").agg(F.sort_array(F.collect_list(F.struct("term", part.alias("w")))).alias("p"))  # the terms of one chunk
+    out = chunks.drop("text").join(own, ["corpus", "doc_id"], "left")
+    return out.withColumn("terms", F.coalesce("p.term", F.array().cast("array<string>"))).withColumn("weights", F.coalesce("p.w", F.array().cast("array<double>"))).drop("p")
 
 
-def min_max(df: DataFrame, keys: Sequence[str], value: str, out: str, population: Column | None = None) -> DataFrame:
-    """Scale to 0..1 per key; flat groups become 0.
-
-    Extremes come from an aggregate.  ``population`` is the true group size when zero scores are left
-    out of ``df``; a group with fewer rows than that contains a zero.
-    """
-    keys = list(keys)
-    ext = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), n_rows("__n"), *([F.first(population).alias("__all")] if population is not None else []))
-    if population is not None:
-        zero = F.col("__n") < F.col("__all")
-        ext = ext.withColumn("__lo", F.when(zero, F.least("__lo", F.lit(0.0))).otherwise(F.col("__lo"))).withColumn("__hi", F.when(zero, F.greatest("__hi", F.lit(0.0))).otherwise(F.col("__hi")))
-    span = F.col("__hi") - F.col("__lo")
-    j = df.join(ext, keys)
-    return j.withColumn(out, F.when(span < 1e-9, F.lit(0.0)).otherwise((F.col(value) - F.col("__lo")) / F.greatest(span, F.lit(1e-9)))).drop("__lo", "__hi", "__n", "__all")
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Queries with ``terms`` and ``counts`` of their distinct tokens; a repeated token counts again."""
+    t = queries.withColumn("__t", tokens(F.col("text"))).withColumn("terms", F.array_distinct("__t"))
+    return t.withColumn("counts", F.transform("terms", lambda x: F.size(F.filter("__t", lambda y: y == x)).cast("double"))).drop("__t", "text")
 
 
-# ---- dense -----------------------------------------------------------------------------------
+# ---- pairs in blocks -------------------------------------------------------------------------
 
-def score_in_blocks(queries: DataFrame, corpus: DataFrame, kernel: Callable, schema: str, block: int = 1024) -> DataFrame:
-    """Every query against every corpus row as matrix products, the corpus read in place.
+def block_pairs(queries: DataFrame, rows: DataFrame, kernel: Callable, schema: str, query_block: int = 512, row_block: int = 4096) -> DataFrame:
+    """``kernel(queries, rows)`` on every block of queries and every block of one corpus' rows.
 
-    Queries travel to the tasks in blocks of at most ``block`` rows, whatever their number: each block is
-    cut by its position in hash order, so its size is known before it is sent.  One pass over the corpus
-    per block; ``kernel(query ids, query matrix, batch)`` returns a frame.
+    Both sides are dealt into blocks of bounded size by a hash of their id, on the executors; a kernel returns only what
+    its block can contribute.  Nothing passes the driver but two counts; no queries or no rows give no result.
     """
-    ordered = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id")
-    total = queries.count()
-    out = None
-    for start in range(0, total, block):
-        rows = ordered.offset(start).limit(block).collect()
-        ids, mat = np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], dtype=float)
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, mat=mat) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield kernel(ids, mat, pdf)
-
-        part = corpus.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def cosine_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Cosine of every query with every stored vector ``(doc_id, vector)``."""
-    def kernel(ids, q, pdf):
-        d = np.vstack(pdf["vector"].to_numpy()).astype(float)
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
-        d = d / (np.linalg.norm(d, axis=1, keepdims=True) + 1e-9)
-        s = d @ q.T
-        return pd.DataFrame({"query_id": np.tile(ids, len(d)), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), len(ids)), "dense": s.ravel()})
-
-    return score_in_blocks(queries, corpus, kernel, "query_id long, doc_id long, dense double")
-
-
-def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """The ``k`` nearest rows of each class per query, exact.
-
-    Each batch keeps its own ``k`` per (query, class); the rest of the selection is a ranked limit.
+    n_queries = max(queries.count(), 1)
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(-(-n_queries // query_block))).cast("int"))
+    sizes = rows.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / row_block).cast("int").alias("__blocks"))
+    d = rows.join(sizes, "corpus").withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.col("__blocks")).cast("int")).drop("__blocks")
+    each_qb = F.explode(F.sequence(F.lit(0), F.lit(-(-n_queries // query_block) - 1))).alias("qb")
+    places = sizes.select("corpus", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("cb")).select("corpus", "cb", each_qb)
+    keys = ["corpus", "cb", "qb"]
+    left = q.join(places, "qb")
+    if "__corpus" in queries.columns:
+        left = left.filter(F.col("__corpus") == F.col("corpus"))
+    left = left.toDF(*left.columns)  # new names for columns that both sides take from the rows
+    right = d.select("*", each_qb)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return empty
+        return kernel(a, b.sort_values("doc_id", ignore_index=True))
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
+    empty = pd.DataFrame({n: pd.Series([], dtype=kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "))})
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def lexical_matrix(q: pd.DataFrame, d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Lexical scores and numbers of shared terms of two blocks."""
+    score, shared = np.zeros((len(q), len(d))), np.zeros((len(q), len(d)), np.int32)
+    flat = lambda col: np.concatenate([np.asarray(x) for x in col]) if len(col) else np.zeros(0)
+    size = lambda col: np.fromiter(map(len, col), np.int64, len(col))
+    d_term, d_weight, d_row = flat(d["terms"]), flat(d["weights"]), np.repeat(np.arange(len(d)), size(d["terms"]))
+    q_term, q_count, q_row = flat(q["terms"]), flat(q["counts"]), np.repeat(np.arange(len(q)), size(q["terms"]))
+    if not len(d_term) or not len(q_term):
+        return score, shared
+    code = {t: i for i, t in enumerate(dict.fromkeys(q_term.tolist()))}
+    d_code, q_code = np.array([code.get(t, -1) for t in d_term]), np.array([code[t] for t in q_term])
+    order = np.argsort(d_code, kind="stable")
+    low, high = np.searchsorted(d_code[order], q_code, "left"), np.searchsorted(d_code[order], q_code, "right")
+    for i, a, b in zip(range(len(q_code)), low, high):
+        at = order[a:b]
+        score[q_row[i], d_row[at]] += q_count[i] * d_weight[at]
+        shared[q_row[i], d_row[at]] += 1
+    return score, shared
+
+
+def cosine_matrix(q: pd.DataFrame, d: pd.DataFrame) -> np.ndarray:
+    a, b = (np.vstack(x["vector"].to_numpy()).astype(float) for x in (q, d))
+    return (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-9)) @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-9)).T
+
+
+def best_columns(score: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best scores of each row; columns stand in id order, so ties go to the smaller id."""
+    ranked = np.round(score, 9)
+    if allowed is not None:
+        ranked = np.where(allowed, ranked, -np.inf)
+    best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(score)), best.shape[1])
+    col = best.ravel()
+    keep = np.isfinite(ranked[row, col])
+    return row[keep], col[keep]
+
+
+def _picked(q: pd.DataFrame, d: pd.DataFrame, row: np.ndarray, col: np.ndarray, **values) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "corpus": d["corpus"].to_numpy()[col], "doc_id": d["doc_id"].to_numpy()[col], **values})
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` best chunks per (query, corpus) among those that share a term: score, matched_terms, rank."""
+    def kernel(q, d):
+        score, shared = lexical_matrix(q, d)
+        row, col = best_columns(score, k, shared > 0)
+        return _picked(q, d, row, col, score=score[row, col], matched_terms=shared[row, col])
+
+    found = block_pairs(query_terms(queries), weighted_chunks(chunks, queries), kernel, "query_id long, corpus string, doc_id long, score double, matched_terms int")
+    return top_k(found.withColumn("__s", F.round("score", 9)), ["query_id", "corpus"], "__s", k).drop("__s")
+
+
+def cosine_top(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` best rows per (query, corpus) by cosine: dense, rank."""
+    def kernel(q, d):
+        dense = cosine_matrix(q, d)
+        row, col = best_columns(dense, k)
+        return _picked(q, d, row, col, dense=dense[row, col])
+
+    found = block_pairs(queries.select("query_id", "vector"), rows.select("corpus", "doc_id", "vector"), kernel, "query_id long, corpus string, doc_id long, dense double")
+    return top_k(found.withColumn("__s", F.round("dense", 9)), ["query_id", "corpus"], "__s", k).drop("__s")
+
+
+def hybrid_top(chunks: DataFrame, queries: DataFrame, alphas: Sequence[float], k: int) -> DataFrame:
+    """The ``k`` best chunks per (alpha, query, corpus) by alpha * dense + (1 - alpha) * lexical, both scaled to 0..1.
+
+    ``chunks`` are (corpus, doc_id, text, vector), ``queries`` (query_id, text, vector).  A first pass over the blocks
+    gives the extremes of both scores per (query, corpus), chunks that share no term scoring 0; the second pass scales
+    and keeps the best.  Neither pass emits more than that.
     """
-    def kernel(ids, q, pdf):
-        pdf = pdf.sort_values("doc_id")  # a stable sort by distance then breaks ties by id
-        frames = []
-        for cls, own in pdf.groupby("label"):
-            d, docs = np.vstack(own["vector"].to_numpy()).astype(float), own["doc_id"].to_numpy()
-            step = max(1, 20_000_000 // (d.size or 1))
-            for a in range(0, len(ids), step):
-                dist = np.sqrt(((q[a:a + step, None, :] - d[None, :, :]) ** 2).sum(-1))
-                if exclude_self:
-                    dist[ids[a:a + step, None] == docs[None, :]] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                frames.append(pd.DataFrame({"query_id": np.repeat(ids[a:a + step], best.shape[1]), "label": cls, "doc_id": docs[best].ravel(),
-                                            "dist": np.take_along_axis(dist, best, axis=1).ravel()}))
-        out = pd.concat(frames, ignore_index=True)
-        return out[np.isfinite(out["dist"])]
-
-    near = score_in_blocks(queries, corpus, kernel, "query_id long, label int, doc_id long, dist double")
+    q, d = cut(query_terms(queries)), cut(weighted_chunks(chunks, queries))
+
+    def spans(a, b):
+        (lex, _), dense = lexical_matrix(a, b), cosine_matrix(a, b)
+        return pd.DataFrame({"query_id": a["query_id"], "corpus": b["corpus"].iloc[0], "l0": lex.min(1), "l1": lex.max(1), "d0": dense.min(1), "d1": dense.max(1)})
+
+    ends = block_pairs(q, d, spans, "query_id long, corpus string, l0 double, l1 double, d0 double, d1 double").groupBy("query_id", F.col("corpus").alias("__corpus")).agg(
+        F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    scale = lambda x, lo, hi: np.where((hi - lo < 1e-9)[:, None], 0.0, (x - lo[:, None]) / np.maximum(hi - lo, 1e-9)[:, None])
+
+    def best(a, b):
+        lex = scale(lexical_matrix(a, b)[0], a["l0"].to_numpy(), a["l1"].to_numpy())
+        dense = scale(cosine_matrix(a, b), a["d0"].to_numpy(), a["d1"].to_numpy())
+        out = []
+        for alpha in alphas:
+            fused = alpha * dense + (1 - alpha) * lex
+            row, col = best_columns(fused, k)
+            out.append(_picked(a, b, row, col, alpha=float(alpha), dense_n=dense[row, col], bm25_n=lex[row, col], fused=np.round(fused[row, col], 9)))
+        return pd.concat(out, ignore_index=True)
+
+    found = block_pairs(q.join(ends, "query_id"), d, best, "query_id long, corpus string, doc_id long, alpha double, dense_n double, bm25_n double, fused double")
+    return top_k(found, ["alpha", "query_id", "corpus"], "fused", k)
+
+
+def class_neighbours(queries: DataFrame, rows: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """The ``k`` nearest rows of each class per query, exact; every block keeps its own ``k`` per (query, class)."""
+    def kernel(q, d):
+        a, b = np.vstack(q["vector"].to_numpy()).astype(float), np.vstack(d["vector"].to_numpy()).astype(float)
+        out = []
+        step = max(1, 20_000_000 // max(b.size, 1))
+        for at in range(0, len(a), step):
+            dist = np.sqrt(((a[at:at + step, None, :] - b[None, :, :]) ** 2).sum(-1))
+            own = q["query_id"].to_numpy()[at:at + step, None] == d["doc_id"].to_numpy()[None, :]
+            if exclude_self:
+                dist[own] = np.inf
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(best)), best.shape[1])
+            f = pd.DataFrame({"query_id": q["query_id"].to_numpy()[at:at + step][row], "label": int(d["corpus"].iloc[0]), "doc_id": d["doc_id"].to_numpy()[best.ravel()], "dist": dist[row, best.ravel()]})
+            out.append(f[np.isfinite(f["dist"])])
+        return pd.concat(out, ignore_index=True)
+
+    classed = rows.select(F.col("label").cast("string").alias("corpus"), "doc_id", "vector")
+    near = block_pairs(queries.select("query_id", "vector"), classed, kernel, "query_id long, label int, doc_id long, dist double")
     w = Window.partitionBy("query_id", "label").orderBy("dist", "doc_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -161,11 +234,6 @@ def nearest_class(near: DataFrame) -> DataFrame:
 
 # ---- fusion and ranking ----------------------------------------------------------------------
 
-def fuse(df: DataFrame, alpha: float | Column, dense: str = "dense_n", lexical: str = "bm25_n", out: str = "fused") -> DataFrame:
-    a = F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha
-    return df.withColumn(out, a * F.col(dense) + (1 - a) * F.col(lexical))
-
-
 def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, tie: str = "doc_id", out: str = "rank") -> DataFrame:
     """Best k per key, ties by id; the limit is applied on the map side as well."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
@@ -180,27 +248,39 @@ def late_interaction(cands: DataFrame, query_tokens: DataFrame, doc_tokens: Data
     return j.withColumn(out, score).drop("q_tokens", "d_tokens")
 
 
-def two_stage(df: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, fuse_k: int = 24, top: int = 6) -> DataFrame:
-    """Best ``fuse_k`` by fused score, reranked, best ``top`` kept."""
-    first = top_k(df, ["query_id"], "fused", fuse_k, out="first_rank")
-    scored = late_interaction(first, query_tokens, doc_tokens).withColumn("rerank", F.round("rerank", 9))
-    return top_k(scored, ["query_id"], "rerank", top)
+def two_stage(first: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame, top: int = 6) -> DataFrame:
+    """The ``top`` best per (query, corpus) of a first ranking, by late interaction."""
+    scored = late_interaction(first.withColumnRenamed("rank", "first_rank"), query_tokens, doc_tokens).withColumn("rerank", F.round("rerank", 9))
+    return top_k(scored, ["query_id", "corpus"], "rerank", top)
 
 
 # ---- evaluation ------------------------------------------------------------------------------
 
-def hit_rates(scored: DataFrame, relevant: DataFrame, alphas: Sequence[float], ks: Sequence[int] = (3, 5)) -> DataFrame:
-    """hit@k over fusion weights.
+def containing(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, corpus, doc_id) of chunks that contain an item's text.
+
+    A chunk that contains the text holds all its inner tokens, so chunks meet an item at its rarest inner token only;
+    items of one or two tokens meet at the rarest of these, as whole tokens.
+    """
+    tok = cut(tokenised(chunks).select("corpus", "doc_id", F.explode(F.array_distinct("tk")).alias("term")))
+    t = tokens(F.col("item"))
+    inner = F.when(F.size(t) > 2, F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(1)))).otherwise(t)
+    asked = items.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
+    df = tok.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(n_rows("df"))
+    rare = asked.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    pairs = tok.join(rare, "term").select("query_id", "corpus", "doc_id")
+    return pairs.join(items.select("query_id", "item"), "query_id").join(chunks.select("corpus", "doc_id", "text"), ["corpus", "doc_id"]).filter(F.contains("text", "item")).select("query_id", "corpus", "doc_id")
+
+
+def hit_rates(best: DataFrame, relevant: DataFrame, ks: Sequence[int] = (3, 5)) -> DataFrame:
+    """hit@k over fusion weights; ``best`` is (alpha, query_id, corpus, doc_id, rank) with ranks up to the largest k.
 
-    ``scored`` is (query_id, corpus, doc_id, dense_n, bm25_n); ``relevant`` is (query_id, corpus, doc_id).
     Query-corpus pairs without a relevant chunk are left out of the denominator.
     """
-    grid = scored.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    best = top_k(fuse(grid, F.col("alpha")).withColumn("fused", F.round("fused", 9)), ["alpha", "query_id", "corpus"], "fused", max(ks))
     good = relevant.select("query_id", "corpus", "doc_id", F.lit(True).alias("good"))
     first = best.join(good, ["query_id", "corpus", "doc_id"]).groupBy("alpha", "query_id", "corpus").agg(F.min("rank").alias("first_rank"))
-    asked = relevant.select("query_id", "corpus").distinct().withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    j = asked.join(first, ["alpha", "query_id", "corpus"], "left")
+    asked = relevant.select("query_id", "corpus").distinct()
+    j = best.select("alpha", "query_id", "corpus").distinct().join(asked, ["query_id", "corpus"]).join(first, ["alpha", "query_id", "corpus"], "left")
     rows = j.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     return rows.groupBy("alpha", "k").agg(F.sum(F.when(F.col("first_rank") <= F.col("k"), 1).otherwise(0)).alias("hits"), n_rows("asked")).withColumn("hit_rate", F.col("hits") / F.col("asked"))
 
@@ -216,9 +296,10 @@ def phrase_hits(best: DataFrame, texts: DataFrame, phrases: DataFrame, keys: Seq
 def context_pointers(retrieved: DataFrame, case: str = "corpus", query: str = "query_id") -> DataFrame:
     """Labels E1..En for distinct evidence in first-seen order, and each checkpoint's pointers to them.
 
-    A case has at most checkpoints x top-k retrieved rows, so the numbering window is small.
+    Evidence is one track's text, told apart by a hash of all of it.  A case has at most checkpoints x top-k retrieved
+    rows, so the numbering window is small.
     """
-    key = F.struct("track", F.substring("text", 1, 120).alias("head"))
+    key = F.struct("track", F.sha2("text", 256).alias("digest"))
     r = retrieved.withColumn("key", key).withColumn("pos", F.struct(query, "rank"))
     seen = r.groupBy(case, "key").agg(F.min("pos").alias("first"))
     named = seen.withColumn("label", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(case).orderBy("first")).cast("string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import boxes as B, raster as X
+from tessera.functions.draws import hash_sql, unit_sql
 from tessera.plans.registry import register
 from tessera.session import scratch_path
 from tessera.sources import files
@@ -80,7 +81,18 @@ def _(t):
     return B.boxes_in_tiles(b, TILE, STRIDE).select("image_id", "box_id", "tx", "ty", *B.GEO)
 
 
-@register("p14_training_windows")
+def _windows_sql(n=4, seed=3, jitter=200):
+    def start(lo, hi, size, k):
+        centre = f"(p.{lo}+p.{hi})/2 - {TILE}/2 + floor({unit_sql(seed + k, 'd.image_id', 'd.win')}*{2 * jitter + 1}) - {jitter}"
+        free = f"floor({unit_sql(seed + k + 10, 'd.image_id', 'd.win')}*(greatest({size}-{TILE},0)+1))"
+        return f"cast(case when centred then floor(least(greatest({centre},0.0),greatest({size}-{TILE},0))) else least({free},greatest({size}-{TILE},0)) end as bigint)"
+    return f""", im as (select distinct image_id, 400+image_id%3*100 as w, 300+image_id%2*120 as h from f_gt), d as (select *, cast(unnest(range({n})) as int) as win from im),
+pk as (select g.*, d.win, row_number() over (partition by g.image_id, d.win order by {hash_sql(seed, 'g.image_id', 'd.win', 'g.box_id')}) as r from f_gt g join d using (image_id)),
+j as (select d.image_id, d.win, d.w, d.h, {unit_sql(seed, 'd.image_id', 'd.win')} < 0.5 as centred, p.* exclude (image_id, win) from d join pk p on p.image_id=d.image_id and p.win=d.win and p.r=1)
+select d.image_id, d.win, d.w, d.h, d.centred, {start('x1', 'x2', 'w', 1).replace('p.', 'd.')} as tx, {start('y1', 'y2', 'h', 2).replace('p.', 'd.')} as ty from j d"""
+
+
+@register("p14_training_windows", "f_gt", _windows_sql())
 def _(t):
     return B.training_windows(_images(t), t.gt, 4, TILE, seed=3)
 
@@ -285,10 +297,9 @@ def _(t):
 INK = """, ink as (select b.image_id, b.box_id, avg(t_ink) as t_mean, avg(p_ink) as p_mean from f_rbox b join f_raster r on r.image_id=b.image_id and r.x>=cast(trunc(b.x1) as int) and r.x<cast(trunc(b.x2) as int) and r.y>=cast(trunc(b.y1) as int) and r.y<cast(trunc(b.y2) as int) group by all)"""
 
 
-@register("j17_polarity_filter", "f_rbox f_raster", INK + " select image_id, box_id, round(t_mean,6) as t_mean, round(p_mean,6) as p_mean from ink where not (t_mean>3 and p_mean<3.9)")
+@register("j17_polarity_filter", "f_rbox f_raster", INK + " select image_id, box_id, round(t_mean,6) as t_mean, round(p_mean,6) as p_mean from ink where not (t_mean>3.9 and p_mean<3.9)")
 def _(t):
-    ink = X.box_ink(t.raster_boxes, t.raster)
-    return R6(ink.filter(~((F.col("t_mean") > 3) & (F.col("p_mean") < 3.9))), "t_mean", "p_mean")
+    return R6(X.polarity_filter(t.raster_boxes, t.raster, 3.9).select("image_id", "box_id", "t_mean", "p_mean"), "t_mean", "p_mean")
 
 
 @register("a30_polarity_counts", "f_rbox f_raster", INK + " select count(*) as boxes, count(*) filter (t_mean<4 and p_mean>4) as additions, count(*) filter (p_mean<4 and t_mean>4) as deletions, count(*) filter (t_mean>=4 and p_mean>=4) as modifications, round(avg(case when p_mean>t_mean then 1.0 else 0 end),6) as more_ink_share from ink")
@@ -299,11 +310,11 @@ def _(t):
 @register("j18_snapped_boxes", "f_rbox f_raster", """
 , d as (select image_id, y, x from f_raster where abs(p_ink-t_ink)>25),
 fit as (select b.image_id, b.box_id, count(*) as n, min(x) as n_x1, min(y) as n_y1, max(x)+2 as n_x2, max(y)+2 as n_y2 from f_rbox b join d on d.image_id=b.image_id
-  and d.x>=cast(trunc(greatest(b.x1-6,0)) as int) and d.x<cast(trunc(least(b.x2+6,48)) as int) and d.y>=cast(trunc(greatest(b.y1-6,0)) as int) and d.y<cast(trunc(least(b.y2+6,48)) as int) group by all having count(*)>=3),
+  and d.x>=cast(trunc(greatest(b.x1-6,0)) as int) and d.x<cast(trunc(least(b.x2+6,12)) as int) and d.y>=cast(trunc(greatest(b.y1-6,0)) as int) and d.y<cast(trunc(least(b.y2+6,12)) as int) group by all having count(*)>=3),
 j as (select b.*, n_x1, n_y1, n_x2, n_y2, coalesce(greatest(abs(n_x1-x1),abs(n_y1-y1),abs(n_x2-x2),abs(n_y2-y2))<=6, false) as ok from f_rbox b left join fit using (image_id,box_id))
 select image_id, box_id, cast(case when ok then n_x1 else x1 end as double) as x1, cast(case when ok then n_y1 else y1 end as double) as y1, cast(case when ok then n_x2 else x2 end as double) as x2, cast(case when ok then n_y2 else y2 end as double) as y2, ok as snapped from j""")
 def _(t):
-    return X.snap_to_ink(t.raster_boxes, t.raster, 48, 48)
+    return X.snap_to_ink(t.raster_boxes, t.raster, 12, 12)
 
 
 @register("w08_heatmap_boxes", "f_grid", """
@@ -317,7 +328,7 @@ def _(t):
 CLOSED = """, m as (select image_id, y, x, case when abs(p_ink-t_ink)>25 then 1 else 0 end as m from f_raster),
 g as (select a.image_id, a.y, a.x, max(b.m) as m from m a join m b on a.image_id=b.image_id and b.x between a.x-1 and a.x+1 and b.y between a.y-1 and a.y+1 group by all),
 e as (select a.image_id, a.y, a.x, min(b.m) as m from g a join g b on a.image_id=b.image_id and b.x between a.x-1 and a.x+1 and b.y between a.y-1 and a.y+1 group by all),
-px as (select image_id, y, x, y*48+x as id from e where m=1)"""
+px as (select image_id, y, x, y*12+x as id from e where m=1)"""
 
 
 @register("m32_difference_blobs", "f_raster", CLOSED + """

@@ -140,7 +140,7 @@ def _(t):
 @register("m05_mixture_components")
 def _(t):
     z = X.standardise(t.train, DENS, ["flow_id", "label_id"])
-    return X.mixture_em(z, DENS, "label_id", rounds=5)
+    return X.mixture_em(z, DENS, "label_id")
 
 
 # ---- pairs -----------------------------------------------------------------------------------
@@ -158,9 +158,13 @@ def _(t):
     return p.select("gkey", "flow_id", "flow_id_b", *[F.round(f"{k}_{x}", 9).alias(f"{k}_{x}") for x in DENS for k in ("diff", "mean")])
 
 
-@register("j10_negative_pairs")
+@register("j10_negative_pairs", "f_group f_flow", f"""
+, s as (select g.* from f_group g where g.split = 'train'), a as (select *, row_number() over (order by {hash_sql(42, "flow_id")}, flow_id) as o from s),
+b as (""" + " union all ".join(f"select *, {i} as i, row_number() over (order by {hash_sql(43 + i, 'flow_id')}, flow_id) as o from s" for i in range(3)) + """)
+select a.gkey, a.flow_id, b.flow_id as flow_id_b, """ + ", ".join(f"round(abs(a.{x}-b.{x}),9) as diff_{x}, round((a.{x}+b.{x})/2,9) as mean_{x}" for x in DENS) + " from a join b using (o) where a.gkey <> b.gkey")
 def _(t):
-    return X.negative_pairs(t.grouped.filter("split = 'train'"), "gkey", "flow_id", DENS)
+    p = X.negative_pairs(t.grouped.filter("split = 'train'"), "gkey", "flow_id", DENS)
+    return p.select("gkey", "flow_id", "flow_id_b", *[F.round(f"{k}_{x}", 9).alias(f"{k}_{x}") for x in DENS for k in ("diff", "mean")])
 
 
 @register("j12_block_pair_means", "", """

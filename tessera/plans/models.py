@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as E, fitted, flows, folds, models as M, raster
 from tessera.plans.fitted import DENS
+from tessera.functions.draws import hash_sql, unit
 from tessera.plans.registry import register
 
 c = F.col
@@ -17,6 +18,7 @@ COLS = ["len_range", "len_mean", "len_std", "total_span", "gp_log_pl3", "packet_
         "packet_length_4", "delta_t_1", "delta_t_2", "delta_t_3", "delta_t_4"]
 KEEP = ["row_id", "y", "fold", "split", "audio_only"]
 FOLDS = [0, 1, 2, 3, 4]
+Q = M.QUICK  # these queries are run often
 
 
 def data(t, split="train"):
@@ -38,7 +40,37 @@ def _(t):
 
 @register("m09_oof_record")
 def _(t):
-    return M.oof_record(M.out_of_fold(data(t), "forest", FOLDS))
+    return M.oof_record(M.out_of_fold(data(t), "forest", FOLDS, params=Q["forest"]))
+
+
+FOLD_SQL = f"fd as (select flow_id as row_id, label_id as y, cast((row_number() over (order by {hash_sql(0, 'flow_id')}, flow_id) - 1) % 5 as int) as fold from f_flow where split = 'train')"
+
+
+@register("m09_out_of_fold_rows", "f_flow", ", " + FOLD_SQL + " select row_id, y, fold, true as is_distribution, 1 as times from fd")
+def _(t):
+    """Every training row is answered once, in its own fold, by a distribution over all classes."""
+    oof = M.out_of_fold(data(t), "forest", FOLDS, params=Q["forest"])
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    good = (F.abs(total - 1) < 1e-9) & (F.size("probs") == 10) & (F.array_min("probs") >= 0)
+    return oof.groupBy("row_id", "y", "fold").agg(F.bool_and(good).alias("is_distribution"), F.count(F.lit(1)).cast("int").alias("times"))
+
+
+@register("m09_repeated_schemes")
+def _(t):
+    """Records over two repeats of stratified and of grouped folds."""
+    d, f = data(t), t.grouped.filter("split = 'train'")
+    plain = folds.stratified_folds(f, "flow_id", "label_id", repeats=2).select(c("flow_id").alias("row_id"), "repeat", "fold")
+    grouped = folds.group_folds(f, "flow_id", "gkey", "label_id").select(c("flow_id").alias("row_id"), "repeat", "fold")
+    parts = [M.repeated_record(d, "forest", x, params=Q["forest"]).withColumn("scheme", F.lit(n)) for n, x in (("stratified", plain), ("grouped", grouped))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("m09_test_rows", "f_flow", ", a as (select flow_id as row_id from f_flow where split = 'test') select row_id, true as is_distribution from a")
+def _(t):
+    """Refit on all training rows, one distribution per test row."""
+    got = M.refit_predict("forest", data(t), data(t, "test"), params=Q["forest"])
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return got.select("row_id", ((F.abs(total - 1) < 1e-9) & (F.size("probs") == 10)).alias("is_distribution"))
 
 
 @register("m11_grid_search")
@@ -49,15 +81,14 @@ def _(t):
 @register("m13_model_families")
 def _(t):
     d = data(t)
-    tr, va = d.filter("fold <> 0"), d.filter("fold = 0")
-    rows = reduce(lambda a, b: a.unionByName(b), [M.rows_of(M.fit_predict(f, tr, va), f) for f in M.FAMILIES])
+    rows = reduce(lambda a, b: a.unionByName(b), [M.out_of_fold(d, f, FOLDS, params=Q[f]) for f in [*M.FAMILIES, "neighbours"]])
     return E.summary(E.argmax_rows(rows), ["model"])
 
 
 @register("m14_hierarchical_heads")
 def _(t):
-    d = data(t)
-    return E.summary(E.argmax_rows(M.hierarchical(d.filter("fold <> 0"), d.filter("fold = 0"))), ["model"])
+    rows = M.over_folds(data(t), FOLDS, lambda tr, va: M.hierarchical(tr, va, params=Q["forest"]))
+    return E.summary(E.argmax_rows(rows), ["model"])
 
 
 @register("m14_head_composition", "f_prob", """
@@ -72,8 +103,8 @@ def _(t):
 
 @register("m15_mixture_view")
 def _(t):
-    d = data(t)
-    return E.summary(E.argmax_rows(M.mixture_view(d.filter("fold <> 0"), d.filter("fold = 0"))), ["model"])
+    rows = M.over_folds(data(t), FOLDS, lambda tr, va: M.mixture_view(tr, va, params=Q["forest"]))
+    return E.summary(E.argmax_rows(rows), ["model"])
 
 
 @register("m15_fold_back", "f_prob", """
@@ -104,26 +135,26 @@ def _(t):
 
 def refolded(t):
     """Members with folds by row, so every class is in every fold."""
-    return M.member_table(t.prob_rows.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(5)).cast("int")), ABC)
+    return M.member_table(t.prob_rows.withColumn("fold", F.floor(unit(5, "row_id") * 5).cast("int")), ABC)
 
 
 @register("m19_stacking")
 def _(t):
-    return E.summary(E.argmax_rows(M.stack(refolded(t), ABC, FOLDS)), ["model"])
+    return E.summary(E.argmax_rows(M.stack(refolded(t), ABC, FOLDS, params=Q["logistic"])), ["model"])
 
 
 @register("m20_ensemble_choice")
 def _(t):
     table = refolded(t)
     rows = t.prob_rows.unionByName(E.blend(t.prob_rows, {m: 1 / 3 for m in ABC}).select("row_id", "y", "fold", "model", "probs"))
-    rows = rows.unionByName(M.nested_hill_climb(table, ABC, FOLDS, 4).select(*rows.columns)).unionByName(M.stack(table, ABC, FOLDS).select(*rows.columns))
+    rows = rows.unionByName(M.nested_hill_climb(table, ABC, FOLDS).select(*rows.columns)).unionByName(M.stack(table, ABC, FOLDS, params=Q["logistic"]).select(*rows.columns))
     return M.choose_ensemble(rows)
 
 
 @register("m22_vector_calibration")
 def _(t):
     table = refolded(t)
-    cal = [M.stack(table, ["a"], FOLDS, True, reg, name) for name, reg in (("vector", 0.0), ("dirichlet", 0.01))]
+    cal = [M.stack(table, ["a"], FOLDS, True, reg, name, Q["logistic"]) for name, reg in (("vector", 0.0), ("dirichlet", 0.01))]
     raw = t.prob_rows.filter("model = 'a'").withColumn("model", F.lit("raw"))
     rows = reduce(lambda x, z: x.unionByName(z.select(*raw.columns)), cal, raw)
     return E.calibration_summary(E.argmax_rows(rows), "model", "raw")
@@ -132,7 +163,8 @@ def _(t):
 @register("m23_class_bias")
 def _(t):
     rows = t.prob_rows.filter("model = 'a'")
-    return E.summary(E.argmax_rows(M.apply_bias(rows, M.fit_bias(rows, rounds=1)).withColumn("model", F.lit("biased"))).unionByName(E.argmax_rows(rows)), ["model"])
+    parts = [E.argmax_rows(M.apply_bias(rows, M.fit_bias(rows, kind=kind)).withColumn("model", F.lit(kind))) for kind in ("accuracy", "macro_f1")]
+    return E.summary(reduce(lambda a, b: a.unionByName(b), parts, E.argmax_rows(rows)), ["model"])
 
 
 @register("m24_shuffled_control")
@@ -140,7 +172,7 @@ def _(t):
     d = data(t)
     y = folds.shuffled_labels(d.select("row_id", "y"), "row_id", "y", 1).select("row_id", "shuffled")
     s = d.join(y, "row_id").withColumn("y", c("shuffled")).drop("shuffled")
-    rows = M.rows_of(M.fit_predict("forest", s.filter("fold <> 0"), s.filter("fold = 0")), "shuffled")
+    rows = M.out_of_fold(s, "forest", FOLDS, params=Q["forest"])
     return E.summary(E.argmax_rows(rows), ["model"])
 
 
@@ -148,17 +180,17 @@ def _(t):
 def _(t):
     d = data(t, None).withColumn("y", F.when(c("split") == "test", 1).otherwise(0))
     d = folds.permuted_folds(d.drop("fold"), "row_id")
-    return M.adversarial_auc(d, [0, 1])
+    return M.adversarial_auc(d, FOLDS, params=Q["forest"])
 
 
 @register("m26_factorised_targets")
 def _(t):
-    return M.factorised(data(t), [0, 1])
+    return M.factorised(data(t), FOLDS, params=Q["forest"])
 
 
 @register("m27_separability")
 def _(t):
-    return M.separability(data(t), [0, 1])
+    return M.separability(data(t), FOLDS, params=Q["forest"])
 
 
 def embeddings(t):
@@ -199,7 +231,7 @@ def _(t):
 def _(t):
     d = data(t, None)
     tr, te = d.filter("split = 'train'"), d.filter("split = 'test'")
-    out = M.shipped(tr, te, t.prob_rows.filter("model = 'a'"), params=({"numTrees": 10}, {"numTrees": 5, "maxDepth": 7}, {"numTrees": 10, "maxDepth": 4}))
+    out = M.shipped(tr, te, t.prob_rows.filter("model = 'a'"), members=(("boosted", Q["boosted"]), ("forest", Q["forest"]), ("forest", Q["forest"] | {"featureSubsetStrategy": "all"})))
     return out.select("row_id", flows.label_text(c("pred")).alias("raw_label"), flows.label_text(c("ruled")).alias("label"))
 
 

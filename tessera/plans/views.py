@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators.flows import flow_key, group_key
 from tessera.operators.ordered import ordinal_in_slots
-from tessera.session import spread, tune
+from tessera.session import tune
 from tessera.vocabulary import LABELS, N_CHECKPOINTS
 
 HOUR_US = 3_600_000_000
@@ -148,20 +148,20 @@ class Tables:
 
     @cached_property
     def raster(self) -> DataFrame:
-        img = self.table("lineitem").select(F.col("l_orderkey").alias("image_id")).filter("image_id % 250 = 0").distinct()
-        px = (img.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
-              .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(47)))))
+        img = self.table("lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
+        px = (img.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11))))
+              .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(11)))))
         ink = ((F.col("x") * 7 + F.col("y") * 11 + F.col("image_id")) % 9).cast("double")
         mark = (F.floor(F.col("x") / 6) + F.floor(F.col("y") / 5) + F.col("image_id")) % 7 == 0
         return px.select("image_id", "y", "x", ink.alias("t_ink"), (ink + F.when(mark, 40).otherwise(0)).alias("p_ink"))
 
     @cached_property
     def raster_boxes(self) -> DataFrame:
-        g = self.gt.filter("image_id % 250 = 0")
-        x1, y1 = F.col("x1") % 36, F.col("y1") % 36
+        g = self.gt
+        x1, y1 = F.col("x1") % 9, F.col("y1") % 9
         return g.select("image_id", "box_id", x1.alias("x1"), y1.alias("y1"),
-                        (x1 + F.least(F.col("x2") - F.col("x1"), F.lit(12.0))).alias("x2"),
-                        (y1 + F.least(F.col("y2") - F.col("y1"), F.lit(12.0))).alias("y2"))
+                        (x1 + F.least(F.col("x2") - F.col("x1"), F.lit(3.0))).alias("x2"),
+                        (y1 + F.least(F.col("y2") - F.col("y1"), F.lit(3.0))).alias("y2"))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -223,7 +223,7 @@ class Tables:
     @cached_property
     def docs(self) -> DataFrame:
         c = F.col
-        d = spread(self.table("documents"), "doc_id").filter(~(c("source").isin("src7", "src17") & (c("doc_id") % 9 == 0)))
+        d = self.table("documents").filter(~(c("source").isin("src7", "src17") & (c("doc_id") % 9 == 0)))
         text = F.concat(c("text"), F.when(c("doc_id") % 6 == 0, " [DEFICIENCY - NOT DOCUMENTED]").otherwise(""),
                         F.when(c("doc_id") % 11 == 0, " records kept in Vietnamese").otherwise(""))
         return d.select("doc_id", c("source").alias("case_id"), "lang", (1 + c("doc_id") % 9).cast("int").alias("track"),

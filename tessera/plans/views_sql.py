@@ -71,11 +71,11 @@ select * from rec where rk>0) y"""),
     "f_raster": (["f_gt"], """
 select i.image_id, yy.v as y, xx.v as x, cast((xx.v*7+yy.v*11+i.image_id)%9 as double) as t_ink,
   cast((xx.v*7+yy.v*11+i.image_id)%9 as double) + case when (floor(xx.v/6)+floor(yy.v/5)+i.image_id)%7=0 then 40 else 0 end as p_ink
-from (select distinct image_id from f_gt where image_id%250=0) i cross join (select cast(event_id as int) as v from events where event_id<48) xx
- cross join (select cast(event_id as int) as v from events where event_id<48) yy"""),
+from (select distinct image_id from f_gt) i cross join (select cast(event_id as int) as v from events where event_id<12) xx
+ cross join (select cast(event_id as int) as v from events where event_id<12) yy"""),
     "f_rbox": (["f_gt"], """
-select image_id, box_id, x1 % 36 as x1, y1 % 36 as y1, x1 % 36 + least(x2-x1, 12) as x2, y1 % 36 + least(y2-y1, 12) as y2
-from f_gt where image_id%250=0"""),
+select image_id, box_id, x1 % 9 as x1, y1 % 9 as y1, x1 % 9 + least(x2-x1, 3) as x2, y1 % 9 + least(y2-y1, 3) as y2
+from f_gt"""),
     "f_grid": (["f_raster"], """
 select image_id, y, x, ((x*37 + y*91 + image_id) % 101) / 100.0 as score, cast(4 + x % 9 as double) as w, cast(4 + y % 7 as double) as h from f_raster"""),
     "f_verdict": ([], """

@@ -49,13 +49,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut lineage in reliable storage, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give heavy per-row work enough tasks.
-
-    A table in one small file is one split, so one core would do everything.  Only then are rows moved, by
-    a hash of ``keys``; a table with at least as many splits as cores is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

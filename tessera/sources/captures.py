@@ -1,7 +1,7 @@
 """Nested capture files to flow rows.
 
-A capture member is one JSON object ``{flow id: {packet_data: {series name: [numbers]}}}``; the folder
-it lies in names the application.
+A capture member is one JSON object ``{flow id: {container: {series name: [numbers]}}}``; the container is called
+packet_data, packet_series or packets, and the folder the member lies in names the application.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.session import scratch_path
 
-MEMBER = "MAP<STRING, STRUCT<packet_data: MAP<STRING, ARRAY<DOUBLE>>>>"
+# fixed values: names of the container that holds a flow's series, in order of preference
+CONTAINERS = ["packet_data", "packet_series", "packets"]
+MEMBER = "MAP<STRING, STRUCT<" + ", ".join(f"{c}: MAP<STRING, ARRAY<DOUBLE>>" for c in CONTAINERS) + ">>"
 
 # fixed values: series names seen in the releases, in order of preference
 LENGTH_SERIES = ["l4_payload_bytes", "packet_length", "l4_payload_len", "payload_len"]
@@ -32,6 +34,10 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
                       F.from_json("value", MEMBER).alias("flows"))
 
 
+def series_of(flow: Column) -> Column:
+    return F.coalesce(*[flow[c] for c in CONTAINERS])
+
+
 def _series(data: Column, names: Sequence[str]) -> Column:
     """First series whose lower-cased name contains a wanted name, by preference."""
     keys = F.map_keys(data)
@@ -45,9 +51,9 @@ def _median(arr: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.ceil((n + 1) / 2).cast("int"))) / 2
 
 
-def reduce_flows(members: DataFrame, max_packets: int = 20, min_packets: int = 5, max_per_member: int = 4000, udp_only: bool = True) -> DataFrame:
+def reduce_flows(members: DataFrame, max_packets: int = 20, min_packets: int = 5, max_per_member: int | None = None, udp_only: bool = True) -> DataFrame:
     """Padded lengths and gaps, validity mask and transport flag per flow."""
-    f = members.select("file_path", "label", F.explode("flows").alias("flow_id", "rec")).select("file_path", "label", "flow_id", F.col("rec.packet_data").alias("d"))
+    f = members.select("file_path", "label", F.explode("flows").alias("flow_id", "rec")).select("file_path", "label", "flow_id", series_of(F.col("rec")).alias("d"))
     f = f.select("file_path", "label", "flow_id", _series(F.col("d"), LENGTH_SERIES).alias("l"), _series(F.col("d"), GAP_SERIES).alias("t"),
                  F.try_element_at("d", F.lit(HEADER_SERIES)).alias("hdr"))
     f = f.withColumn("n", F.least(F.size("l"), F.size("t"))).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.col("n") >= min_packets))
@@ -58,8 +64,9 @@ def reduce_flows(members: DataFrame, max_packets: int = 20, min_packets: int = 5
     if udp_only:
         f = f.filter("is_udp")
     f = f.withColumn("gaps", normalised_gaps(F.col("t")))
-    w = Window.partitionBy("file_path").orderBy("flow_id")
-    f = f.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= max_per_member)
+    if max_per_member is not None:
+        w = Window.partitionBy("file_path").orderBy("flow_id")
+        f = f.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= max_per_member)
     take = F.least(F.col("n"), F.lit(max_packets))
     pad = lambda c, zero: F.slice(F.concat(F.slice(c, F.lit(1), take), F.array_repeat(F.lit(zero), max_packets)), 1, max_packets)
     return f.select("file_path", "label", "flow_id", pad("l", 0.0).alias("lengths"), pad("gaps", 0.0).alias("gaps"),
@@ -77,7 +84,7 @@ def normalised_gaps(t: Column) -> Column:
 
 def reconnaissance(members: DataFrame) -> DataFrame:
     """Members, bytes and flows per folder, and the series names found."""
-    keys = F.explode_outer(F.flatten(F.transform(F.map_values("flows"), lambda r: F.map_keys(r["packet_data"]))))
+    keys = F.explode_outer(F.flatten(F.transform(F.map_values("flows"), lambda r: F.map_keys(series_of(r)))))
     head = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"), F.sum(F.size("flows")).alias("flows"))
     names = members.select("label", keys.alias("k")).distinct().groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("series"))
     return head.join(names, "label")
