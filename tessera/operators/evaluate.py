@@ -6,10 +6,12 @@ A probability row is ``(row_id, y, fold, model, probs ARRAY<DOUBLE>)``; a decisi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from math import lgamma, log, pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import ordered
@@ -204,22 +206,30 @@ def mcnemar(counts: DataFrame) -> DataFrame:
                         .when(sig & (F.col("a_only") > F.col("b_only")), "A significantly better").otherwise("not established")).drop("lo", "__top").withColumnRenamed("n", "discordant")
 
 
-def bootstrap_gain(rows: DataFrame, before: str, after: str, replicates: int, seed: int) -> DataFrame:
+def bootstrap_gain(rows: DataFrame, before: str, after: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Paired bootstrap of the macro-F1 difference.
 
-    Each row gets a Poisson(1) weight per replicate from a hash of (replicate, row), so a retry repeats
-    it.  Rows shrink to (replicate, y, before, after) weights in the map stage.
+    Rows shrink to counts per (y, before, after) first.  The Poisson(1) weights of a cell's rows add up to one Poisson
+    draw with the count as its mean, so each replicate draws one total per cell; draws are seeded by the replicate and
+    cells stand in a fixed order, so a retry repeats them.  There are at most classes^3 cells, whatever the rows.
     """
-    u = (F.pmod(F.xxhash64("row_id", F.lit(seed), "rep"), F.lit(1 << 30)).cast("double") + 0.5) / (1 << 30)
-    cdf, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for i in range(9):
-        cdf += term
-        weight = weight + F.when(F.col("__u") > cdf, 1).otherwise(0)
-        term /= i + 1
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__u", u)
-    cells = reps.groupBy("rep", "y", before, after).agg(F.sum(weight).alias("w"))
-    f = lambda c: summary(cells, ["rep"], c, F.col("w")).select("rep", F.col("macro_f1").alias(f"f_{c}"))
-    d = f(before).join(f(after), "rep").withColumn("delta", F.col(f"f_{after}") - F.col(f"f_{before}"))
+    cells = rows.groupBy("y", before, after).agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("y").cast("int").alias("y"), F.col(before).cast("int").alias("a"), F.col(after).cast("int").alias("b"), "n"))).alias("cells"))
+    spark = rows.sparkSession
+    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep")).withColumn("cells", cells.select("cells").scalar())
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rep, own in zip(pdf["rep"], pdf["cells"]):
+                y, a, b, n = (np.array([c[k] for c in own], np.int64) for k in ("y", "a", "b", "n"))
+                w = np.random.default_rng([seed, int(rep)]).poisson(n)
+                classes = range(N_CLASSES)
+                f1 = lambda p: np.mean([2 * w[(y == k) & (p == k)].sum() / max(w[y == k].sum() + w[p == k].sum(), 1) for k in classes])
+                out.append((rep, f1(b) - f1(a)))
+            yield pd.DataFrame(out, columns=["rep", "delta"]).astype({"rep": "int32", "delta": "float64"})
+
+    d = reps.mapInPandas(draw, "rep int, delta double")
     # one row per replicate
     return d.agg(F.avg("delta").alias("delta_mean"), F.percentile("delta", F.lit(0.025)).alias("ci_low"),
                  F.percentile("delta", F.lit(0.975)).alias("ci_high"), share(F.col("delta") > 0).alias("p_gain_positive"))

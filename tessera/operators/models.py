@@ -6,10 +6,11 @@ Feature frames are cut from their lineage once and reused by all fits.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
@@ -213,22 +214,39 @@ def _mix(members: Sequence[str], weights: Sequence[float]) -> Column:
     return out
 
 
+def trial_hits(table: DataFrame, members: Sequence[str], trials: Sequence[tuple[int | None, Sequence[int]]]) -> list[float]:
+    """Accuracy of every (held-out fold, member counts) over the rows outside that fold; tasks return sums only."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits, rows = np.zeros(len(trials)), np.zeros(len(trials))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            p = np.stack([np.stack(pdf[f"p_{m}"].to_numpy()) for m in members])  # member, row, class
+            y, fold = pdf["y"].to_numpy(), pdf["fold"].to_numpy()
+            for i, (held, counts) in enumerate(trials):
+                use = np.ones(len(y), bool) if held is None else fold != held
+                hits[i] += (np.tensordot(np.asarray(counts, float), p, 1).argmax(1) == y)[use].sum()
+                rows[i] += use.sum()
+        yield pd.DataFrame({"trial": np.arange(len(trials)), "hits": hits, "rows": rows})
+
+    got = table.select("y", "fold", *[f"p_{m}" for m in members]).mapInPandas(run, "trial int, hits double, rows double").groupBy("trial").agg(F.sum("hits").alias("h"), F.sum("rows").alias("n")).collect()
+    found = {r["trial"]: r["h"] / max(r["n"], 1) for r in got}  # one row per trial
+    return [found.get(i, 0.0) for i in range(len(trials))]
+
+
 def hill_climbs(table: DataFrame, members: Sequence[str], held: Sequence[int | None], steps: int = 80) -> dict[int | None, dict[str, float]]:
     """Greedy forward selection with replacement, one climb per held-out fold (None: all rows).
 
-    A step scores every member of every open climb in one aggregate; a climb ends when its best member lowers its score
-    or after ``steps``.
+    A step scores every member of every open climb in one pass; a climb ends when its best member lowers its score or
+    after ``steps``.
     """
     counts = {f: [0] * len(members) for f in held}
     best, open_ = {f: 0.0 for f in held}, set(held)
     for step in range(steps):
-        trials = [(f, i, [c + (j == i) for j, c in enumerate(counts[f])]) for f in held if f in open_ for i in range(len(members))]
+        trials = [(f, [c + (j == i) for j, c in enumerate(counts[f])]) for f in held if f in open_ for i in range(len(members))]
         if not trials:
             break
-        hit = lambda t: F.when(E.argmax(_mix(members, t)) == F.col("y"), 1.0).otherwise(0.0)
-        row = lambda f, t: hit(t) if f is None else F.when(F.col("fold") != f, hit(t))
-        got = table.agg(*[F.avg(row(f, t)).alias(f"s{n}") for n, (f, i, t) in enumerate(trials)]).first()
-        score = {(f, i): got[f"s{n}"] or 0.0 for n, (f, i, t) in enumerate(trials)}
+        score = dict(zip([(f, i) for f in held if f in open_ for i in range(len(members))], trial_hits(table, members, trials)))
         for f in list(open_):
             top = max(range(len(members)), key=lambda i: (score[f, i], -i))
             if step and score[f, top] < best[f] - 1e-9:

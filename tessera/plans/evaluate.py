@@ -152,7 +152,7 @@ def _(t):
 @register("a29_bootstrap_gain")
 def _(t):
     rows = E.force_class(with_audio(t, decided(t, "a")), "audio_only", [8, 9], 8)
-    return E.bootstrap_gain(rows, "pred", "ruled", 100, 42)
+    return E.bootstrap_gain(rows, "pred", "ruled")
 
 
 @register("a37_cluster_quality", "", """

@@ -38,7 +38,7 @@ def write_captures(t) -> str:
         F.array(F.lit("L4_payload_bytes"), F.lit("iat"), F.lit("L4_header_bytes")),
         F.array(F.slice(lens, F.lit(1), cut), F.slice(F.when(c("flow_id") % 9 == 0, clock).otherwise(iat), F.lit(1), cut), F.slice(hdr, F.lit(1), cut)))
     rows = t.flow_arrays.select("flow_id", "user_id", F.floor(c("flow_no") / 50).alias("part"), label_id.alias("label_id"),
-                                F.struct(c("flow_id").cast("string").alias("k"), F.struct(series.alias("packet_data")).alias("v")).alias("e"))
+                                F.struct(c("flow_id").cast("string").alias("k"), F.struct(*[F.when(c("user_id") % 3 == i, series).alias(n) for i, n in enumerate(captures.CONTAINERS)]).alias("v")).alias("e"))
     app = F.element_at(F.array(*[F.lit(a) for a in APPS]), (F.floor(c("label_id") / 2) + 1).cast("int"))
     members = rows.groupBy("label_id", "user_id", "part").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).select(app.alias("app"), "value")
     path = scratch_path(t.spark, "captures")
