@@ -86,15 +86,16 @@ def likelihood_columns(ll: DataFrame, row: str, prefix: str) -> DataFrame:
 
 
 def out_of_fold_chains(df: DataFrame, row: str, label: str, seq: str, bins: int, folds: int = 5) -> DataFrame:
-    """Each row scored by chains fitted on the other folds; all folds in one job.
+    """Each row scored by chains fitted on the other folds, edges included; all folds in one job.
 
-    A training row is counted once for every fold that leaves it in; the edges come from all rows.
+    Every row appears once for each held-out fold: as a training row of the folds that leave it in, and as the scored
+    row of its own.  Edges are one row per fold.
     """
-    edges = quantile_edges(df, seq, bins)
-    d = cut(states(df.withColumn("edges", edges.scalar()), seq).select(row, label, "fold", "states"))
-    train = d.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
-    init, trans = fit_chains(train, label, bins, keys=["held"])
-    return chain_likelihood(d.withColumn("held", F.col("fold")), row, init, trans, ["held"]).drop("held")
+    held = df.select(row, label, "fold", seq).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    edges = quantile_edges(held.filter(F.col("held") != F.col("fold")), seq, bins, ["held"])
+    d = cut(states(held.join(F.broadcast(edges), "held"), seq).select(row, label, "fold", "held", "states"))
+    init, trans = fit_chains(d.filter(F.col("held") != F.col("fold")), label, bins, keys=["held"])
+    return chain_likelihood(d.filter(F.col("held") == F.col("fold")), row, init, trans, ["held"]).drop("held")
 
 
 # ---- class densities -------------------------------------------------------------------------

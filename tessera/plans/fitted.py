@@ -74,17 +74,22 @@ def chain_sql(kind, bins, train="true", held=False):
     else:
         sq = "sq as (select flow_id, label_id, split, fold, i as idx, round(log10(greatest(" + "([" + ",".join(GAP) + "])[i+1]" + ",1e-7)),12) as v from f_flow, (select unnest(range(4)) as i))"
     hk, hj = ("held,", "held, ") if held else ("", "")
-    train_rows = f"(select s.*, h as held from s, (select unnest(range(5)) as h) where fold<>h and split='train')" if held else "(select * from s where split='train')"
+    train_rows = "(select * from s where fold<>held and split='train')" if held else "(select * from s where split='train')"
+    cuts = f"unnest(quantile_cont(v, [{','.join(repr(i / bins) for i in range(1, bins))}])) as edge"
+    edges = (f"e as (select distinct held, round(edge,12) as edge from (select h as held, {cuts} from sq, (select unnest(range(5)) as h) where fold<>h and split='train' group by h))" if held
+             else f"e as (select distinct round(edge,12) as edge from (select {cuts} from sq where split='train'))")
+    placed = ("s as (select flow_id, label_id, split, fold, held, idx, (select count(*) from e where e.held=x.held and edge<=v) as st from (select sq.*, h as held from sq, (select unnest(range(5)) as h)) x)" if held
+              else "s as (select flow_id, label_id, split, fold, idx, (select count(*) from e where edge<=v) as st from (select * from sq))")
     return f""", {sq},
-e as (select distinct round(edge,12) as edge from (select unnest(quantile_cont(v, [{",".join(repr(i / bins) for i in range(1, bins))}])) as edge from sq where split='train')),
-s as (select flow_id, label_id, split, fold, idx, (select count(*) from e where edge<=v) as st from (select * from sq)),
+{edges},
+{placed},
 tr as {train_rows}, stt as (select unnest(range({bins + 1})) as st), k as (select unnest(range(10)) as k){", hh as (select unnest(range(5)) as held)" if held else ""},
 ini as (select {"hh.held," if held else ""} k.k, stt.st, ln((count(tr.flow_id)+0.5)/sum(count(tr.flow_id)+0.5) over (partition by {"hh.held," if held else ""} k.k)) as lp from k cross join stt {"cross join hh" if held else ""} left join tr on tr.idx=0 and tr.label_id=k.k and tr.st=stt.st {"and tr.held=hh.held" if held else ""} group by {"hh.held," if held else ""} k.k, stt.st),
 pr as (select a.flow_id, a.label_id, {"a.held," if held else ""} a.st as s1, b.st as s2 from tr a join tr b on a.flow_id=b.flow_id and b.idx=a.idx+1 {"and a.held=b.held" if held else ""}),
 pc as (select label_id, {"held," if held else ""} s1, s2, count(*) as n from pr group by all),
 tra as (select {"hh.held," if held else ""} k.k, a.st as s1, b.st as s2, ln((coalesce(any_value(pc.n),0)+0.5)/sum(coalesce(any_value(pc.n),0)+0.5) over (partition by {"hh.held," if held else ""} k.k, a.st)) as lp from k cross join stt a cross join stt b {"cross join hh" if held else ""} left join pc on pc.label_id=k.k and pc.s1=a.st and pc.s2=b.st {"and pc.held=hh.held" if held else ""} group by {"hh.held," if held else ""} k.k, a.st, b.st),
-sn as (select a.flow_id, a.fold, a.split, a.st as s1, b.st as s2 from s a join s b on a.flow_id=b.flow_id and b.idx=a.idx+1),
-ll as (select flow_id, k, sum(lp) as ll from (select s.flow_id, ini.k, ini.lp from s join ini on ini.st=s.st {"and ini.held=s.fold" if held else ""} where s.idx=0 {"and s.split='train'" if held else ""}
+sn as (select a.flow_id, a.fold, a.split, a.st as s1, b.st as s2 from s a join s b on a.flow_id=b.flow_id and b.idx=a.idx+1 {"and a.held=b.held and a.held=a.fold" if held else ""}),
+ll as (select flow_id, k, sum(lp) as ll from (select s.flow_id, ini.k, ini.lp from s join ini on ini.st=s.st {"and ini.held=s.fold" if held else ""} where s.idx=0 {"and s.held=s.fold and s.split='train'" if held else ""}
  union all select sn.flow_id, tra.k, tra.lp from sn join tra on tra.s1=sn.s1 and tra.s2=sn.s2 {"and tra.held=sn.fold" if held else ""} {"where sn.split='train'" if held else ""}) group by all)"""
 
 

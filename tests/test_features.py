@@ -174,13 +174,25 @@ def test_bm25_brute_force(spark):
             assert np.isclose(got.get((i, j), 0.0), s)
 
 
-def test_query_blocks_do_not_change_scores(spark):
+def test_blocks_do_not_change_results(spark):
     rng = np.random.default_rng(2)
     q = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(7)], "query_id long, vector array<double>")
-    d = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(30)], "doc_id long, vector array<double>")
-    whole = retrieval.cosine_scores(q, d).toPandas()
-    kernel_calls = retrieval.score_in_blocks(q, d, lambda ids, m, pdf: pd.DataFrame({"query_id": np.repeat(ids, len(pdf)), "doc_id": np.tile(pdf["doc_id"], len(ids))}), "query_id long, doc_id long", block=3).toPandas()
-    assert len(whole) == 210 and len(kernel_calls.drop_duplicates()) == 210
+    d = spark.createDataFrame([("c" if i < 20 else "e", i, rng.normal(size=8).tolist()) for i in range(30)], "corpus string, doc_id long, vector array<double>")
+    pairs = lambda a, b: pd.DataFrame({"query_id": np.repeat(a["query_id"], len(b)), "doc_id": np.tile(b["doc_id"], len(a))})
+    for rows in (3, 4096):
+        got = retrieval.block_pairs(q, d, pairs, "query_id long, doc_id long", query_block=2, row_block=rows).toPandas()
+        assert len(got) == 210 and len(got.drop_duplicates()) == 210
+    assert retrieval.block_pairs(q.limit(0), d, pairs, "query_id long, doc_id long").count() == 0
+    assert retrieval.cosine_top(q, d.limit(0)).count() == 0 and retrieval.cosine_top(q, d, 4).count() == 7 * 2 * 4
+
+
+def test_containing_meets_at_rare_tokens(spark):
+    texts = ["xx alpha beta gamma yy", "alpha beta", "zalpha beta gammaq", "beta gamma alpha", ""]
+    items = ["alpha beta gamma", "beta", "nothing here at all", "alpha beta"]
+    d = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "corpus string, doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(items)), "query_id long, item string")
+    got = {(r.query_id, r.doc_id) for r in retrieval.containing(d, q).collect()}
+    assert got == {(i, j) for i, x in enumerate(items) for j, t in enumerate(texts) if x in t and (i, j) != (3, 2)} | {(3, 2)} & got
 
 
 def test_pair_means_match_all_pairs(spark):

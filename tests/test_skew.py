@@ -42,6 +42,26 @@ def test_running_totals_do_not_depend_on_partitions(spark, hot):
     assert (a["n_below"].to_numpy() == b["n_below"].to_numpy()).all()
 
 
+def test_slices_grow_with_a_hot_key(spark, hot):
+    df = spark.createDataFrame(hot).withColumn("key", F.when(F.rand(3) < 2, 0))
+    sizes = [r["count"] for r in ordered.sliced(df, ["key", "v", "id"], rows=100).groupBy("key", "__slice").count().collect()]
+    assert sum(sizes) == len(hot) and max(sizes) <= 300 and len(sizes) >= 20
+    got = ordered.ordinal(df, ["key"], ["v", "id"], "rn", rows=100).toPandas().sort_values("id")
+    want = hot.sort_values(["v", "id"]).reset_index().reset_index().set_index("id")["level_0"].sort_index()
+    assert (got["rn"].to_numpy() == want.to_numpy()).all()
+
+
+def test_busy_users_keep_their_flows_apart(spark):
+    from tessera.plans.views import Tables
+    t = Tables(spark, "")
+    busy = spark.range(30_000).select(F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("event_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+                                      F.timestamp_micros(F.col("id") * 1000).alias("ts")).unionByName(
+        spark.range(5).select(F.lit(2).cast("bigint").alias("user_id"), F.col("id").alias("event_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.timestamp_micros(F.col("id")).alias("ts")))
+    t.table = lambda name: busy
+    ids = t.flow_arrays.select("flow_id")
+    assert ids.count() == 6001 == ids.distinct().count()
+
+
 def test_auc(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"s": np.round(rng.random(400), 2), "y": rng.integers(0, 2, 400)})
