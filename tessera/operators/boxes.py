@@ -339,6 +339,8 @@ def blend_scores(df: DataFrame, score: str, verifier: Sequence[str], b: float =
     return df.withColumn("blended", sum(parts[1:], parts[0]) / len(parts))
 
 
+# fixed values of the crop, fusion and matching rules: 2.5, 32, 256, 0.35, 0.20, 0.7
+
 # ---- fusion ----------------------------------------------------------------------------------
 
 def islands(df: DataFrame, cell: float = 16.0) -> DataFrame:
@@ -360,33 +362,25 @@ def islands(df: DataFrame, cell: float = 16.0) -> DataFrame:
 
 
 def _fuse(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sources: int) -> list[tuple]:
-    """Running weighted averages over boxes in visiting order; a wide block is compared in one array step."""
-    fused: list[list[float]] = []
+    """Running weighted averages over boxes in visiting order; each box meets all fused ones in one array step."""
+    fused = np.zeros((min(len(boxes), 64), 4))
     members: list[list[int]] = []
     for i, (x1, y1, x2, y2) in enumerate(boxes):
-        best, j = 0.0, -1
-        if len(fused) > 64:
-            f = np.asarray(fused)
-            inter = np.clip(np.minimum(x2, f[:, 2]) - np.maximum(x1, f[:, 0]), 0, None) * np.clip(np.minimum(y2, f[:, 3]) - np.maximum(y1, f[:, 1]), 0, None)
-            union = (x2 - x1) * (y2 - y1) + (f[:, 2] - f[:, 0]) * (f[:, 3] - f[:, 1]) - inter
-            iou = np.where(union > 0, inter / np.maximum(union, 1e-9), 0.0)
-            j = int(iou.argmax())
-            best = float(iou[j])
-        else:
-            for k, (a, b, c, d) in enumerate(fused):
-                w, h = min(x2, c) - max(x1, a), min(y2, d) - max(y1, b)
-                if w > 0 and h > 0:
-                    union = (x2 - x1) * (y2 - y1) + (c - a) * (d - b) - w * h
-                    v = w * h / max(union, 1e-9) if union > 0 else 0.0
-                    if v > best:
-                        best, j = v, k
-        if j < 0 or best < iou_thr:
+        f = fused[:len(members)]
+        inter = np.clip(np.minimum(x2, f[:, 2]) - np.maximum(x1, f[:, 0]), 0, None) * np.clip(np.minimum(y2, f[:, 3]) - np.maximum(y1, f[:, 1]), 0, None)
+        union = (x2 - x1) * (y2 - y1) + (f[:, 2] - f[:, 0]) * (f[:, 3] - f[:, 1]) - inter
+        iou = np.where((union > 0) & (inter > 0), inter / np.maximum(union, 1e-9), 0.0)
+        j = int(iou.argmax()) if len(iou) else -1
+        if j < 0 or iou[j] <= 0 or iou[j] < iou_thr:
+            if len(members) == len(fused):
+                fused = np.concatenate([fused, np.zeros_like(fused)])
+            fused[len(members)] = (x1, y1, x2, y2)
             members.append([i])
-            fused.append([x1, y1, x2, y2])
         else:
             members[j].append(i)
             total = sum(scores[m] for m in members[j])
             fused[j] = [sum(boxes[m][c] * scores[m] for m in members[j]) / total for c in range(4)]
+    fused = fused[:len(members)].tolist()
     out = []
     for f, m in zip(fused, members):
         score = sum(scores[i] for i in m) / len(m) * min(len(m), n_sources) / n_sources
@@ -410,19 +404,27 @@ def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFram
         "image_id", *GEO, F.least(F.greatest(F.col("score") / n_sources, F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(1).cast("long").alias("members"))
 
     def run(batches):
-        rest = None
+        held = []  # pieces of the block that may go on in the next batch
         for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            ids = pdf[key].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]) if len(pdf) else []
-            if len(starts) == 0:
+            if not len(pdf):
                 continue
-            rest = pdf.iloc[starts[-1]:]  # the last block may go on in the next batch
-            if len(starts) > 1:
-                yield fuse_blocks(pdf, list(starts))
-        if rest is not None and len(rest):
-            yield fuse_blocks(rest, [0, len(rest)])
+            ids = pdf[key].to_numpy()
+            begins = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            if held and (held[-1][key].to_numpy()[-1] != ids[0]).any():
+                yield whole_block(held)
+                held = []
+            if len(begins):
+                yield whole_block([*held, pdf.iloc[:begins[0]]])
+                if len(begins) > 1:
+                    yield fuse_blocks(pdf.iloc[begins[0]:begins[-1]], [x - begins[0] for x in begins])
+                held = []
+            held.append(pdf.iloc[begins[-1] if len(begins) else 0:])
+        if held:
+            yield whole_block(held)
+
+    def whole_block(pieces: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(pieces, ignore_index=True)
+        return fuse_blocks(pdf, [0, len(pdf)])
 
     def fuse_blocks(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
         geo, sc, img = pdf[GEO].to_numpy(float).tolist(), pdf["score"].tolist(), pdf["image_id"].tolist()

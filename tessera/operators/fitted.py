@@ -191,14 +191,18 @@ def block_pair_means(df: DataFrame, block: str, vector: str, dim: int) -> DataFr
     """Number of row pairs and their mean cosine inside and between blocks, exact and without listing pairs.
 
     The dot products of all pairs of two blocks add up to the dot product of the blocks' vector sums, so one
-    aggregate over the rows is enough; pairs of blocks are made from that one row per block.
+    aggregate over the rows is enough; pairs are made from one row per block.
     """
     v = [F.element_at(vector, i + 1).cast("double") for i in range(dim)]
     norm = F.sqrt(V.total([x * x for x in v])) + V.EPS
     unit = df.withColumn("__n", norm)
     sums = unit.groupBy(block).agg(n_rows(), F.array(*[F.sum(x / F.col("__n")) for x in v]).alias("s"), F.sum(V.total([x * x for x in v]) / (F.col("__n") * F.col("__n"))).alias("own"))
-    table = sums.agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("b"), "n", "s", "own"))).alias("t"))  # one entry per block
-    j = table.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("c")).filter("a.b <= c.b")
+    # one side is dealt into parts by a hash of the block, the other visits every part: no task holds all blocks
+    sums = cut(sums.select(F.struct(F.col(block).alias("b"), "n", "s", "own").alias("a")))
+    parts = max(1, -(-sums.count() // 64))
+    left = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = sums.select(F.col("a").alias("c"), F.pmod(F.xxhash64("a.b"), F.lit(parts)).cast("int").alias("part"))
+    j = left.join(right, "part").filter("a.b <= c.b")
     dot = F.aggregate(F.zip_with("a.s", "c.s", lambda x, y: x * y), F.lit(0.0), lambda p, q: p + q)
     same = F.col("a.b") == F.col("c.b")
     pairs = F.when(same, F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("c.n"))
