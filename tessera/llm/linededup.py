@@ -18,6 +18,8 @@ MIN_CONTEXTS = 10
 LOG_K = 10
 #: Half width of the band around a threshold, in deviations, that is counted exactly.
 BAND = 6.0
+#: Parts into which a line's occurrences are dealt before its sketches merge, so that a very common line is no hot key.
+SALTS = 32
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, log_k: int = LOG_K) -> DataFrame:
@@ -26,16 +28,18 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int
     ``lines`` has site, h, c per occurrence.  A line with fewer occurrences than a threshold cannot reach it, so a
     count with map-side combine goes first and sketches are built for the others only.
     """
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_sites, min_contexts)).select("h")
-    some = lines.join(often, "h", "left_semi")
-    seen = some.groupBy("h").agg(F.hll_sketch_agg(F.coalesce("site", F.lit("\x00")), F.lit(log_k)).alias("s"), F.hll_sketch_agg("c", F.lit(log_k)).alias("c"))
+    often = cut(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_sites, min_contexts)).select("h"))
+    salted = lambda d: d.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    some = lines.withColumn("salt", F.pmod("c", F.lit(SALTS)).cast("int")).join(salted(often), ["h", "salt"], "left_semi")
+    parts = some.groupBy("h", "salt").agg(F.hll_sketch_agg(F.coalesce("site", F.lit("\x00")), F.lit(log_k)).alias("s"), F.hll_sketch_agg("c", F.lit(log_k)).alias("c"))
+    seen = parts.groupBy("h").agg(F.hll_union_agg("s").alias("s"), F.hll_union_agg("c").alias("c"))
     seen = seen.select("h", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("c").alias("contexts"))
     width = BAND * 1.04 / (2 ** (log_k / 2))
     low, high = (lambda t: t - t * width - 1), (lambda t: t + t * width + 1)
     passed = seen.filter((F.col("sites") >= low(min_sites)) & (F.col("contexts") >= low(min_contexts)))
     passed = passed.withColumn("sure", (F.col("sites") > high(min_sites)) & (F.col("contexts") > high(min_contexts)))
     near = passed.filter(~F.col("sure")).select("h")
-    exact = some.join(near, "h", "left_semi").groupBy("h").agg(
+    exact = some.join(salted(near), ["h", "salt"], "left_semi").groupBy("h").agg(
         F.countDistinct(F.coalesce("site", F.lit("\x00"))).alias("sites"), F.countDistinct("c").alias("contexts"))
     return passed.filter("sure").select("h").unionByName(exact.filter((F.col("sites") >= min_sites) & (F.col("contexts") >= min_contexts)).select("h"))
 
@@ -45,7 +49,7 @@ def marked_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     rows = pick(docs, doc_id="bigint", text="string", **{site: "string"}).withColumnRenamed(site, "site")
     base = cut(rows.select("site", *row_key("doc_id", "text", "site"), line_entries().alias("e")).select("site", "k1", "k2", with_contexts("e").alias("e")))
     lines = base.select("k1", "k2", "site", F.explode("e").alias("l")).select("k1", "k2", "site", "l.h", "l.c")
-    gone = spread_lines(lines, min_sites, min_contexts)
+    gone = cut(spread_lines(lines, min_sites, min_contexts))  # written, so that a very common line can be split in the join
     return lines.join(gone, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("gone"))
 
 
