@@ -401,6 +401,52 @@ def probe_quality(scored: DataFrame) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.when(E.argmax("probs") == F.col("y"), 1.0).otherwise(0.0)).alias("accuracy"), (1 - sse / sst).alias("r2"))
 
 
+def probe_block(aux: DataFrame, target: DataFrame, classes: dict[str, int], levels: Sequence[str], reg: float = 0.01, rounds: int = 200) -> DataFrame:
+    """Linear probes of several targets, fitted on one corpus and read out on the rows of another.
+
+    Both frames hold ``features`` and every target column.  A class target (name -> classes) adds probs_, entropy_ and
+    margin_ columns, a level pred_ and resid_, how far the row lies from what the first corpus expects of it.  Features
+    are scaled by the first corpus; its rows without a target are left out of that probe.
+    """
+    aux, out = scaled(aux, target)
+    for name, n in classes.items():
+        known = aux.filter(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("y"))
+        scored = FAMILIES["logistic"](0, n, {"regParam": reg, "maxIter": rounds}).fit(known).transform(out)
+        out = probabilities(scored, n).withColumnRenamed("probs", f"probs_{name}").drop("rawPrediction", "probability", "prediction")
+        s = F.array_sort(f"probs_{name}")
+        entropy = F.aggregate(f"probs_{name}", F.lit(0.0), lambda a, p: a - p * F.log(F.greatest(p, F.lit(1e-9))))
+        out = out.withColumns({f"entropy_{name}": entropy, f"margin_{name}": F.element_at(s, -1) - F.element_at(s, -2)})
+    for name in levels:
+        known = aux.filter(F.col(name).isNotNull()).select("features", name)
+        ridge = LinearRegression(labelCol=name, predictionCol=f"pred_{name}", regParam=reg, elasticNetParam=0.0, maxIter=rounds).fit(known)
+        out = ridge.transform(out).withColumn(f"resid_{name}", F.col(name) - F.col(f"pred_{name}"))
+    return out
+
+
+def probe_report(block: DataFrame, classes: dict[str, int], levels: Sequence[str]) -> DataFrame:
+    """(probe, metric, value) on held-out rows: accuracy and the largest class share, AUC of two classes, R squared of levels."""
+    n = F.count(F.lit(1))
+    found = {}
+    for name, k in classes.items():
+        found[name, "accuracy"] = F.avg(F.when(E.argmax(f"probs_{name}") == F.col(name), 1.0).otherwise(0.0))
+        found[name, "majority"] = F.greatest(*[F.sum(F.when(F.col(name) == c, 1).otherwise(0)) for c in range(k)]) / n
+    for name in levels:
+        found[name, "r2"] = 1 - F.avg(F.col(f"resid_{name}") * F.col(f"resid_{name}")) / F.nullif(F.var_pop(name), F.lit(0.0))
+    row = block.agg(*[v.alias(f"v{i}") for i, v in enumerate(found.values())])
+    long = F.explode(F.array(*[F.struct(F.lit(p).alias("probe"), F.lit(m).alias("metric"), F.col(f"v{i}").cast("double").alias("value")) for i, (p, m) in enumerate(found)]))
+    parts = [row.select(long.alias("r")).select("r.*")]
+    for name in (x for x, k in classes.items() if k == 2):
+        auc = rank_auc(block.select(name, F.round(F.element_at(f"probs_{name}", 2), 9).alias("s")), [], "s", F.col(name) == 1)
+        parts.append(auc.select(F.lit(name).alias("probe"), F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def probe_vectors(block: DataFrame, classes: dict[str, int], levels: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Feature vectors of nothing but probe columns, for a probe-only model."""
+    arrays = [F.col(f"probs_{x}") for x in classes] + [F.array(f"entropy_{x}", f"margin_{x}") for x in classes] + [F.array(f"pred_{x}", f"resid_{x}") for x in levels]
+    return cut(block.select(*keep, array_to_vector(F.concat(*arrays)).alias("features")))
+
+
 def permutation_importance(model, data: DataFrame, columns: Sequence[str], row: str, seed: int = 7) -> DataFrame:
     """Split importance of a fitted forest and the accuracy lost when one column is shuffled.
 

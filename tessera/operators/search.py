@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,3 +57,30 @@ def spec_text(columns: Sequence[str]) -> Column:
 
 def spec_key(columns: Sequence[str], length: int = 16) -> Column:
     return F.substring(F.sha1(spec_text(columns)), 1, length)
+
+
+def spec_list(base: DataFrame, axes: dict[str, Sequence], length: int = 16) -> DataFrame:
+    """Base columns, params, spec_key: every point of the axes for every base row.
+
+    ``params`` is JSON with sorted keys, so lists with different axes have one schema; the key covers it and the base columns.
+    """
+    params = F.struct(*sorted(axes))
+    whole = F.struct(*[params.alias(c) if c == "params" else F.col(c) for c in sorted([*base.columns, "params"])])
+    key = F.substring(F.sha1(F.to_json(whole)), 1, length)
+    return spec_grid(base, axes).select(*base.columns, F.to_json(params).alias("params"), key.alias("spec_key"))
+
+
+def stage_specs(features: DataFrame, stages: dict[str, dict[str, Sequence]]) -> DataFrame:
+    """Specs of several stages, one per family, over the same feature sets."""
+    lists = [spec_list(features.select(F.lit(model).alias("model"), *features.columns), axes) for model, axes in stages.items()]
+    return reduce(lambda a, b: a.unionByName(b), lists)
+
+
+def switched(points: DataFrame, switches: dict[str, Sequence]) -> DataFrame:
+    """Each point under every setting of the switches, which replace its own: ablation lists and seed bags."""
+    return spec_grid(points.drop(*switches), switches)
+
+
+def open_specs(specs: DataFrame, record: DataFrame, key: str = "spec_key") -> DataFrame:
+    """Specs without a result in the record yet."""
+    return specs.join(record.select(key).distinct(), key, "left_anti")

@@ -214,3 +214,47 @@ def _(t):
     base = t.search.select("model", "features").distinct()
     grid = search.spec_grid(base, {"depth": [4, 6, 8], "trees": [100, 300], "seed": [0, 1]})
     return grid.withColumn("spec_key", search.spec_key(["model", "features", "depth", "trees", "seed"]))
+
+
+STAGES = {"forest": {"numTrees": [600, 1200], "maxDepth": [12, 24], "minInstancesPerNode": [1, 2, 4]},
+          "boosted": {"maxIter": [400, 800], "maxDepth": [3, 4, 6, 8], "stepSize": [0.03, 0.06, 0.12]}}
+
+
+@register("m10_stage_specs", "f_search", """
+, b as (select distinct features, target_feats from f_search),
+f as (select features, target_feats, 'forest' as model, '{"maxDepth":'||d||',"minInstancesPerNode":'||l||',"numTrees":'||n||'}' as params
+  from b, (select unnest([12,24]) as d), (select unnest([1,2,4]) as l), (select unnest([600,1200]) as n)),
+g as (select features, target_feats, 'boosted' as model, '{"maxDepth":'||d||',"maxIter":'||n||',"stepSize":'||cast(r as double)||'}' as params
+  from b, (select unnest([3,4,6,8]) as d), (select unnest([400,800]) as n), (select unnest([0.03,0.06,0.12]) as r))
+select *, substring(sha1('{"features":"'||features||'","model":"'||model||'","params":'||params||',"target_feats":'||target_feats||'}'),1,16) as spec_key
+from (from f union all from g)""")
+def _(t):
+    return search.stage_specs(t.search.select("features", "target_feats").distinct(), STAGES)
+
+
+@register("m10_ablation_specs", "f_search", DEDUPE + """
+, r as (select model, row_number() over (partition by model order by group_acc desc, hash) as k from d),
+g as (select model, features, target_feats, probes from r, (select unnest(['full','top120','top60']) as features), (select unnest([true,false]) as target_feats),
+  (select unnest([true,false]) as probes) where k=1)
+select *, substring(sha1('{"features":"'||features||'","model":"'||model||'","probes":'||probes||',"target_feats":'||target_feats||'}'),1,16) as spec_key from g""")
+def _(t):
+    """The best family members under every setting of the feature blocks."""
+    best = search.finalists(search.last_per_key(t.search, "hash", "seq"), 1, 100).select("model")
+    specs = search.switched(best, {"features": ["full", "top120", "top60"], "target_feats": [True, False], "probes": [True, False]})
+    return specs.withColumn("spec_key", search.spec_key(specs.columns))
+
+
+@register("m10_open_seed_bags", "f_search", DEDUPE + """
+, p as (select model, features from d order by group_acc desc, hash limit 12),
+g as (select distinct model, features, bag, '{"numTrees":'||n||',"temperature":'||cast(x as double)||'}' as params
+  from p, (select unnest([1,5]) as bag), (select unnest([8,16,32]) as n), (select unnest([0.75,0.9,1.05]) as x)),
+k as (select *, substring(sha1('{"bag":'||bag||',"features":"'||features||'","model":"'||model||'","params":'||params||'}'),1,16) as spec_key from g)
+select * from k where bag=5 or model not in (select model from d where group_acc<0.56)""")
+def _(t):
+    """Seed bags of the best points, without the single fits of families that have a poor record already."""
+    rec = search.last_per_key(t.search, "hash", "seq")
+    best = rec.orderBy(F.desc("group_acc"), "hash").limit(12).select("model", "features").distinct()
+    specs = search.spec_list(search.switched(best, {"bag": [1, 5]}), {"numTrees": [8, 16, 32], "temperature": [0.75, 0.9, 1.05]})
+    poor = rec.filter("group_acc < 0.56").select("model").distinct()
+    tried = specs.filter("bag = 1").join(poor, "model", "left_semi")
+    return search.open_specs(specs, tried)

@@ -12,6 +12,7 @@ from tessera.operators import evaluate as E, fitted, flows, folds, models as M,
 from tessera.plans.fitted import DENS
 from tessera.functions.draws import hash_sql, unit
 from tessera.plans.registry import register
+from tessera.session import cut
 
 c = F.col
 COLS = ["len_range", "len_mean", "len_std", "total_span", "gp_log_pl3", "packet_length_0", "packet_length_1", "packet_length_2", "packet_length_3",
@@ -213,6 +214,37 @@ def _(t):
     return M.probe_quality(M.probe_features(e.filter("row_id % 3 <> 0"), e.filter("row_id % 3 = 0")))
 
 
+CLASSES = {"app": 5, "video_like": 2, "alignment_level": 5}
+LEVELS = ["log_bitrate", "log_mean_gap", "frac_mtu"]
+
+
+def probed(t):
+    """Probe columns of two folds of the training flows; the other three stand for the auxiliary corpus."""
+    arr = t.flow.select(c("flow_id").alias("row_id"), F.array(*flows.lens()).alias("x"), F.array(F.lit(0.0), *flows.gaps()).alias("g"))
+    d = cut(data(t).withColumn("app", F.floor(c("y") / 2).cast("int")).join(flows.auxiliary_targets(arr, "x", "g", "row_id"), "row_id"))  # read by every probe
+    return cut(M.probe_block(d.filter("fold < 3"), d.filter("fold >= 3"), CLASSES, LEVELS))
+
+
+@register("m28_probe_block")
+def _(t):
+    names = [f"{k}_{x}" for x in CLASSES for k in ("probs", "entropy", "margin")] + [f"{k}_{x}" for x in LEVELS for k in ("pred", "resid")]
+    return probed(t).select("row_id", "y", *names)
+
+
+@register("m29_probe_report")
+def _(t):
+    return M.probe_report(probed(t), CLASSES, LEVELS)
+
+
+@register("m29_probe_only_model")
+def _(t):
+    """A model of probe columns alone over folds of the rows that no probe was fitted on."""
+    dealt = folds.permuted_folds(probed(t).drop("fold"), "row_id")
+    rows = M.out_of_fold(M.probe_vectors(dealt, CLASSES, LEVELS, ["row_id", "y", "fold"]), "forest", FOLDS, params=Q["forest"])
+    majority = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("majority"))
+    return E.summary(E.argmax_rows(rows), ["model"]).withColumn("majority", majority.scalar())
+
+
 @register("m30_same_source_scorer")
 def _(t):
     g = t.grouped.filter("split = 'train'")
