@@ -6,6 +6,8 @@ Feature frames are cut from their lineage once and reused by all fits.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -148,6 +150,19 @@ def grid_search(data: DataFrame, family: str, grid: dict[str, Sequence], n: int
     return data.sparkSession.createDataFrame(rows, "model string, params string, group_acc double")  # one row per specification
 
 
+def run_specs(data: DataFrame, specs: DataFrame, folds: Sequence[int], n: int = N_CLASSES) -> DataFrame:
+    """Full record of every spec (spec_key, model, params as JSON): accuracy, macro-F1 and log loss over the folds, and fit seconds.
+
+    A spec is one run of distributed fits; the driver holds the list of specs only.
+    """
+    parts = []
+    for s in specs.select("spec_key", "model", "params").orderBy("spec_key").collect():
+        start = time.monotonic()
+        rec = cut(oof_record(out_of_fold(data, s["model"], folds, n, json.loads(s["params"]))))
+        parts.append(rec.select(F.lit(s["spec_key"]).alias("hash"), F.lit(s["params"]).alias("params"), "*", F.lit(time.monotonic() - start).alias("fit_seconds")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # ---- composed targets ------------------------------------------------------------------------
 
 def compose_heads(app: DataFrame, video: DataFrame) -> DataFrame:

@@ -84,3 +84,9 @@ def switched(points: DataFrame, switches: dict[str, Sequence]) -> DataFrame:
 def open_specs(specs: DataFrame, record: DataFrame, key: str = "spec_key") -> DataFrame:
     """Specs without a result in the record yet."""
     return specs.join(record.select(key).distinct(), key, "left_anti")
+
+
+def appended(record: DataFrame, results: DataFrame, key: str = "hash", order: str = "seq") -> DataFrame:
+    """The record with new results written after its last row; a repeated key keeps its last write, columns of one side are null on the other."""
+    top = record.agg(F.coalesce(F.max(order), F.lit(0)).alias("m")).scalar()
+    return last_per_key(record.unionByName(results.withColumn(order, top + 1), allowMissingColumns=True), key, order)

@@ -8,7 +8,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate as E, fitted, flows, folds, models as M, raster
+from tessera.operators import evaluate as E, fitted, flows, folds, models as M, raster, search
+from tessera.plans.audit import DEDUPE
 from tessera.plans.fitted import DENS
 from tessera.functions.draws import hash_sql, unit
 from tessera.plans.registry import register
@@ -79,6 +80,18 @@ def _(t):
     return M.grid_search(data(t), "forest", {"numTrees": [5, 10], "maxDepth": [3, 5]})
 
 
+@register("m11_appended_record", "f_search", DEDUPE + """
+, f as (select distinct features from d where features = 'full')
+select model, count(*) as points, cast(0 as bigint) as full_records from d group by model union all select 'forest', 4*count(*), 4*count(*) from f""")
+def _(t):
+    """A search over the specs of one stage, appended to the record; counts by family and of rows that hold all scores."""
+    specs = search.stage_specs(t.search.filter("features = 'full'").select("features").distinct(), {"forest": {"numTrees": [5, 10], "maxDepth": [3, 5]}})
+    got = M.run_specs(data(t), specs, FOLDS).withColumn("group_acc", c("accuracy_mean"))
+    rec = search.appended(t.search.withColumn("hash", c("hash").cast("string")), got)
+    scored = c("accuracy_mean").between(0, 1) & c("macro_f1_mean").between(0, 1) & (c("log_loss_mean") > 0) & (c("fit_seconds") > 0)
+    return rec.groupBy("model").agg(F.count(F.lit(1)).alias("points"), F.count(F.when(scored, 1)).alias("full_records"))
+
+
 @register("m13_model_families")
 def _(t):
     d = data(t)
