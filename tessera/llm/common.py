@@ -47,20 +47,19 @@ def line_hash(line: Column) -> Column:
 
 
 def line_entries(text: str = "text") -> Column:
-    """Array of (h, c, w), one per line that holds a word: hash of the line, hash of its neighbours, its words.
-
-    ``c`` is what tells boilerplate from copies: a copied document repeats each line between the same neighbours,
-    a footer stands between other neighbours in every document.
-    """
+    """Array of (h, w), one per line that holds a word: hash of the line, its words."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normal_line), lambda x: x != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
     return hashed
 
 
-def with_contexts(entries: str) -> Column:
-    e = F.col(entries)
-    beside = lambda i, edge: F.coalesce(F.get(e, i)["h"], F.lit(edge).cast("bigint"))
-    return F.transform(e, lambda x, i: F.struct(x["h"].alias("h"), F.xxhash64(beside(i - 1, 1), beside(i + 1, 2)).alias("c"), x["w"].alias("w")))
+def context(entries: str) -> Column:
+    """Hash of all lines of a text, the context of each of them.
+
+    It tells boilerplate from copies: a copied document repeats its lines in the same text, a footer stands in another
+    text on every site.  Direct neighbours would not do: the inner lines of a footer have the same ones everywhere.
+    """
+    return F.xxhash64(entries)
 
 
 def drop_lines(text: Column, hashes: Column) -> Column:

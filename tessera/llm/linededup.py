@@ -1,6 +1,6 @@
-"""Line dedup across sites: lines that stand on many sites, between ever other neighbours, are boilerplate.
+"""Line dedup across sites: lines that stand on many sites, in many different texts, are boilerplate.
 
-DataFrame functions only.  Each line hash has one HyperLogLog sketch of its sites and one of its neighbours; sketches
+DataFrame functions only.  Each line hash has one HyperLogLog sketch of its sites and one of its texts; sketches
 merge by aggregation.  Lines whose estimate lies near a threshold get exact distinct counts before anything goes.
 """
 
@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import drop_lines, line_entries, pick, row_key, with_contexts
+from tessera.llm.common import context, drop_lines, line_entries, pick, row_key
 from tessera.llm.quality import replaced
 from tessera.session import cut
 
 MIN_SITES = 10
+#: Different texts that must hold the line, so that copies of one text on many sites keep their lines.
 MIN_CONTEXTS = 10
 #: Sketch size 2^LOG_K; the relative deviation is about 1.04 / sqrt(2^LOG_K).
 LOG_K = 10
@@ -23,7 +24,7 @@ SALTS = 32
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, log_k: int = LOG_K) -> DataFrame:
-    """Hashes of the lines on at least ``min_sites`` sites and between at least ``min_contexts`` neighbours.
+    """Hashes of the lines on at least ``min_sites`` sites and in at least ``min_contexts`` different texts.
 
     ``lines`` has site, h, c per occurrence.  A line with fewer occurrences than a threshold cannot reach it, so a
     count with map-side combine goes first and sketches are built for the others only.
@@ -47,8 +48,8 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int
 def marked_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(k1, k2, gone): the boilerplate hashes of every document that has some."""
     rows = pick(docs, doc_id="bigint", text="string", **{site: "string"}).withColumnRenamed(site, "site")
-    base = cut(rows.select("site", *row_key("doc_id", "text", "site"), line_entries().alias("e")).select("site", "k1", "k2", with_contexts("e").alias("e")))
-    lines = base.select("k1", "k2", "site", F.explode("e").alias("l")).select("k1", "k2", "site", "l.h", "l.c")
+    base = cut(rows.select("site", *row_key("doc_id", "text", "site"), line_entries().alias("e")).select("site", "k1", "k2", context("e").alias("c"), F.transform("e", lambda x: x["h"]).alias("e")))
+    lines = base.select("k1", "k2", "site", "c", F.explode("e").alias("h"))
     gone = cut(spread_lines(lines, min_sites, min_contexts))  # written, so that a very common line can be split in the join
     return lines.join(gone, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("gone"))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import drop_lines, line_entries, pick, row_key, with_contexts
+from tessera.llm.common import context, drop_lines, line_entries, pick, row_key
 from tessera.session import cut
 
 MIN_WORDS = 50
@@ -18,7 +18,7 @@ MIN_WORDS = 50
 MAX_REPEAT = 50
 #: A line is boilerplate on a host when more documents than this hold it ...
 LINE_DOCS = 50
-#: ... between more different neighbours than this. Copies of one document repeat a line between the same neighbours.
+#: ... in more different texts than this, so that copies of one text keep their lines.
 LINE_CONTEXTS = 25
 #: A document that keeps fewer than this percent of its words is depleted.
 MIN_LEFT = 20
@@ -75,7 +75,7 @@ def text_counts(text: Column) -> Column:
 
 
 def frequent_lines(lines: DataFrame, docs_limit: int, contexts_limit: int) -> DataFrame:
-    """(host, h) of the lines above both limits; ``lines`` has host, k1, k2 and one of h, c per occurrence.
+    """(host, h) of the lines above both limits; ``lines`` has host, k1, k2, c and h per occurrence.
 
     Lines with too few occurrences go first, by a count with map-side combine; only the rest is counted exactly.
     """
@@ -94,8 +94,8 @@ def judged(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, li
     """
     rows = pick(docs, doc_id="bigint", text="string", **{host: "string"}).withColumnRenamed(host, "host")
     base = cut(rows.select("doc_id", "host", *row_key("doc_id", "text", "host"), text_counts(F.col("text")).alias("s"), line_entries().alias("e"))
-               .select("doc_id", "host", "k1", "k2", "s.*", with_contexts("e").alias("e")))
-    lines = base.select("host", "k1", "k2", F.explode("e").alias("l")).select("host", "k1", "k2", "l.h", "l.c", "l.w")
+               .select("doc_id", "host", "k1", "k2", "s.*", context("e").alias("c"), "e"))
+    lines = base.select("host", "k1", "k2", "c", F.explode("e").alias("l")).select("host", "k1", "k2", "l.h", "c")
     marked = frequent_lines(lines, line_docs, line_contexts).select(F.col("host").alias("ho"), F.col("h").alias("hh"))
     hit = lines.join(marked, F.col("host").eqNullSafe(F.col("ho")) & (F.col("h") == F.col("hh")), "left_semi")
     gone = hit.groupBy("k1", "k2").agg(F.collect_set("h").alias("g"))

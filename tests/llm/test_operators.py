@@ -100,6 +100,18 @@ def test_line_dedup_near_threshold_is_exact(spark):
     assert "nine sites" in texts and "ten sites" not in texts
 
 
+def test_every_line_of_a_footer_goes_and_copies_stay(spark):
+    foot = ["All rights reserved", "Made with care", "Last line of the page"]
+    copied = "\n".join(f"copied line {j} of one text" for j in range(5))
+    rows = [(i, "\n".join([f"own start {i}", *foot]), f"s{i % 20}") for i in range(60)] + [(100 + i, copied, f"s{i % 20}") for i in range(60)]
+    df = text_session(spark).createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in linededup.without_boilerplate(df).collect()}
+    assert got == {i: f"own start {i}" if i < 100 else copied for i, _, _ in rows}
+    host = df.withColumn("source", F.lit("h"))
+    removed = {r["doc_id"]: r["n_removed_words"] for r in quality.judged(host).collect()}
+    assert removed == {i: 11 if i < 100 else 0 for i, _, _ in rows}
+
+
 def test_simhash_components(docs):
     rows = [(r[0], r[1]) for r in documents()]
     prints = defaultdict(set)
