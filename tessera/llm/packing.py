@@ -35,15 +35,15 @@ Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
 def token_pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END) -> Column:
     """(n, crcs): tokens of the text with the end mark, and the checksum of each piece's ids."""
     @F.pandas_udf("n bigint, crcs array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        enc, out = encoder(tokenizer_path(vocabulary)), []
+        enc, out = encoder(tokenizer_path(vocabulary), added=True), []
         mark = np.array([end], "<u4").tobytes()
         for t in texts:
             raw = memoryview(enc.raw(t or "") + mark)

@@ -61,7 +61,7 @@ def token_counts(docs: DataFrame, spans: DataFrame | None = None, vocabulary: st
         rows = rows.join(by, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path(vocabulary))
+        enc = encoder(tokenizer_path(vocabulary), added=True)
         for batch in batches:
             ids, sections, starts, stops, counts, crossing = [], [], [], [], [], []
             lists = batch.column(2) if given else None

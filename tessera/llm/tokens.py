@@ -4,11 +4,13 @@ The byte-level pre-tokenizer parts a text before every single space that stands
 never looks back beyond such a place.  So a text without runs of white space is encoded word by word, and words that
 occurred before are looked up.  Any other text is encoded as a whole.  Ids are those that the ``tokenizers`` library
 gives for the same file (the tests compare them); merging rare words by rank is left to ``tiktoken``, which is faster.
+A text is first parted at the file's added tokens, which have ids of their own.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -38,23 +40,42 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in special}
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens to their ids; those that take white space or ask for whole words or normalised text are not read."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(x[k] for x in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that are not matched as they stand")
+    return {x["content"]: x["id"] for x in found}
+
+
 def has_runs(text: str) -> bool:
     """Whether a space may stand beside other white space, or ends the text: word by word would not be exact there."""
     return "  " in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in OTHER_SPACE)
 
 
 class Encoder:
-    """Ids of whole texts, and the characters that each token covers."""
+    """Ids of whole texts, and the characters that each token covers.
+
+    With ``added``, an added token in a text gets its id, as the library does by default; without, it is read as plain
+    text, as the library does under ``encode_special_tokens``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         ranks = vocabulary(path)
+        own = added_tokens(path) if added else {}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in own.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")")
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width = np.zeros(max([*ranks.values(), *own.values()]) + 1, np.int64)
         self.spaced = np.zeros(len(self.width), bool)
         for token, i in ranks.items():
             self.width[i] = len(token)
             self.spaced[i] = token[0] == 0x20
+        for token, i in own.items():
+            self.width[i] = len(token.encode())
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
@@ -68,6 +89,12 @@ class Encoder:
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
+        if any(t in text for t in self.added):
+            return b"".join([self.added.get(part) or self.plain(part) for part in self.parts.split(text)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text or has_runs(text):
             return self.whole(text).tobytes()
         head, *rest = text.split(" ")

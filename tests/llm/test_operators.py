@@ -214,6 +214,28 @@ def test_encoder_equals_the_library(docs):
         assert list(zip(begin.tolist(), to.tolist())) == whole.offsets, t[:50]
 
 
+def test_added_tokens_get_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(packing.VOCABULARY)
+    ref = Tokenizer.from_file(path)  # as it is
+    end = "<|endoftext|>"
+    texts = [f"{end} end", end, f"é {end}  a b{end}{end}", f"a {end}", f"two words{end}\n {end[:-1]} x", *ODD]
+    enc = packing.encoder(path, added=True)
+    for t in texts:
+        whole = ref.encode(t, add_special_tokens=False)
+        assert enc.ids(t).tolist() == whole.ids, t
+        begin, to = enc.offsets(t)
+        assert list(zip(begin.tolist(), to.tolist())) == whole.offsets, t
+    df = text_session(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: np.array(ref.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in enumerate(texts)}
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(df).collect()} == {(i, len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+    counts = Counter()
+    for r in tokencounts.token_counts(df).collect():
+        counts[r["doc_id"]] += r["n_tokens"]
+    assert {i: counts[i] for i in want} == {i: len(x) - 1 for i, x in want.items()}
+
+
 def test_packing_round_trip(docs):
     ref = reference_tokenizer()
     rows = packing.pack(docs).collect()
