@@ -60,8 +60,9 @@ def parse_verdicts(responses: DataFrame, keys: Sequence[str], text: str) -> Data
     """(cp, verdict) pairs out of model text.
 
     What stands from the first opening to the last closing bracket is read as one array.  Where that gives nothing
-    (trailing commas, a cut-off answer), its objects are read one by one: each runs from its last opening brace to its
-    closing one, without a comma at the end.  A repeated checkpoint keeps its last answer.
+    (trailing commas, a cut-off answer), the pieces between braces are read one by one, also those before the first and
+    after the last brace: every checkpoint with the next verdict of its piece, or else the piece as an object, without
+    a comma at the end.  A repeated checkpoint keeps its last answer.
     """
     keys = list(keys)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -71,9 +72,10 @@ def parse_verdicts(responses: DataFrame, keys: Sequence[str], text: str) -> Data
     first, beyond = F.instr(t, "["), F.length(t) - F.instr(F.reverse(t), "]") + 2  # one past the last closing bracket
     body = F.when((first > 0) & (F.instr(t, "]") > 0) & (beyond > first), F.substring(t, first, beyond - first))
     whole = named(F.from_json(body, f"ARRAY<{kind}>"))
-    ended = F.split(t, r"\}")
-    objects = F.filter(F.slice(ended, 1, F.greatest(F.size(ended) - 1, F.lit(0))), lambda x: F.contains(x, F.lit("{")))
-    single = named(F.transform(objects, lambda x: F.from_json(F.concat(F.lit("{"), F.rtrim(F.substring_index(x, "{", -1), F.lit(", \t\r\n")), F.lit("}")), kind)))
+    pair = F.lit(r'"cp"\s*:\s*"(CP[0-9]+)"[^{}]*?"verdict"\s*:\s*"(1|0|N/A)"')
+    paired = lambda x: F.zip_with(F.regexp_extract_all(x, pair, F.lit(1)), F.regexp_extract_all(x, pair, F.lit(2)), lambda c, v: F.struct(c.alias("cp"), v.alias("verdict")))
+    read = lambda x: F.array(F.from_json(F.concat(F.lit("{"), F.rtrim(x, F.lit(", \t\r\n")), F.lit("}")), kind))
+    single = named(F.flatten(F.transform(F.split(t, r"[{}]"), lambda x: F.when(F.size(paired(x)) > 0, paired(x)).otherwise(read(x)))))
     picked = F.when(F.size(F.coalesce(whole, F.array().cast(f"ARRAY<{kind}>"))) > 0, whole).otherwise(single)
     rows = responses.select(*keys, F.posexplode(picked).alias("pos", "r"))
     return rows.groupBy(*keys, F.col("r.cp").alias("cp")).agg(F.max_by("r.verdict", "pos").alias("verdict"))

@@ -144,6 +144,14 @@ def test_prompt_and_responses(spark):
     assert got == {(1, "CP1", "0"), (2, "CP2", "N/A")}
 
 
+def test_responses_without_braces(spark):
+    texts = ['cut "cp": "CP2", "v": 1, "verdict": "N/A"', '{"cp":"CP3","verdict":"1"', '[{"cp":"CP1","verdict":"0"}, {"cp":"CP3","verdict":"1"', '"cp":"CP1","verdict":"1"\n"cp":"CP2","verdict":"0"',
+             '"cp":"CP4"} {"verdict":"1"', '{"cp":"CP5","reason":"un"quoted","verdict":"0"},', '[{"verdict":"1","cp":"CP6"},]', '"cp":"CP99","verdict":"1"', '"cp":"CP1","verdict":"1" then "cp":"CP1","verdict":"0"', '{"cp":"CP7","verdict":"1']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.id, r.cp, r.verdict) for r in ledger.parse_verdicts(df, ["id"], "t").collect()}
+    assert got == {(0, "CP2", "N/A"), (1, "CP3", "1"), (2, "CP1", "0"), (2, "CP3", "1"), (3, "CP1", "1"), (3, "CP2", "0"), (5, "CP5", "0"), (6, "CP6", "1"), (8, "CP1", "0")}
+
+
 # ---- text ------------------------------------------------------------------------------------
 
 def test_chunker(spark):
