@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, linededup, mixing, packing, qda, quality, runs, simhash, tokencounts, topk, toxicity
+from tessera.llm import licenses, linededup, mixing, packing, qda, quality, repair, runs, simhash, tokencounts, topk, toxicity
 from tessera.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.looped(read(spark, sf_dir, "documents"))))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damaged(conv)), conv)
+
+
 # rows numbered, lines that hold a word normalised, each with its neighbours
 LINES = r"""
 with d as (select doc_id, source, text, row_number() over () as rid from documents),
