@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, linededup, mixing, packing, qda, quality, repair, runs, simhash, tokencounts, topk, toxicity
+from tessera.llm import grammar, licenses, linededup, mixing, packing, qda, quality, repair, runs, simhash, tokencounts, topk, toxicity
 from tessera.llm.common import read
+from tessera.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +82,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damaged(conv)), conv)
 
 
+@query
+def op13_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    grammar.write_tokens(read(spark, sf_dir, "documents"), path)
+    return grammar.checksums(spark, path)
+
+
 # rows numbered, lines that hold a word normalised, each with its neighbours
 LINES = r"""
 with d as (select doc_id, source, text, row_number() over () as rid from documents),
