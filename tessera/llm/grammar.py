@@ -47,18 +47,22 @@ def ranked_pairs(seq: np.ndarray, least: int, bits: int = BUCKET_BITS) -> tuple[
     """
     bucket = seq[:-1] * np.uint32(0x9E3779B1)
     bucket ^= seq[1:] * np.uint32(0x85EBCA6B)
-    bucket = (bucket >> np.uint32(32 - bits)).astype(np.int64)
-    at = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
+    bucket >>= np.uint32(32 - bits)
+    hot = np.flatnonzero(np.bincount(bucket, minlength=1 << bits) >= least)
+    short = np.full(1 << bits, -1, np.int32)
+    short[hot] = np.arange(len(hot), dtype=np.int32)
+    bucket = short[bucket]
+    at = np.flatnonzero(bucket >= 0)
     bucket = bucket[at]
     code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    speaker = np.zeros(1 << bits, np.uint64)
+    speaker = np.zeros(len(hot), np.uint64)
     speaker[bucket] = code
     own = speaker[bucket] == code
     at, bucket = at[own], bucket[own]
-    n = np.bincount(bucket, minlength=1 << bits)
+    n = np.bincount(bucket, minlength=len(hot))
     found = np.flatnonzero(n >= least)
     found = found[np.argsort(-n[found], kind="stable")]
-    rank = np.full(1 << bits, NONE, np.int32)
+    rank = np.full(len(hot), NONE, np.int32)
     rank[found] = np.arange(len(found), dtype=np.int32)
     place = np.full(len(seq) - 1, NONE, np.int32)
     place[at] = rank[bucket]
@@ -67,11 +71,11 @@ def ranked_pairs(seq: np.ndarray, least: int, bits: int = BUCKET_BITS) -> tuple[
 
 def chosen(place: np.ndarray) -> np.ndarray:
     """Positions whose pair ranks before both pairs that overlap it; in a run of one id, every other position."""
-    same = (place[1:] == place[:-1]) & (place[1:] != NONE)
-    if same.any():
-        at = np.arange(len(place))
-        start = np.maximum.accumulate(np.where(np.concatenate([[False], same]), 0, at))
-        place = np.where((at - start) % 2 == 1, NONE, place)
+    again = np.flatnonzero((place[1:] == place[:-1]) & (place[1:] != NONE)) + 1
+    if len(again):
+        first = np.concatenate([[True], again[1:] - again[:-1] > 1])
+        place = place.copy()
+        place[again[(again - again[first][np.cumsum(first) - 1]) % 2 == 0]] = NONE
     edge = np.full(1, NONE, np.int32)
     around = np.concatenate([edge, place, edge])
     return np.flatnonzero((place < around[:-2]) & (place < around[2:]))
@@ -95,7 +99,9 @@ def compress(ids: np.ndarray, least: int = LEAST, gain: float = GAIN) -> tuple[i
         at, new = at[new > 0], new[new > 0]
         before = len(seq)
         seq[at] = new
-        seq = np.delete(seq, at + 1)
+        keep = np.ones(before, bool)
+        keep[at + 1] = False
+        seq = seq[keep]
         if before - len(seq) < gain * before:
             break
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
@@ -105,15 +111,14 @@ def compress(ids: np.ndarray, least: int = LEAST, gain: float = GAIN) -> tuple[i
 # ---- the shard --------------------------------------------------------------------------------
 
 def to_bits(values: np.ndarray, width: int) -> bytes:
-    return np.packbits((values[:, None] >> np.arange(width, dtype=np.uint32) & 1).astype(np.uint8)).tobytes()
+    """The low ``width`` bits of each number, high bit first, without gaps."""
+    return np.packbits(np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width:]).tobytes()
 
 
 def from_bits(raw: bytes | memoryview, n: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
-    out = np.zeros(n, np.uint32)
-    for k in range(width):
-        out |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, 32 - width:] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 def rule_lengths(base: int, rules: np.ndarray) -> np.ndarray:
@@ -200,8 +205,9 @@ def shards_of(vocabulary: str, end: int, shard_ids: int):
             return pa.RecordBatch.from_arrays(row, ["part", "ix", "n_ids", "doc_ids", "counts", "data"])
 
         for batch in batches:
-            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids = encoder.raw(text or "") + mark
+            texts = encoder.raws([t or "" for t in batch.column(1).to_pylist()])
+            for doc, ids, at in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                ids += mark
                 part = at
                 raw.append(ids)
                 docs.append(doc)

@@ -79,7 +79,16 @@ def test_random_access_reads_only_the_blocks_it_needs():
 def test_encoder_equals_the_library():
     ref, enc = library(), WordEncoder(PATH)
     for t in ODD + [" ".join(ODD), "\n".join(ODD[::-1])]:
-        assert np.frombuffer(enc.raw(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(enc.raws([t])[0], "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("letters", ["aeinostr", "0123456789a.,!'-_", "".join(map(chr, range(33, 127))), "éèàüßñçœæǆſ", "".join(map(chr, range(0xA1, 0x250))), "İIıi'sS'T", "жшαω한中☆─✿éa", "\x1c\x85\u00a0a\u00adb"])
+def test_encoder_on_random_parts(letters):
+    rng, ref, enc = np.random.default_rng(len(letters)), library(), WordEncoder(PATH)
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 24))) for _ in range(6000)]
+    for k in range(0, len(words), 500):
+        text = " ".join(words[k:k + 500])
+        assert np.frombuffer(enc.raws([text])[0], "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
 SCHEMA = "doc_id bigint, text string, h bigint, `from` string, part int, place int, n_ids int, value string"
