@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.session import scratch_path
 from tessera.vocabulary import N_CHECKPOINTS
 
+# The answers a checkpoint can have.
+VERDICTS = ("1", "0", "N/A")
 tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
 
 
@@ -56,6 +58,28 @@ def status_counts(rows: DataFrame, status: str, shard: Column) -> DataFrame:
     return rows.groupBy(shard.alias("shard"), status).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quoted_pairs(piece: Column) -> Column:
+    """(cp, verdict) pairs of a text without braces, read off the strings between its quotes.
+
+    A key is a quoted name with a colon behind it, its value the next quoted string.  A checkpoint waits for the first
+    verdict of the closed list after it; what else stands in between, another checkpoint too, is passed over.
+    """
+    parts = F.split(piece, '"')
+    value = lambda i: F.get(parts, i + 2)
+    number = lambda v: F.substring(v, 3, 99)
+    cp = lambda v: v.startswith("CP") & (number(v) != "") & (F.translate(number(v), "0123456789", "") == "")
+    is_key = lambda i: (i > 0) & (F.trim(F.translate(F.get(parts, i + 1), "\t\r\n", "   ")) == ":") & F.get(parts, i + 3).isNotNull()
+    known = lambda x, i: F.when(is_key(i) & (x == "cp") & cp(value(i)), F.struct(value(i).alias("cp"), F.lit(None).cast("string").alias("verdict"))).when(
+        is_key(i) & (x == "verdict") & value(i).isin(*VERDICTS), F.struct(F.lit(None).cast("string").alias("cp"), value(i).alias("verdict")))
+    found = F.filter(F.transform(parts, known), lambda r: r.isNotNull())
+    state = lambda cp, out: F.struct(cp.alias("cp"), out.alias("out"))
+    pair = lambda a, r: F.array(F.struct(a["cp"].alias("cp"), r["verdict"].alias("verdict")))
+    step = lambda a, r: F.when(r["cp"].isNotNull(), state(F.coalesce(a["cp"], r["cp"]), a["out"])).when(
+        a["cp"].isNotNull(), state(F.lit(None).cast("string"), F.concat(a["out"], pair(a, r)))).otherwise(a)
+    none = state(F.lit(None).cast("string"), F.array().cast("ARRAY<STRUCT<cp: STRING, verdict: STRING>>"))
+    return F.aggregate(found, none, step)["out"]
+
+
 def parse_verdicts(responses: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(cp, verdict) pairs out of model text.
 
@@ -72,10 +96,8 @@ def parse_verdicts(responses: DataFrame, keys: Sequence[str], text: str) -> Data
     first, beyond = F.instr(t, "["), F.length(t) - F.instr(F.reverse(t), "]") + 2  # one past the last closing bracket
     body = F.when((first > 0) & (F.instr(t, "]") > 0) & (beyond > first), F.substring(t, first, beyond - first))
     whole = named(F.from_json(body, f"ARRAY<{kind}>"))
-    pair = F.lit(r'"cp"\s*:\s*"(CP[0-9]+)"[^{}]*?"verdict"\s*:\s*"(1|0|N/A)"')
-    paired = lambda x: F.zip_with(F.regexp_extract_all(x, pair, F.lit(1)), F.regexp_extract_all(x, pair, F.lit(2)), lambda c, v: F.struct(c.alias("cp"), v.alias("verdict")))
     read = lambda x: F.array(F.from_json(F.concat(F.lit("{"), F.rtrim(x, F.lit(", \t\r\n")), F.lit("}")), kind))
-    single = named(F.flatten(F.transform(F.split(t, r"[{}]"), lambda x: F.when(F.size(paired(x)) > 0, paired(x)).otherwise(read(x)))))
+    single = named(F.flatten(F.transform(F.split(t, r"[{}]"), lambda x: F.when(F.size(quoted_pairs(x)) > 0, quoted_pairs(x)).otherwise(read(x)))))
     picked = F.when(F.size(F.coalesce(whole, F.array().cast(f"ARRAY<{kind}>"))) > 0, whole).otherwise(single)
     rows = responses.select(*keys, F.posexplode(picked).alias("pos", "r"))
     return rows.groupBy(*keys, F.col("r.cp").alias("cp")).agg(F.max_by("r.verdict", "pos").alias("verdict"))

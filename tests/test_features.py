@@ -152,6 +152,14 @@ def test_responses_without_braces(spark):
     assert got == {(0, "CP2", "N/A"), (1, "CP3", "1"), (2, "CP1", "0"), (2, "CP3", "1"), (3, "CP1", "1"), (3, "CP2", "0"), (5, "CP5", "0"), (6, "CP6", "1"), (8, "CP1", "0")}
 
 
+def test_quoted_pairs_wait_for_a_known_verdict(spark):
+    texts = ['"cp" : "CP1" "verdict":"maybe", "verdict" :\n"1"', '"cp":"CP1","cp":"CP2","verdict":"0","cp":"CP3","verdict":"N/A"', '"verdict":"1","cp":"CP4"', '"xcp":"CP5","verdict":"1"', '"cp":"CPx","verdict":"1","cp":"CP","verdict":"0"',
+             '"cp":"CP99","verdict":"1","verdict":"0"', 'cp":"CP6","verdict":"1"', '"cp":"CP7","note":"said \\"no\\"","verdict":"0"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [tuple(x) for x in r.p] for r in df.select("id", ledger.quoted_pairs(F.col("t")).alias("p")).collect()}
+    assert got == {0: [("CP1", "1")], 1: [("CP1", "0"), ("CP3", "N/A")], 2: [], 3: [], 4: [], 5: [("CP99", "1")], 6: [], 7: [("CP7", "0")]}
+
+
 # ---- text ------------------------------------------------------------------------------------
 
 def test_chunker(spark):
