@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.flows import gaps, lens
-from tessera.operators.ordered import exact_percentiles, ordinal
+from tessera.operators.ordered import exact_percentiles, ordinal, percentile_ranks, ranked_percentiles, running_totals
 from tessera.session import cut
 from tessera.vocabulary import N_CLASSES
 
@@ -42,16 +42,26 @@ def fit_chains(df: DataFrame, label: str, bins: int, smoothing: float = 0.5, key
 
     Both tables have at most classes x states^2 rows (per key), whatever the input size.
     """
-    keys, n = list(keys), bins + 1
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    keys = list(keys)
     classes = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    grid = classes.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))).alias("k")).select(*keys, "k", every("s"))
     first = df.groupBy(*keys, F.col(label).alias("k"), F.element_at("states", 1).alias("s")).agg(n_rows())
-    init = grid.join(first, keys + ["k", "s"], "left").withColumn("w", F.coalesce("n", F.lit(0)) + smoothing)
+    steps = df.select(*keys, F.col(label).alias("k"), F.explode(steps_of("states")).alias("p")).groupBy(*keys, "k", "p.s", "p.s2").agg(n_rows())
+    return log_tables(classes, first, steps, bins + 1, smoothing, keys)
+
+
+def steps_of(states: str) -> Column:
+    """Neighbouring states as (s, s2)."""
+    part = lambda at: F.slice(states, F.lit(at), F.size(states) - 1)
+    return F.arrays_zip(part(1).alias("s"), part(2).alias("s2"))
+
+
+def log_tables(classes: DataFrame, first: DataFrame, steps: DataFrame, n: int, smoothing: float, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Log start and log transition tables from counts n of (k, s) and (k, s, s2), over all classes and ``n`` states of each key."""
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    grid = classes.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))).alias("k")).select(*keys, "k", every("s"))
+    init = grid.join(first, [*keys, "k", "s"], "left").withColumn("w", F.coalesce("n", F.lit(0)) + smoothing)
     init = init.withColumn("log_p", F.log(F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "k")))).drop("n", "w")
-    pairs = F.arrays_zip(F.slice("states", F.lit(1), F.size("states") - 1).alias("s"), F.slice("states", F.lit(2), F.size("states") - 1).alias("s2"))
-    steps = df.select(*keys, F.col(label).alias("k"), F.explode(pairs).alias("p")).groupBy(*keys, "k", "p.s", "p.s2").agg(n_rows())
-    trans = grid.select(*keys, "k", "s", every("s2")).join(steps, keys + ["k", "s", "s2"], "left").withColumn("w", F.coalesce("n", F.lit(0)) + smoothing)
+    trans = grid.select(*keys, "k", "s", every("s2")).join(steps, [*keys, "k", "s", "s2"], "left").withColumn("w", F.coalesce("n", F.lit(0)) + smoothing)
     trans = trans.withColumn("log_p", F.log(F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "k", "s")))).drop("n", "w")
     return init, trans
 
@@ -98,6 +108,103 @@ def out_of_fold_chains(df: DataFrame, row: str, label: str, seq: str, bins: int,
     return chain_likelihood(d.filter(F.col("held") == F.col("fold")), row, init, trans, ["held"]).drop("held")
 
 
+# ---- nested folds ----------------------------------------------------------------------------
+#
+# A model leaves out one outer fold, and one inner fold of the rest or none.  Rows are counted once per cell (outer, inner);
+# what a model has seen is what all cells hold, less the cells it leaves out.  So neither rows nor counts are copied per model.
+
+#: Edges that are looked through one by one when a value is placed among very many.
+STRIDE = 24
+
+
+def nested_inner(df: DataFrame, row: str, label: str, outer: str = "fold", inners: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``inner``: rows of a class and an outer fold are dealt evenly, so the training rows of every outer fold are stratified."""
+    from tessera.operators.folds import seeded_ordinal
+    return seeded_ordinal(df, [label, outer], row, seed, "__o").withColumn("inner", (F.col("__o") % inners).cast("int")).drop("__o")
+
+
+def nested_models(outers: int, inners: int) -> list[tuple[int, int]]:
+    """(outer, inner) left out by each model; inner -1: the fit on all other outer folds."""
+    return [(o, i) for o in range(outers) for i in range(-1, inners)]
+
+
+def cell_counts(outer: str, inner: str, outers: int, inners: int, n: str | None = None) -> list[Column]:
+    """One sum per cell."""
+    one = F.col(n) if n else F.lit(1)
+    return [F.sum(F.when((F.col(outer) == o) & (F.col(inner) == i), one).otherwise(0)).alias(f"c_{o}_{i}") for o in range(outers) for i in range(inners)]
+
+
+def model_counts(outers: int, inners: int) -> list[Column]:
+    """One difference of cell sums per model, in the order of ``nested_models``."""
+    cell = lambda o, i: F.col(f"c_{o}_{i}")
+    add = lambda xs: sum(xs[1:], xs[0])
+    every = add([cell(o, i) for o in range(outers) for i in range(inners)])
+    fold = lambda o: add([cell(o, i) for i in range(inners)])
+    column = lambda i: add([cell(o, i) for o in range(outers)])
+    return [(every - fold(o) - (column(i) - cell(o, i) if i >= 0 else F.lit(0))).alias(f"m{k}") for k, (o, i) in enumerate(nested_models(outers, inners))]
+
+
+def nested_edges(df: DataFrame, seq: str, bins: int, outer: str, inner: str, outers: int, inners: int) -> DataFrame:
+    """(model, edges): quantile edges of every model from one row per value."""
+    probs = {f"q{i}": i / bins for i in range(1, bins)}
+    names = [f"m{k}" for k in range(len(nested_models(outers, inners)))]
+    values = df.select(outer, inner, F.explode(seq).alias("v")).filter("v is not null").groupBy("v").agg(*cell_counts(outer, inner, outers, inners))
+    counts = cut(values.select("v", *model_counts(outers, inners)))
+    totals = counts.agg(F.array(*[F.sum(m) for m in names]).alias("t")).scalar()
+    run = running_totals(counts, [], "v", names).withColumn("__t", totals)
+    each = F.array(*[F.struct(F.lit(k).alias("model"), F.col(m).alias("__c"), F.col(f"{m}_below").alias("__c_below"), F.get("__t", F.lit(k)).alias("__total")) for k, m in enumerate(names)])
+    held = lambda x, r: (x["__c_below"] <= r) & (r < x["__c_below"] + x["__c"])
+    wanted = lambda x: F.exists(F.array(*map(F.lit, probs.values())), lambda p: held(x, percentile_ranks(x["__total"], p)[0]) | held(x, percentile_ranks(x["__total"], p)[1]))
+    hits = run.select("v", F.explode(F.filter(each, wanted)).alias("x")).select("v", "x.*")  # few values per model
+    p = ranked_percentiles(hits, ["model"], "v", probs)
+    return p.select("model", F.array_sort(F.array_distinct(F.array(*[F.round(F.col(n), 12) for n in probs]))).alias("edges"))
+
+
+def placed(value: Column, edges: str, heads: str) -> Column:
+    """Number of edges at or below a value; ``heads`` is every ``STRIDE``-th edge, so two short lists are looked through."""
+    below = lambda xs: F.size(F.filter(xs, lambda e: e <= value))
+    block = F.greatest(below(F.col(heads)) - 1, F.lit(0)) * STRIDE
+    return block + below(F.slice(F.col(edges), block + 1, STRIDE))
+
+
+def nested_chains(df: DataFrame, row: str, label: str, seq: str, bins: int, outer: str = "fold", inner: str = "inner", outers: int = 5, inners: int = 5, smoothing: float = 0.5) -> DataFrame:
+    """Log-likelihoods for every outer fold: row, held (the outer fold left out), role (train or valid), ll.
+
+    A training row of an outer fold is scored by the model that leaves out its inner fold as well, a validation row by
+    the model of all training rows; edges are fitted like the tables.  Values are placed once among the edges of all
+    models together, counted once per cell, and counts are then joined to the states of each model.
+    """
+    models = nested_models(outers, inners)
+    edges = cut(nested_edges(df, seq, bins, outer, inner, outers, inners))  # one row per model
+    fine = edges.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("fine"))
+    fine = fine.select("fine", F.transform(F.sequence(F.lit(0), F.floor((F.size("fine") - 1) / STRIDE)), lambda i: F.get("fine", i.cast("int") * STRIDE)).alias("heads"))
+    one = fine.select(F.struct("fine", "heads").alias("z")).scalar()
+    d = df.select(row, F.col(label).alias("k"), outer, inner, F.filter(F.col(seq), lambda v: v.isNotNull()).alias("__x")).filter(F.size("__x") > 0).withColumn("__z", one)
+    d = d.withColumn("__f", F.col("__z.fine")).withColumn("__h", F.col("__z.heads"))
+    d = cut(d.select(row, "k", outer, inner, F.transform("__x", lambda v: placed(F.round(v, 12), "__f", "__h").cast("int")).alias("states")))
+    # the state of each model that a fine state lies in: folds x bins entries per model
+    own = F.transform(F.concat(F.array(F.lit(None).cast("double")), F.col("fine")), lambda v: F.when(v.isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e <= v))))
+    maps = cut(edges.withColumn("fine", fine.select("fine").scalar()).select("model", own.alias("own")))
+    every = F.array(*[F.struct(F.lit(k).alias("model"), F.col(f"m{k}").alias("n")) for k in range(len(models))])
+
+    def by_model(counts: DataFrame, states: Sequence[str]) -> DataFrame:
+        seen = counts.groupBy("k", *states).agg(*cell_counts(outer, inner, outers, inners, "n")).select("k", *states, *model_counts(outers, inners))
+        long = seen.select("k", *states, F.explode(F.filter(every, lambda x: x["n"] > 0)).alias("x")).select("k", *states, "x.*")
+        named = long.join(F.broadcast(maps), "model").select("model", "k", "n", *[F.get("own", F.col(s)).alias(s) for s in states])
+        return named.groupBy("model", "k", *states).agg(F.sum("n").alias("n"))
+
+    first = d.groupBy("k", outer, inner, F.get("states", F.lit(0)).alias("s")).agg(n_rows())
+    steps = d.select("k", outer, inner, F.explode(steps_of("states")).alias("p")).groupBy("k", outer, inner, "p.s", "p.s2").agg(n_rows())
+    init, trans = log_tables(maps.select("model"), by_model(first, ["s"]), by_model(steps, ["s", "s2"]), bins + 1, smoothing, ["model"])
+    # each row meets one model per outer fold
+    number = lambda o, i: o * (inners + 1) + i + 1
+    uses = F.explode(F.array(*[F.struct(F.lit(o).alias("held"), F.when(F.col(outer) == o, "valid").otherwise("train").alias("role"),
+                                        F.when(F.col(outer) == o, number(o, -1)).otherwise(number(o, F.col(inner))).cast("int").alias("model")) for o in range(outers)]))
+    asked = d.select(row, "states", uses.alias("u")).select(row, "states", "u.*").join(F.broadcast(maps), "model")
+    asked = asked.select(F.struct(row, "held", "role").alias("__row"), "model", F.transform("states", lambda s: F.get("own", s)).alias("states"))
+    return chain_likelihood(asked, "__row", init, trans, ["model"]).select("__row.*", "ll")
+
+
 # ---- class densities -------------------------------------------------------------------------
 
 def standardise(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -84,14 +84,25 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     run = running_totals(counts, keys, value, ["__c"])
     total = counts.groupBy(*keys).agg(F.sum("__c").alias("__total"))
     run = run.join(total, keys) if keys else run.withColumn("__total", total.scalar())
-    lo_rank = lambda p: F.floor((F.col("__total") - 1) * F.lit(p))
-    hi_rank = lambda p: F.ceil((F.col("__total") - 1) * F.lit(p))
+    return ranked_percentiles(run, keys, value, probs)
+
+
+def percentile_ranks(total: Column, p: float | Column) -> tuple[Column, Column]:
+    """The two ranks between which a percentile is interpolated."""
+    at = (total - 1) * (p if isinstance(p, Column) else F.lit(p))
+    return F.floor(at), F.ceil(at)
+
+
+def ranked_percentiles(run: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Percentiles per key from values with __c (times), __c_below (rows with smaller values) and __total."""
+    keys = list(keys)
+    ranks = {n: percentile_ranks(F.col("__total"), p) for n, p in probs.items()}
     at = lambda r: F.max(F.when((F.col("__c_below") <= r) & (r < F.col("__c_below") + F.col("__c")), F.col(value)))
     aggs = [F.max("__total").alias("__total")]
-    for name, p in probs.items():
-        aggs += [at(lo_rank(p)).alias(f"__lo_{name}"), at(hi_rank(p)).alias(f"__hi_{name}")]
+    for name, (low, high) in ranks.items():
+        aggs += [at(low).alias(f"__lo_{name}"), at(high).alias(f"__hi_{name}")]
     picked = run.groupBy(*keys).agg(*aggs)
-    cols = [(F.col(f"__lo_{n}") + ((F.col("__total") - 1) * F.lit(p) - lo_rank(p))
+    cols = [(F.col(f"__lo_{n}") + ((F.col("__total") - 1) * F.lit(p) - ranks[n][0])
              * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(n) for n, p in probs.items()]
     return picked.select(*keys, *cols)
 

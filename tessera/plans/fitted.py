@@ -128,6 +128,28 @@ def _(t):
     return ll.select("flow_id", F.posexplode("ll").alias("k", "ll")).withColumn("ll", F.round("ll", 5))
 
 
+@register("m07_nested_chains", "f_pkt f_flow", f"""
+, base as (select flow_id, label_id, fold, cast((row_number() over (partition by label_id, fold order by {hash_sql(42, "flow_id")}, flow_id) - 1) % 5 as int) as inner_ from f_flow where split = 'train'),
+sq as (select flow_id, label_id, fold, inner_, idx, round(length,12) as v from f_pkt join base using (flow_id)),
+m as (select o, i from (select unnest(range(5)) as o), (select unnest(range(-1, 5)) as i)),
+e as (select distinct o, i, round(edge,12) as edge from (select o, i, unnest(quantile_cont(v, [{','.join(repr(x / 16) for x in range(1, 16))}])) as edge from sq, m where fold<>o and inner_<>i group by o, i)),
+s as (select sq.flow_id, label_id, fold, inner_, idx, o, i, (select count(*) from e where e.o=m.o and e.i=m.i and edge<=v) as st from sq, m),
+tr as (select * from s where fold<>o and inner_<>i), stt as (select unnest(range(17)) as st), k as (select unnest(range(10)) as k),
+n1 as (select o, i, label_id as k, st, count(*) as n from tr where idx=0 group by all),
+n2 as (select a.o, a.i, a.label_id as k, a.st as s1, b.st as s2, count(*) as n from tr a join tr b on a.flow_id=b.flow_id and a.o=b.o and a.i=b.i and b.idx=a.idx+1 group by all),
+ini as (select o, i, k, st, ln((coalesce(n,0)+0.5)/sum(coalesce(n,0)+0.5) over (partition by o, i, k)) as lp from m cross join k cross join stt left join n1 using (o, i, k, st)),
+tra as (select o, i, k, s1, s2, ln((coalesce(n,0)+0.5)/sum(coalesce(n,0)+0.5) over (partition by o, i, k, s1)) as lp from m cross join k cross join (select st as s1 from stt) cross join (select st as s2 from stt) left join n2 using (o, i, k, s1, s2)),
+q as (select * from s where (fold=o and i=-1) or (fold<>o and inner_=i)),
+l as (select q.flow_id, q.o, q.fold, ini.k, lp from q join ini on ini.o=q.o and ini.i=q.i and ini.st=q.st where idx=0
+ union all select a.flow_id, a.o, a.fold, tra.k, lp from q a join q b on a.flow_id=b.flow_id and a.o=b.o and b.idx=a.idx+1 join tra on tra.o=a.o and tra.i=a.i and tra.s1=a.st and tra.s2=b.st)
+select flow_id, cast(o as int) as held, case when fold=o then 'valid' else 'train' end as role, cast(k as int) as k, round(sum(lp),5) as ll from l group by all""")
+def _(t):
+    """For every outer fold: training rows scored through inner folds, validation rows by the fit on all training rows."""
+    d = t.train.select("flow_id", "label_id", "fold", X.sequence_values(t.train, "len").alias("seq"))
+    ll = X.nested_chains(cut(X.nested_inner(d, "flow_id", "label_id")), "flow_id", "label_id", "seq", 16)
+    return ll.select("flow_id", "held", "role", F.posexplode("ll").alias("k", "ll")).withColumn("ll", F.round("ll", 5))
+
+
 # ---- densities -------------------------------------------------------------------------------
 
 DENS = LN + ["relative_time_4"]
