@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 from operator import neg
 
@@ -24,10 +25,14 @@ from tessera.session import cut
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Branches tried for one filling before the incumbent is taken.
-NODES = 300
+#: Nodes of the branch and bound, each one filled sequence or a run of equal ones; then the best packing so far is taken.
+NODES = 2000
 #: Waste allowed to a filling, one run of bin completion for each.
-SPARES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+SPARES = (0, 1, 2, 4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+#: Fillings looked at per node before its branches end.
+STEPS = 200
+#: Parts of the packing that are taken back and packed anew, and sequences of such a part.
+ROUNDS, PART = 24, 40
 #: Documents that share a slice when pieces of one length are numbered.
 SLICE = 8192
 
@@ -67,39 +72,82 @@ def best_fit(rest: int, sizes: list[int], left: dict[int, int]) -> list[int]:
     return out
 
 
-def completion(rest: int, sizes: list[int], left: dict[int, int], spare: int = 0, nodes: int = NODES) -> list[int]:
-    """The first filling of ``rest`` that wastes at most ``spare``, else the least wasteful found; ``sizes`` descend.
+def reachable(rest: int, sizes: list[int], left: dict[int, int]) -> list[int]:
+    """For each place in ``sizes`` (descending): the sums up to ``rest`` that pieces from there on can make, as bits."""
+    mask, sums = (1 << rest + 1) - 1, 1
+    out = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        s = sizes[i]
+        n, step = min(left[s], rest // s), 1
+        while n > 0:
+            take = min(step, n)
+            sums |= sums << s * take & mask
+            n, step = n - take, 2 * step
+        out[i] = sums
+    return out
+
+
+def fillings(rest: int, sizes: list[int], left: dict[int, int], spare: int, steps: int = STEPS) -> Iterator[list[int]]:
+    """Fillings of ``rest`` that waste at most ``spare``, larger pieces first, until ``steps`` choices were looked at.
 
-    Large pieces are tried first, and only maximal fillings are enumerated: one that leaves room for another piece is
-    dominated by the one that takes it.  A branch ends when no filling below it can beat the incumbent's waste.
+    Those that another filling dominates are left out: one with room for a further piece, one where a larger piece fits
+    in the place of a piece, and one where a single piece can stand for two.
     """
-    best = best_fit(rest, sizes, left)
-    waste, total, budget = rest - sum(best), rest, nodes
+    at = bisect_left(sizes, -rest, key=neg)
+    sizes = sizes[at:]
+    sums = reachable(rest, sizes, left)
     chosen: list[int] = []
 
-    def descend(rest: int, at: int) -> bool:
-        """Whether the search is over."""
-        nonlocal best, waste, budget
-        budget -= 1
-        if rest < waste:
-            best, waste = list(chosen), rest
-        if waste <= spare or budget <= 0:
-            return True
-        for i in range(bisect_left(sizes, -rest, at, key=neg), len(sizes)):
+    def undominated(waste: int) -> bool:
+        free = lambda s: left[s] > chosen.count(s)
+        if any(s <= waste and free(s) for s in sizes[-1:]) or waste and any(free(s) for s in sizes if s <= waste):
+            return False
+        for k, s in enumerate(chosen):
+            i = bisect_left(sizes, -(s + waste), key=neg)
+            if any(x > s and free(x) for x in sizes[i:bisect_left(sizes, -s, key=neg)]):
+                return False
+            if any(left.get(s + t, 0) > chosen.count(s + t) for t in chosen[k + 1:]):
+                return False
+        return True
+
+    def descend(rest: int, i: int) -> Iterator[list[int]]:
+        nonlocal steps
+        steps -= 1
+        if steps < 0:
+            return
+        low = max(0, rest - spare)
+        if low == 0 and undominated(rest):
+            yield list(chosen)
+        while i < len(sizes) and rest > 0 and steps > 0:
             s = sizes[i]
-            if left[s] <= chosen.count(s):
-                continue
-            if rest - s < s and rest - s >= waste and not any(left[x] for x in sizes[i + 1:] if x <= rest - s):
-                break  # this and all smaller single pieces waste more
-            chosen.append(s)
-            if descend(rest - s, i):
-                return True
-            chosen.pop()
-        return False
-
-    if waste > spare:
-        descend(total, 0)
-    return best
+            if s <= rest and left[s] > chosen.count(s):
+                under = max(0, rest - s - spare)
+                # the piece itself may come again, so sums from its own place count; a sum that needs more than are left ends without a filling
+                if sums[i] >> under & (1 << rest - s - under + 1) - 1:
+                    chosen.append(s)
+                    yield from descend(rest - s, i)
+                    chosen.pop()
+            if not sums[i + 1] >> low & (1 << rest - low + 1) - 1:
+                return
+            i += 1
+
+    yield from descend(rest, 0)
+
+
+def completion(rest: int, sizes: list[int], left: dict[int, int], spare: int = 0) -> list[int]:
+    """The filling of ``rest`` with the largest pieces among those that waste at most ``spare``, or else the least that is possible."""
+    sizes = sizes[bisect_left(sizes, -rest, key=neg):]
+    sums = reachable(rest, sizes, left)
+    spare = max(spare, rest - (sums[0].bit_length() - 1))
+    out: list[int] = []
+    for i, s in enumerate(sizes):
+        for n in range(min(left[s], rest // s), 0, -1):
+            low = max(0, rest - n * s - spare)
+            if sums[i + 1] >> low & (1 << rest - n * s - low + 1) - 1:
+                out += [s] * n
+                rest -= n * s
+                break
+    return out
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -140,21 +188,153 @@ def pack_counts(counts: dict[int, int], capacity: int, filling, below: float = f
     return out, bins
 
 
-def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY, spares: tuple[int, ...] = SPARES, nodes: int = NODES) -> list[Pattern]:
-    """Patterns (multiplicity, ((length, count), ...)) that hold all pieces in as few sequences as were found.
+def branch(counts: dict[int, int], capacity: int, best: int, bound: int, nodes: int) -> tuple[list[Pattern], int] | None:
+    """Bin completion depth first: a packing in fewer sequences than ``best``, the least found within ``nodes`` nodes.
 
-    Best fit gives the first incumbent.  Bin completion then runs with growing waste allowed to a single filling, which
-    saves small pieces for later; a run ends when its waste rules out a better packing, all end at the lower bound.
+    A node fills the largest piece left; its branches are the undominated fillings, each used as often as counts and
+    waste allow.  A branch ends when its waste, or its pieces over half, leave no packing below the incumbent, or when
+    the same pieces were left before with no more waste.
     """
+    left = {s: n for s, n in counts.items() if n > 0}
+    total, found = sum(s * n for s, n in left.items()), None
+    seen: dict[tuple[int, ...], int] = {}
+    order = sorted(left, reverse=True)
+    chosen: list[Pattern] = []
+    waste = bins = 0
+    open_: list[Iterator[list[int]]] = []
+
+    def enter() -> bool:
+        """Opens the node of what is left; False if it cannot be better."""
+        nonlocal nodes, found, best
+        sizes = [s for s in order if left[s]]
+        if not sizes:
+            found, best = (list(chosen), bins), bins
+            return False
+        room = capacity * (best - 1) - total - waste
+        key = tuple(left[s] for s in order)
+        halves = sum(left[s] for s in sizes if 2 * s > capacity)
+        if nodes <= 0 or room < 0 or bins + halves >= best or seen.get(key, waste + 1) <= waste:
+            return False
+        nodes -= 1
+        seen[key] = waste
+        large = sizes[0]
+        left[large] -= 1
+        near = [completion(capacity - large, sizes, left)]
+        left[large] += 1
+        open_.append(iter(branches(large, sizes, room, near)))
+        return True
+
+    def branches(large: int, sizes: list[int], room: int, near: list[list[int]]) -> Iterator[list[int]]:
+        """The filling with the least waste first, then all others."""
+        for fill in near:
+            if capacity - large - sum(fill) <= room:
+                yield fill
+        left[large] -= 1
+        rest = fillings(capacity - large, sizes, left, min(room, capacity - large))
+        while True:
+            fill = next(rest, None)
+            left[large] += 1
+            if fill is None:
+                return
+            if fill not in near:
+                yield fill
+            left[large] -= 1
+
+    def undo() -> None:
+        nonlocal waste, bins
+        times, need = chosen.pop()
+        bins -= times
+        waste -= times * (capacity - sum(s * c for s, c in need))
+        for s, c in need:
+            left[s] += times * c
+
+    enter()
+    while open_ and best > bound:
+        fill = next(open_[-1], None) if nodes > 0 else None
+        if fill is None:
+            open_.pop()
+            if chosen:
+                undo()
+            continue
+        large = next(s for s in order if left[s])
+        need: dict[int, int] = {}
+        for s in [large, *fill]:
+            need[s] = need.get(s, 0) + 1
+        lost = capacity - large - sum(fill)
+        room = capacity * (best - 1) - total - waste
+        if lost > room:
+            continue
+        times = min([left[s] // c for s, c in need.items()] + ([room // lost] if lost else []))
+        for s, c in need.items():
+            left[s] -= times * c
+        waste, bins = waste + times * lost, bins + times
+        chosen.append((times, tuple(sorted(need.items(), reverse=True))))
+        if not enter():
+            undo()
+    return found
+
+
+def completed(counts: dict[int, int], capacity: int, bound: int, spares: tuple[int, ...]) -> tuple[list[Pattern], int]:
+    """The better of best fit and bin completion without branches, with some waste allowed to a single filling."""
     best, bins = pack_counts(counts, capacity, best_fit)
-    bound = lower_bound(counts, capacity)
     for spare in spares:
         if bins <= bound:
             break
-        better = pack_counts(counts, capacity, lambda r, s, l: completion(r, s, l, spare, nodes), bins)
+        better = pack_counts(counts, capacity, lambda r, s, l: completion(r, s, l, spare), bins)
         if better and better[1] < bins:
             best, bins = better
-    return best
+    return best, bins
+
+
+def taken_back(patterns: list[Pattern], capacity: int, part: int, turn: int) -> tuple[list[Pattern], list[Pattern]]:
+    """``part`` sequences, half of them those with most waste, the others dealt by ``turn``; and the rest of the packing."""
+    waste = lambda p: capacity - sum(s * c for s, c in p[1])
+    by_waste = sorted(range(len(patterns)), key=lambda i: -waste(patterns[i]))
+    mixed = sorted(range(len(patterns)), key=lambda i: ((i + 1) * 2654435761 * (2 * turn + 1)) % 4294967296)
+    taken: dict[int, int] = {}
+    for order, most in ((by_waste, part // 2), (mixed, part)):
+        for i in order:
+            room = most - sum(taken.values())
+            free = patterns[i][0] - taken.get(i, 0)
+            if room > 0 and free and (most == part or waste(patterns[i])):
+                taken[i] = taken.get(i, 0) + min(free, room, 1 + part // 8)
+    rest = [(t - taken.get(i, 0), need) for i, (t, need) in enumerate(patterns) if t > taken.get(i, 0)]
+    return [(n, patterns[i][1]) for i, n in taken.items()], rest
+
+
+def repacked(patterns: list[Pattern], bins: int, capacity: int, bound: int, spares: tuple[int, ...], nodes: int, rounds: int, part: int) -> list[Pattern]:
+    """Takes parts of a packing back and packs each anew with branch and bound, until the bound or ``rounds``."""
+    for turn in range(rounds):
+        if bins <= bound:
+            break
+        own, rest = taken_back(patterns, capacity, part, turn)
+        counts: dict[int, int] = {}
+        for times, need in own:
+            for s, c in need:
+                counts[s] = counts.get(s, 0) + times * c
+        n = sum(t for t, _ in own)
+        low = lower_bound(counts, capacity)
+        if low >= n:
+            continue
+        new, m = completed(counts, capacity, low, spares)
+        if m >= n:
+            new, m = branch(counts, capacity, n, low, nodes) or (new, m)
+        if m < n:
+            patterns, bins = rest + new, bins - n + m
+    return patterns
+
+
+def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY, spares: tuple[int, ...] = SPARES, nodes: int = NODES, rounds: int = ROUNDS, part: int = PART) -> list[Pattern]:
+    """Patterns (multiplicity, ((length, count), ...)) that hold all pieces in as few sequences as were found.
+
+    Best fit and bin completion without branches give the incumbents, branch and bound looks for fewer, and parts of the
+    packing are then taken back and packed anew.  All end at the lower bound.
+    """
+    bound = lower_bound(counts, capacity)
+    best, bins = completed(counts, capacity, bound, spares)
+    if bins > bound:
+        best, bins = branch(counts, capacity, bins, bound, nodes) or (best, bins)
+    return repacked(best, bins, capacity, bound, spares, nodes // 10, rounds, part)
 
 
 def places(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, int]:
