@@ -89,12 +89,13 @@ def op13_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.checksums(spark, path)
 
 
-# rows numbered, lines that hold a word normalised, each with its neighbours
+# rows numbered, lines that hold a word normalised, each with the checksum of all such lines of its text
 LINES = r"""
 with d as (select doc_id, source, text, row_number() over () as rid from documents),
 l as (select rid, doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ix from d),
 n as (select *, trim(regexp_replace(lower(line), '[ \t\n\v\f\r]+', ' ', 'g')) as nl from l),
-c as (select *, coalesce(lag(nl) over w, chr(1)) || chr(10) || coalesce(lead(nl) over w, chr(2)) as ctx from n where nl <> '' window w as (partition by rid order by ix))"""
+x as (select rid, md5(string_agg(nl, chr(10) order by ix)) as ctx from n where nl <> '' group by rid),
+c as (select n.*, ctx from n join x using (rid) where nl <> '')"""
 
 SQL["op1_line_dedup"] = LINES + f""",
 g as (select nl from c group by nl having count(distinct coalesce(source, chr(0))) >= {linededup.MIN_SITES} and count(distinct ctx) >= {linededup.MIN_CONTEXTS}),

@@ -63,21 +63,24 @@ def norm_lines(text):
 
 
 def frequent(docs, docs_limit, contexts_limit):
-    """docs: (id, text, host); {(host, line)} above both limits."""
+    """docs: (id, text, host); {(host, line)} above both limits: of documents, and of different texts, compared by their lines."""
     who, where = defaultdict(set), defaultdict(set)
     for i, t, host in docs:
-        for x, a, b in norm_lines(t):
+        lines = tuple(x for x, _, _ in norm_lines(t))
+        for x in lines:
             who[host, x].add((i, t))
-            where[host, x].add((a, b))
+            where[host, x].add(lines)
     return {k for k in who if len(who[k]) > docs_limit and len(where[k]) > contexts_limit}
 
 
 def spread(docs, min_sites, min_contexts):
+    """Lines on enough sites and in enough different texts."""
     who, where = defaultdict(set), defaultdict(set)
     for _, t, site in docs:
-        for x, a, b in norm_lines(t):
+        lines = tuple(x for x, _, _ in norm_lines(t))
+        for x in lines:
             who[x].add(site)
-            where[x].add((a, b))
+            where[x].add(lines)
     return {x for x in who if len(who[x]) >= min_sites and len(where[x]) >= min_contexts}
 
 
