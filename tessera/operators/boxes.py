@@ -163,6 +163,21 @@ def best_threshold(swept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return swept.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("f1", -F.col("threshold"))).alias("b")).select(*keys, "b.*")
 
 
+def pooled_figure(pred: DataFrame, gt: DataFrame, part: str = "part") -> DataFrame:
+    """One sweep over the candidates of all parts together: best threshold with its scores, pairs (images) and gt_boxes.
+
+    Only truth of the images that the parts answered counts.  An image that two parts answered is an error.
+    """
+    sides = pred.groupBy("image_id").agg(F.min(part).alias("a"), F.max(part).alias("b"))
+    twice = [r[0] for r in sides.filter("a <> b").orderBy("image_id").limit(3).collect()]
+    if twice:
+        raise ValueError(f"images answered by two parts: {twice}")
+    own = gt.join(sides.select("image_id"), "image_id", "left_semi")
+    count = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    best = best_threshold(sweep(flag_matches(pred.drop(part), own), count(own, "n_gt")))
+    return best.withColumn("pairs", count(sides, "n").scalar()).withColumn("gt_boxes", count(own, "n").scalar())
+
+
 # ---- best partner ----------------------------------------------------------------------------
 
 def best_truth(pred: DataFrame, gt: DataFrame, positive: float = 0.35, negative: float = 0.20) -> DataFrame:

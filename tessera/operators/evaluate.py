@@ -206,6 +206,26 @@ def mcnemar(counts: DataFrame) -> DataFrame:
                         .when(sig & (F.col("a_only") > F.col("b_only")), "A significantly better").otherwise("not established")).drop("lo", "__top").withColumnRenamed("n", "discordant")
 
 
+def best_points(points: DataFrame, families: Sequence[str]) -> dict[str, str]:
+    """The strongest stored point of each family; ``points`` has family, point, group_acc, one row per stored point.
+
+    A point without a positive score does not count; of equal scores the first by name is taken.  A family without a
+    point is an error.
+    """
+    own = points.filter(F.col("family").isin(list(families)) & (F.col("group_acc") > 0))
+    ranked = own.groupBy("family", "group_acc").agg(F.min("point").alias("point"))
+    best = {r["family"]: r["point"] for r in ranked.groupBy("family").agg(F.max_by("point", "group_acc").alias("point")).collect()}  # one row per family
+    if set(best) != set(families):
+        raise ValueError(f"families without a stored point: {sorted(set(families) - set(best))}")
+    return best
+
+
+def compare_best(rows: DataFrame, points: DataFrame, a: str, b: str) -> DataFrame:
+    """The exact test between the strongest stored points of two families; ``rows`` holds the answers of every point under its name."""
+    best = best_points(points, [a, b])
+    return mcnemar(paired_counts(rows, best[a], best[b])).select(F.lit(best[a]).alias("point_a"), F.lit(best[b]).alias("point_b"), "*")
+
+
 def bootstrap_gain(rows: DataFrame, before: str, after: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Paired bootstrap of the macro-F1 difference.
 

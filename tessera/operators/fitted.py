@@ -232,31 +232,59 @@ def gaussian_scores(df: DataFrame, columns: Sequence[str], params: DataFrame, ro
     return d.select(row, F.posexplode(F.transform("__p", lambda p: F.struct(p["k"].alias("k"), dens(p).alias("density")))).alias("i", "r")).select(row, "r.k", "r.density")
 
 
-def mixture_em(df: DataFrame, columns: Sequence[str], label: str, rounds: int = 10, ridge: float = 1e-4, min_rows: int = 25) -> DataFrame:
-    """Two diagonal components per class by expectation-maximisation, one aggregate per round.
+def mixture_em(df: DataFrame, columns: Sequence[str], label: str, rounds: int = 200, tolerance: float = 1e-3, ridge: float = 1e-4, min_rows: int = 25) -> DataFrame:
+    """Two diagonal components per class by expectation-maximisation, one aggregate per round: two rows per class.
 
-    Classes under ``2 * min_rows`` rows keep one component (both start alike and stay alike).  The parameter
-    table has two rows per class; it is cut from its lineage every round.
+    A class is frozen once a round raises its mean log-likelihood by less than ``tolerance``, and leaves the rows that
+    are read; the loop ends when all are frozen, or after ``rounds``.  Classes under ``2 * min_rows`` rows keep one
+    component (both start alike and stay alike).  Adds to the parameters: ll (mean log-likelihood of the last round),
+    first_ll, fell (most that a round lowered it), rounds.
     """
     x = list(columns)
     base = cut(df.select(F.col(label).alias("k"), *x))
+    names = ["k", "comp", "w", *[f"m_{c}" for c in x], *[f"v_{c}" for c in x]]
     first = class_gaussians(base, x, "k", ridge).join(base.groupBy("k").agg(n_rows("rows")), "k")
     two = F.col("rows") >= 2 * min_rows
     shift = lambda c, s: F.when(two, F.col(f"m_{c}") + s * F.sqrt(f"v_{c}") * 0.5).otherwise(F.col(f"m_{c}"))
     par = cut(first.withColumn("comp", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "k", "comp", F.lit(0.5).alias("w"), *[F.when(F.col("comp") == 0, shift(c, -1)).otherwise(shift(c, 1)).alias(f"m_{c}") for c in x], *[f"v_{c}" for c in x]))
+    held: dict[int, list] = {}  # class -> parameter rows as the driver keeps them: two per class
+    seen: dict[int, list[float]] = {}
     for _ in range(rounds):
-        wide = par.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("comp", "w", *[f"m_{c}" for c in x], *[f"v_{c}" for c in x]))).alias("p"))
-        d = base.join(F.broadcast(wide), "k")  # one row per class
-        logd = lambda i: F.log(F.col("p")[i]["w"]) + V.total([-0.5 * ((F.col(c) - F.col("p")[i][f"m_{c}"]) * (F.col(c) - F.col("p")[i][f"m_{c}"]) / F.col("p")[i][f"v_{c}"] + F.log(F.col("p")[i][f"v_{c}"])) for c in x])
+        wide = par.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("p"))
+        d = base.join(F.broadcast(wide), "k")  # one row per class; frozen classes are left out
+        part = lambda i: F.col("p")[i]
+        logd = lambda i: F.log(part(i)["w"]) + V.total([-0.5 * ((F.col(c) - part(i)[f"m_{c}"]) * (F.col(c) - part(i)[f"m_{c}"]) / part(i)[f"v_{c}"] + F.log(2 * 3.141592653589793 * part(i)[f"v_{c}"])) for c in x])
         d = d.withColumn("l0", logd(0)).withColumn("l1", logd(1))
-        r0 = 1 / (1 + F.exp(F.least(F.col("l1") - F.col("l0"), F.lit(60.0))))
-        d = d.select("k", *x, F.explode(F.array(F.struct(F.lit(0).alias("comp"), r0.alias("r")), F.struct(F.lit(1).alias("comp"), (1 - r0).alias("r")))).alias("q")).select("k", *x, "q.comp", "q.r")
-        s = d.groupBy("k", "comp").agg(F.sum("r").alias("sr"), n_rows("n"), *[F.sum(F.col("r") * F.col(c)).alias(f"s1_{c}") for c in x], *[F.sum(F.col("r") * F.col(c) * F.col(c)).alias(f"s2_{c}") for c in x])
+        top = F.greatest("l0", "l1")
+        d = d.withColumn("ll", top + F.log(F.exp(F.col("l0") - top) + F.exp(F.col("l1") - top)))
+        r0 = F.exp(F.col("l0") - F.col("ll"))
+        q = F.explode(F.array(F.struct(F.lit(0).alias("comp"), r0.alias("r")), F.struct(F.lit(1).alias("comp"), (1 - r0).alias("r"))))
+        d = d.select("k", "ll", *x, q.alias("q")).select("k", "ll", *x, "q.comp", "q.r")
+        sums = [F.sum(F.col("r") * F.col(c)).alias(f"s1_{c}") for c in x] + [F.sum(F.col("r") * F.col(c) * F.col(c)).alias(f"s2_{c}") for c in x]
+        s = d.groupBy("k", "comp").agg(F.sum("r").alias("sr"), n_rows("n"), F.avg("ll").alias("ll"), *sums)
         sr = F.greatest("sr", F.lit(1e-9))
-        par = cut(s.select("k", "comp", (sr / F.col("n")).alias("w"), *[(F.col(f"s1_{c}") / sr).alias(f"m_{c}") for c in x],
-                           *[(F.greatest(F.col(f"s2_{c}") / sr - (F.col(f"s1_{c}") / sr) * (F.col(f"s1_{c}") / sr), F.lit(0.0)) + ridge).alias(f"v_{c}") for c in x]))
-    return par
+        mean = lambda c: F.col(f"s1_{c}") / sr
+        moved = cut(s.select("k", "comp", (sr / F.col("n")).alias("w"), *[mean(c).alias(f"m_{c}") for c in x],
+                             *[(F.greatest(F.col(f"s2_{c}") / sr - mean(c) * mean(c), F.lit(0.0)) + ridge).alias(f"v_{c}") for c in x], "ll"))
+        done = []
+        for r in moved.filter("comp = 0").select("k", "ll").collect():  # one row per class
+            own = seen.setdefault(r["k"], [])
+            own.append(r["ll"])
+            if len(own) > 1 and own[-1] - own[-2] < tolerance:
+                done.append(r["k"])
+        if done:
+            for r in moved.filter(F.col("k").isin(done)).select(*names).collect():
+                held.setdefault(r["k"], []).append(tuple(r))
+        par = moved.filter(~F.col("k").isin(done)).select(*names) if done else moved.select(*names)
+        if len(held) == len(seen):
+            break
+    for r in par.collect() if len(held) < len(seen) else []:
+        held.setdefault(r["k"], []).append(tuple(r))
+    fell = lambda own: max([0.0, *[a - b for a, b in zip(own, own[1:])]])
+    rows = [(*r, seen[k][-1], seen[k][0], fell(seen[k]), len(seen[k])) for k, own in held.items() for r in own]
+    kinds = ", ".join(["k int", "comp int", *[f"{c} double" for c in names[2:]], "ll double", "first_ll double", "fell double", "rounds int"])
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 # ---- pairs of one group ----------------------------------------------------------------------

@@ -257,6 +257,15 @@ def _(t):
     return R6(B.best_threshold(B.sweep(flagged, n, ["part"]), ["part"]), "threshold", "precision", "recall", "f1")
 
 
+@register("a44_pooled_figure", "f_match", SWEEP.format(k="", src="f_match") + f""", own as (select count(*) as n from f_gt where image_id in (select image_id from f_match)), c as (select *, (select n from own)-tp as fn from cu),
+r as (select round(thr,6) as threshold, tp, fp, fn, {_prf('tp','fp','fn')}, 2*(tp/greatest(1,tp+fp))*(tp/greatest(1,tp+fn))/greatest(1e-9,tp/greatest(1,tp+fp)+tp/greatest(1,tp+fn)) as ff from c)
+select threshold, tp, fp, fn, precision, recall, f1, (select count(distinct image_id) from f_match) as pairs, (select n from own) as gt_boxes from r order by ff desc, threshold limit 1""")
+def _(t):
+    """The figure over the candidates of five parts pooled."""
+    pooled = B.pooled_figure(t.pred.withColumn("part", F.col("image_id") % 5), t.gt)
+    return R6(pooled, "threshold", "precision", "recall", "f1")
+
+
 @register("a44_rescoring_ab")
 def _(t):
     # rescoring changes the visit order, so each arm is matched on its own

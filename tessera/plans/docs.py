@@ -53,6 +53,17 @@ def _(t):
     return R6(s.withColumns({x: c(x).cast("bigint") for x in ("min_words", "max_words")}), "avg_words")
 
 
+@register("s17_evidence_run", "f_doc", EVID + """, w as (select len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x<>'')) as w, contains(text,'was NOT provided for this case') as m from ev),
+f as (select string_agg(case_id || '-lost', ', ' order by case_id || '-lost') as failures from (select distinct case_id from ev))
+select count(*) as cases, min(w) as min_words, max(w) as max_words, round(avg(w),6) as avg_words, count(*) filter (m) as cases_with_notice, (select failures from f) as failures from w""")
+def _(t):
+    """A manifest that names a further case without files for every case."""
+    l = listing(t)
+    lost = l.select(F.concat("case_id", F.lit("-lost")).alias("case_id"))
+    s = D.evidence_run(l.select("case_id").unionByName(lost), l)
+    return R6(s.withColumns({x: c(x).cast("bigint") for x in ("min_words", "max_words")}), "avg_words")
+
+
 LANG = "(Mandarin|Cantonese|Chinese|Vietnamese|Arabic|Hindi|Punjabi|Thai|Spanish|Italian|Portuguese)"
 
 
@@ -123,6 +134,16 @@ def _(t):
     return D.split_sections(policy_parts(t)).select("case_id", "section_no", "section", "title", F.md5("text").alias("text_md5"))
 
 
+@register("w10_section_guard", "", "with " + SEC + """, k as (select case_id, count(*) as n from sec group by 1 union all select distinct case_id || '-bare', 0 from sec)
+select case_id, n as sections, n > 150 as passed from k""")
+def _(t):
+    """Every case, and for each a further one whose policy has no heading at all."""
+    parts = policy_parts(t)
+    bare = parts.select(F.concat("case_id", F.lit("-bare")).alias("case_id"), "part_no", F.lit("no heading stands here").alias("text"))
+    both = parts.unionByName(bare)
+    return D.section_guard(both, D.split_sections(both))
+
+
 def citations(t, sections, mult=7):
     """Sections (cp * mult + k * 3) % n for k = 0 .. cp % 3 of every case."""
     n = sections.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))

@@ -149,6 +149,19 @@ def _(t):
     return R6(out.select("discordant", "a_only", "b_only", "p_value", "verdict"), "p_value")
 
 
+@register("a28_best_points", "f_pred_label", """, acc as (select model, case when model = 'c' then 'second' else 'first' end as family, avg(case when pred=y then 1.0 else 0 end) as g from f_pred_label group by model),
+best as (select family, min_by(model, (-g, model)) as model from acc where g > 0 group by family), pa as (select model from best where family='first'), pb as (select model from best where family='second'),
+j as (select a.y, a.pred=a.y as oa, b.pred=b.y as ob from f_pred_label a join f_pred_label b using (row_id) where a.model=(select model from pa) and b.model=(select model from pb)),
+c as (select count(*) as rows, count(*) filter (ob and not oa) as b_only, count(*) filter (oa and not ob) as a_only from j)""" + MCN.replace("select discordant, a_only", "select (select model from pa) as point_a, (select model from pb) as point_b, discordant, a_only"))
+def _(t):
+    """The best of two stored points of one family against the stored point of another."""
+    rows = decided(t)
+    family = F.when(F.col("model") == "c", "second").otherwise("first")
+    points = rows.groupBy(F.col("model").alias("point"), family.alias("family")).agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("group_acc"))
+    out = E.compare_best(rows, points, "first", "second")
+    return R6(out.select("point_a", "point_b", "discordant", "a_only", "b_only", "p_value", "verdict"), "p_value")
+
+
 @register("a29_bootstrap_gain")
 def _(t):
     rows = E.force_class(with_audio(t, decided(t, "a")), "audio_only", [8, 9], 8)

@@ -170,6 +170,14 @@ def _(t):
     return X.mixture_em(z, DENS, "label_id")
 
 
+@register("m05_mixture_invariants", "f_flow", "select label_id as k, 1.0::double as weights, true as rises, true as settled from f_flow where split = 'train' group by label_id")
+def _(t):
+    """Weights of a class add up to one, no round lowers its likelihood, and it settles before the limit of rounds."""
+    z = X.standardise(t.train, DENS, ["flow_id", "label_id"])
+    em = X.mixture_em(z, DENS, "label_id")
+    return em.groupBy("k").agg(F.round(F.sum("w"), 9).alias("weights"), (F.max("fell") < 1e-3).alias("rises"), (F.max("rounds") < 200).alias("settled"))
+
+
 # ---- pairs -----------------------------------------------------------------------------------
 
 @register("j10_pair_counts", "f_group", "select gkey, count(*) as n, count(*)*(count(*)-1)//2 as pairs from f_group where split='train' group by gkey having count(*)>1")
