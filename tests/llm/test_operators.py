@@ -306,21 +306,28 @@ def vectors(spark):
     rows = [(i, rng.normal(0, 0.2, 16).astype("float32").tolist(), 1) for i in range(180)]
     rows += [(50, None, 0), (201, [None] * 16, 0), (202, [float("nan")] * 16, 0), (203, [float("inf")] * 16, 0), (None, [0.1] * 16, 0), (300, [], 0), (301, [], 0), (350, [0.5, 0.5], 0), (400, [0.1] * 16, 0)]
     rows += [(i, rows[100][1], 0) for i in range(500, 520)] + [rows[3], rows[3], (551, [300.0] * 16, 1)]
+    rows += [rows[100], (150, [0.4] * 16, 0)] + [(551, [-5.0] * 16, 1)] * 3  # repeated queries and candidates
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), rows
 
 
+def want_score(whole):
+    """Best score of vector 100."""
+    own = next(v for i, v in whole if i == 100)
+    return max(sum(a * b for a, b in zip(own, v)) for i, v in whole if i == 551 and len(v) == len(own))
+
+
 def test_top_k_is_exact(spark):
     df, rows = vectors(spark)
-    whole = {}
+    whole = []
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            whole[i] = min(whole.get(i, ints), ints)
-    want = set()
-    for q in (i for i in whole if i % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
-    assert {tuple(r) for r in topk.top_inner(df).collect()} == want
+            whole.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    want = Counter()
+    for at, (q, own) in enumerate(whole):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for k, (i, v) in enumerate(whole) if k != at and len(v) == len(own))[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(scores))
+    assert Counter(map(tuple, topk.top_inner(df).collect())) == want and want[100, 1, 551, want_score(whole)] == 2
     assert topk.top_inner(df.limit(0)).collect() == []
 
 
