@@ -10,12 +10,12 @@ import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.draws import unit
-from tessera.operators import evaluate as E
+from tessera.operators import boosting, evaluate as E
 from tessera.operators.ordered import rank_auc
 from tessera.session import cut
 from tessera.vocabulary import APPS, N_CLASSES
@@ -34,14 +34,15 @@ SEED = 42
 # name -> (number of features, number of classes, parameters) -> estimator; the defaults are full budgets
 FAMILIES: dict[str, Callable[[int, int, dict], Estimator]] = {
     "forest": lambda d, k, p: RandomForestClassifier(labelCol="y", seed=SEED, **({"numTrees": 300, "maxDepth": 12} | p)),
-    "boosted": lambda d, k, p: OneVsRest(labelCol="y", classifier=GBTClassifier(labelCol="y", seed=SEED, **({"maxIter": 200, "maxDepth": 4, "stepSize": 0.05} | p))),
     "logistic": lambda d, k, p: LogisticRegression(labelCol="y", family="multinomial", **({"maxIter": 200, "regParam": 0.01} | p)),
     "perceptron": lambda d, k, p: MultilayerPerceptronClassifier(labelCol="y", seed=SEED, layers=[d, p.get("hidden", 64), k],
                                                                  **({"maxIter": 200} | {x: v for x, v in p.items() if x != "hidden"})),
     "linear_svm": lambda d, k, p: OneVsRest(labelCol="y", classifier=LinearSVC(labelCol="y", **({"maxIter": 100, "regParam": 0.01} | p))),
 }
+#: Families without an estimator: boosted trees grow for all classes and folds at once, neighbours are looked up.
+DIRECT = ["boosted", "neighbours"]
 #: Budgets for quick runs; pass one as ``params`` where a query is run often.
-QUICK: dict[str, dict] = {"forest": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 3, "maxDepth": 3}, "logistic": {"maxIter": 20},
+QUICK: dict[str, dict] = {"forest": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 20, "maxDepth": 3, "stepSize": 0.2}, "logistic": {"maxIter": 20},
                           "perceptron": {"maxIter": 20, "hidden": 16}, "linear_svm": {"maxIter": 10}, "neighbours": {}}
 #: Families that measure distances or sums over columns; their columns are scaled by a fit on the training rows.
 SCALED = {"logistic", "perceptron", "linear_svm", "neighbours"}
@@ -92,6 +93,8 @@ def fit_predict(family: str, train: DataFrame, valid: DataFrame, n: int = N_CLAS
     params = dict(params or {})
     if family in SCALED:
         train, valid = scaled(train, valid)
+    if family == "boosted":
+        return boosting.score(boosting.fit(train, n, weight=weight, params=params), valid)
     if family == "neighbours":
         return neighbour_probabilities(train, valid, n, **params)
     dim = len(train.first()["features"]) if family == "perceptron" else 0
@@ -124,6 +127,8 @@ def rows_of(scored: DataFrame, model: str) -> DataFrame:
 
 def out_of_fold(data: DataFrame, family: str, folds: Sequence[int], n: int = N_CLASSES, params: dict | None = None, weight: str | None = None) -> DataFrame:
     """Probability rows of every fold by a model that did not see it."""
+    if family == "boosted":  # one fit grows the models of all folds
+        return cut(rows_of(boosting.score(boosting.fit(data, n, folds, weight, params), data, folds), family))
     parts = [rows_of(fit_predict(family, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f), n, params, weight), family) for f in folds]
     return cut(reduce(lambda a, b: a.unionByName(b), parts))
 
@@ -136,7 +141,13 @@ def oof_record(oof: DataFrame) -> DataFrame:
 
 
 def grid_search(data: DataFrame, family: str, grid: dict[str, Sequence], n: int = N_CLASSES, parallelism: int = 4) -> DataFrame:
-    """One specification per grid point, evaluated over the fold column with fits running side by side."""
+    """One specification per grid point, evaluated over the fold column; families with an estimator fit side by side."""
+    if family in DIRECT:
+        folds = range(data.agg(F.max("fold")).first()[0] + 1)
+        points = [dict(zip(grid, v)) for v in product(*grid.values())]
+        accs = [oof_record(out_of_fold(data, family, folds, n, p)).first()["accuracy_mean"] for p in points]
+        rows = [(family, ",".join(f"{k}={v}" for k, v in sorted(p.items())), float(a)) for p, a in zip(points, accs)]
+        return data.sparkSession.createDataFrame(rows, "model string, params string, group_acc double")
     dim = len(data.first()["features"]) if family == "perceptron" else 0
     est = FAMILIES[family](dim, n, {})
     b = ParamGridBuilder()

@@ -95,7 +95,7 @@ def _(t):
 @register("m13_model_families")
 def _(t):
     d = data(t)
-    rows = reduce(lambda a, b: a.unionByName(b), [M.out_of_fold(d, f, FOLDS, params=Q[f]) for f in [*M.FAMILIES, "neighbours"]])
+    rows = reduce(lambda a, b: a.unionByName(b), [M.out_of_fold(d, f, FOLDS, params=Q[f]) for f in [*M.FAMILIES, *M.DIRECT]])
     return E.summary(E.argmax_rows(rows), ["model"])
 
 
