@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.draws import unit
 from tessera.functions import vectors as V
+from tessera.operators.ordered import SLICE_ROWS
 from tessera.vocabulary import (AUDIO_LIMIT, BANDS, BURST_GAPS, GROUP_BYTES, LABELS, LENGTHS, N_PACKETS, TIMES)
 
 
@@ -86,20 +87,41 @@ def first_packets(packets: DataFrame, key: str, order: Sequence[str], time: str,
     return head.withColumn("relative_time", F.col(time) - start)
 
 
-def burst_table(packets: DataFrame, key: str, index: str, time: str, length: str, thresholds: Sequence[float]) -> DataFrame:
+def burst_rows(packets: DataFrame, key: str, index: str, time: str, length: str, thresholds: Sequence[float], rows: int = SLICE_ROWS) -> DataFrame:
+    """Packets with the gap before them and, for every threshold, the number of their group and whether they start it.
+
+    A flow is cut into slices of ``rows`` packet numbers, so no flow is ordered in one task.  A slice is summed up as its
+    first and last time and its starts; the summaries of a flow, a few rows, give each slice the gap at its border and the
+    number of its open group.  Packets without a number come first; equal numbers go by time, then length.
+    """
+    t = F.col(time)
+    d = packets.select(key, F.struct(index, time, length).alias("__at"), time, length, F.coalesce(F.floor(F.col(index) / rows), F.lit(-1)).alias("__slice"))
+    w = Window.partitionBy(key, "__slice").orderBy("__at")
+    starts = lambda gap: F.array(*[F.coalesce(gap >= x, F.lit(False)).cast("long") for x in thresholds])
+    d = d.withColumn("gap", t - F.lag(time).over(w)).withColumn("__s", starts(F.col("gap")))
+    each = range(len(thresholds))
+    parts = d.groupBy(key, "__slice").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.array(*[F.sum(F.col("__s")[i]) for i in each]).alias("__n"))
+    flow = Window.partitionBy(key).orderBy("__slice")
+    parts = parts.withColumn("__head_gap", F.col("__first")[time] - F.lag(F.col("__last")[time]).over(flow)).withColumn("__head", starts(F.col("__head_gap")))
+    earlier = flow.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array(*[F.coalesce(F.sum(F.col("__n")[i] + F.col("__head")[i]).over(earlier), F.lit(0)) + F.col("__head")[i] for i in each])
+    parts = parts.select(F.col(key).alias("__key"), F.col("__slice").alias("__part"), "__head_gap", "__head", before.alias("__before"))
+    d = d.withColumn("__leads", F.row_number().over(w) == 1).withColumn("__run", F.array(*[F.sum(F.col("__s")[i]).over(w) for i in each]))
+    d = d.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__part")))
+    return d.select(key, F.col("__at")[index].alias(index), time, length, F.when(F.col("__leads"), F.col("__head_gap")).otherwise(F.col("gap")).alias("gap"),
+                    F.when(F.col("__leads"), F.col("__head")).otherwise(F.col("__s")).alias("starts"), F.zip_with("__run", "__before", lambda r, b: r + b).alias("bursts"))
+
+
+def burst_table(packets: DataFrame, key: str, index: str, time: str, length: str, thresholds: Sequence[float], rows: int = SLICE_ROWS) -> DataFrame:
     """Burst groups of each flow for several thresholds, long form, any flow length.
 
-    A gap at or above the threshold starts a new group.
+    A gap at or above the threshold starts a new group.  Groups that cross slices are added up from their parts.
     """
-    w = Window.partitionBy(key).orderBy(index)
-    rows = packets.withColumn("gap", F.col(time) - F.lag(time).over(w))
-    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    starts = F.coalesce(F.col("gap") >= F.col("threshold"), F.lit(False)).cast("int")
-    wt = Window.partitionBy(key, "threshold").orderBy(index)
-    rows = rows.withColumn("start", starts).withColumn("burst", F.sum("start").over(wt))
-    bursts = rows.groupBy(key, "threshold", "burst").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum(length).alias("bytes"),
-        F.sum(F.when(F.col("start") == 1, F.col("gap"))).alias("split_gap"))
+    d = burst_rows(packets, key, index, time, length, thresholds, rows)
+    part = lambda i, x: F.struct(F.lit(x).alias("threshold"), F.col("bursts")[i].alias("burst"), F.when(F.col("starts")[i] == 1, F.col("gap")).alias("split_gap"))
+    d = d.select(key, length, F.inline(F.array(*[part(i, x) for i, x in enumerate(thresholds)])))
+    bursts = d.groupBy(key, "threshold", "burst").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(length).alias("bytes"), F.sum("split_gap").alias("split_gap"))
     return bursts.groupBy(key, "threshold").agg(
         F.count(F.lit(1)).alias("n_groups"), F.max("packets").alias("group_max_packets"),
         F.max("bytes").alias("group_max_bytes"),
