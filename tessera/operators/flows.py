@@ -94,21 +94,22 @@ def burst_rows(packets: DataFrame, key: str, index: str, time: str, length: str,
     first and last time and its starts; the summaries of a flow, a few rows, give each slice the gap at its border and the
     number of its open group.  Packets without a number come first; equal numbers go by time, then length.
     """
-    t = F.col(time)
-    d = packets.select(key, F.struct(index, time, length).alias("__at"), time, length, F.coalesce(F.floor(F.col(index) / rows), F.lit(-1)).alias("__slice"))
-    w = Window.partitionBy(key, "__slice").orderBy("__at")
+    t = F.col("__at")[time]
+    d = packets.select(F.struct(key).alias("__key"), F.struct(index, time, length).alias("__at"), F.coalesce(F.floor(F.col(index) / rows), F.lit(-1)).alias("__slice"))
+    d = d.repartition("__key", "__slice")  # one exchange serves the summaries and the rows
+    w = Window.partitionBy("__key", "__slice").orderBy("__at")
     starts = lambda gap: F.array(*[F.coalesce(gap >= x, F.lit(False)).cast("long") for x in thresholds])
-    d = d.withColumn("gap", t - F.lag(time).over(w)).withColumn("__s", starts(F.col("gap")))
+    d = d.withColumn("gap", t - F.lag(t).over(w)).withColumn("__s", starts(F.col("gap")))
     each = range(len(thresholds))
-    parts = d.groupBy(key, "__slice").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.array(*[F.sum(F.col("__s")[i]) for i in each]).alias("__n"))
-    flow = Window.partitionBy(key).orderBy("__slice")
+    parts = d.groupBy("__key", "__slice").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.array(*[F.sum(F.col("__s")[i]) for i in each]).alias("__n"))
+    flow = Window.partitionBy("__key").orderBy("__slice")
     parts = parts.withColumn("__head_gap", F.col("__first")[time] - F.lag(F.col("__last")[time]).over(flow)).withColumn("__head", starts(F.col("__head_gap")))
     earlier = flow.rowsBetween(Window.unboundedPreceding, -1)
     before = F.array(*[F.coalesce(F.sum(F.col("__n")[i] + F.col("__head")[i]).over(earlier), F.lit(0)) + F.col("__head")[i] for i in each])
-    parts = parts.select(F.col(key).alias("__key"), F.col("__slice").alias("__part"), "__head_gap", "__head", before.alias("__before"))
+    parts = parts.select("__key", "__slice", "__head_gap", "__head", before.alias("__before"))
     d = d.withColumn("__leads", F.row_number().over(w) == 1).withColumn("__run", F.array(*[F.sum(F.col("__s")[i]).over(w) for i in each]))
-    d = d.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__part")))
-    return d.select(key, F.col("__at")[index].alias(index), time, length, F.when(F.col("__leads"), F.col("__head_gap")).otherwise(F.col("gap")).alias("gap"),
+    d = d.join(parts, ["__key", "__slice"])
+    return d.select(F.col("__key")[key].alias(key), *[F.col("__at")[x].alias(x) for x in (index, time, length)], F.when(F.col("__leads"), F.col("__head_gap")).otherwise(F.col("gap")).alias("gap"),
                     F.when(F.col("__leads"), F.col("__head")).otherwise(F.col("__s")).alias("starts"), F.zip_with("__run", "__before", lambda r, b: r + b).alias("bursts"))
 
 
