@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import ordered
 from tessera.operators.flows import gap_rows, gaps, label_text, lens, packet_rows, times
+from tessera.session import cut
 from tessera.vocabulary import (APPS, BANDS, CALLS_TEST, CALLS_TRAIN, FLOW_COLUMNS, N_CLASSES, TIMES)
 
 n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
@@ -252,6 +253,48 @@ def binned_information(df: DataFrame, columns: Sequence[str], bins: int = 10) ->
     return cell.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def digamma(n: Column) -> Column:
+    """Digamma of a whole number from 1: shifted by eight, then the asymptotic series."""
+    z = n + 8.0
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * z * z * z * z) - 1 / (252 * z * z * z * z * z * z)
+    return reduce(lambda a, i: a - 1 / (n + float(i)), range(8), series)
+
+
+def neighbour_information(df: DataFrame, columns: Sequence[str], k: int = 3, rows: int = ordered.SLICE_ROWS) -> DataFrame:
+    """Mutual information between the class and each feature from neighbours on the feature's axis.
+
+    The radius of a row is the distance to its k-th neighbour in its class (all others, if the class has fewer); m counts
+    the rows of any class strictly inside the radius, itself included, or equal to it if the radius is 0.  With n rows, c in
+    the class: digamma(n) + mean(digamma(k) - digamma(c) - digamma(m)), not below 0.  Rows alone in their class, and null or
+    NaN values or classes, take no part; no noise is added to tied values.  A feature without rows gives no row.
+
+    Classes are numbered along the axis in slices; k rows beyond each border are copied, so a window holds one slice.
+    m comes from running counts at both ends of the radius.
+    """
+    axis, rows = ["feature", "label_id"], max(rows, k)
+    long = long_features(df, columns, "label_id").filter(F.col("label_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    sizes = long.groupBy(*axis).agg(n_rows("c")).filter("c > 1")  # features x classes
+    at = ordered.ordinal(long.join(sizes, axis), axis, ["value"], "o", rows)
+    part = lambda o: F.floor(o / rows)
+    at = at.withColumn("own", part(F.col("o"))).withColumn("slice", F.explode(F.array_distinct(F.array(*[part(F.col("o") + x) for x in (-k, 0, k)]))))
+    w = Window.partitionBy(*axis, "slice").orderBy("o")
+    away = [F.abs(f("value", i).over(w) - F.col("value")) for i in range(1, k + 1) for f in (F.lag, F.lead)]
+    near = F.array_sort(F.filter(F.array(*away), lambda x: x.isNotNull()))
+    at = at.withColumn("kk", F.least(F.lit(k), F.col("c") - 1)).withColumn("r", F.try_element_at(near, F.col("kk").cast("int"))).filter("slice = own")  # border copies may lack neighbours
+    # rows of equal value, radius and class are one case with a count
+    cases = at.groupBy(*axis, "c", "kk", "value", "r").agg(n_rows("times"))
+    lo, hi = F.col("value") - F.col("r"), F.col("value") + F.col("r")
+    counts = at.groupBy("feature", "value").agg(n_rows("here"))
+    marks = counts.unionByName(cases.select("feature", F.explode(F.array(lo, hi)).alias("value"), F.lit(0).cast("long").alias("here"))).groupBy("feature", "value").agg(F.sum("here").alias("here"))
+    run = cut(ordered.running_totals(marks, ["feature"], "value", ["here"], rows))
+    left = run.select("feature", F.col("value").alias("lo"), (F.col("here_below") + F.col("here")).alias("upto"), F.col("here").alias("same"))
+    right = run.select("feature", F.col("value").alias("hi"), F.col("here_below").alias("under"))
+    found = cases.withColumn("lo", lo).withColumn("hi", hi).join(left, ["feature", "lo"]).join(right, ["feature", "hi"])
+    found = found.withColumn("m", F.when(F.col("r") == 0, F.col("same")).otherwise(F.greatest(F.col("under") - F.col("upto"), F.lit(1))))
+    term = F.col("times") * (digamma(F.col("kk")) - digamma(F.col("c")) - digamma(F.col("m")))
+    return found.groupBy("feature").agg(F.greatest(digamma(F.sum("times")) + F.sum(term) / F.sum("times"), F.lit(0.0)).alias("mutual_info"))
+
+
 # ---- lookups ---------------------------------------------------------------------------------
 
 def pure_keys(train: DataFrame, key: str, *extra: str) -> DataFrame:

@@ -227,6 +227,22 @@ def _(t):
     return R6(profile.binned_information(t.train, FEAT), "mutual_info")
 
 
+def _digamma_sql(n):
+    z = f"({n}+8.0)"
+    series = f"ln({z})-1/(2*{z})-1/(12*{z}*{z})+1/(120*{z}*{z}*{z}*{z})-1/(252*{z}*{z}*{z}*{z}*{z}*{z})"
+    return "(" + series + "".join(f"-1/({n}+{float(i)})" for i in range(8)) + ")"
+
+
+@register("a40_neighbour_information", "f_flow", f"""
+, l0 as (select row_number() over () as i, feature, label_id, cast(value as double) as value from {FEAT_LONG}), l as (select *, count(*) over (partition by feature, label_id) as c from l0 qualify c > 1),
+d as (select a.feature, a.i, abs(a.value-b.value) as away, row_number() over (partition by a.feature, a.i order by abs(a.value-b.value)) as q from l a join l b on a.feature=b.feature and a.label_id=b.label_id and a.i<>b.i),
+r as (select l.*, least(3, c-1) as kk, d.away as r from l join d on l.feature=d.feature and l.i=d.i and d.q=least(3, l.c-1)),
+m as (select r.feature, r.i, r.c, r.kk, greatest(count(case when r.r=0 and x.value=r.value or r.r>0 and x.value>r.value-r.r and x.value<r.value+r.r then 1 end), 1) as m from r join l x on x.feature=r.feature group by all)
+select feature, round(greatest({_digamma_sql("count(*)")}+avg({_digamma_sql("kk")}-{_digamma_sql("c")}-{_digamma_sql("m")}),0),6) as mutual_info from m group by feature""")
+def _(t):
+    return R6(profile.neighbour_information(t.train, FEAT), "mutual_info")
+
+
 def _key_sql(tol):
     return "concat_ws('-', " + ",".join(f"cast(round_even({c}/{2*tol},0)*{2*tol} as bigint)" if tol else f"cast({c} as bigint)" for c in LN) + ")"
 
