@@ -7,7 +7,7 @@ emitted only in the cell that holds the top-left corner of its intersection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.draws import hash_text, unit
 
+from tessera.operators.ordered import crowded, ordinal
 from tessera.session import cut
 
 GEO = ["x1", "y1", "x2", "y2"]
+#: Boxes of one side up to which an image is paired as one group; images with more go over grid cells and rounds.
+IMAGE_ROWS = 256
 n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
 tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
 
@@ -57,8 +60,41 @@ def geometry_pairs(a: DataFrame, b: DataFrame, cell: float = 64.0) -> DataFrame:
     return j.filter(home & (overlap(px, gx) > 0)).select("image_id", *GEO, *[f"g_{c}" for c in GEO], iou_value(px, gx).alias("iou"))
 
 
+def by_image_size(pred: DataFrame, gt: DataFrame, small: Callable, large: Callable) -> DataFrame:
+    """``small(pred, gt)`` over images with at most ``IMAGE_ROWS`` boxes a side, ``large(pred, gt)`` over the others.
+
+    Most images are small: all their steps share one exchange by image, and nothing is written between them.
+    """
+    sides = [crowded(d.select("image_id"), ["image_id"], IMAGE_ROWS) for d in (pred, gt)]
+    sides = [m for m in sides if m is not None]
+    if not sides:
+        return small(pred, gt)
+    many = reduce(lambda a, b: a.union(b), sides).distinct()
+    part = lambda how: [d.join(many, "image_id", how) for d in (pred, gt)]
+    return small(*part("left_anti")).unionByName(large(*part("left_semi")))
+
+
+def _partners(df: DataFrame, other: DataFrame, *names: str) -> DataFrame:
+    """Rows of ``df`` with ``__near``: the boxes of ``other`` in the same image that intersect it, as (names, iou)."""
+    held = other.groupBy("image_id").agg(F.collect_list(F.struct(*GEO, *names)).alias("__near"))
+    own = {c: F.col(c) for c in GEO}
+    meets = F.filter("__near", lambda g: overlap(own, g) > 0)
+    return df.join(held, "image_id", "left").withColumn("__near", F.transform(meets, lambda g: F.struct(iou_value(own, g).alias("iou"), *[g[n].alias(n) for n in names])))
+
+
 def iou_join(pred: DataFrame, gt: DataFrame, cell: float = 64.0) -> DataFrame:
     """Every intersecting (candidate, truth) pair of an image with its IoU."""
+    return by_image_size(pred, gt, _iou_join_small, lambda p, g: _iou_join_cells(p, g, cell))
+
+
+def _iou_join_small(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    g = gt.select("image_id", "box_id", *[F.col(c).alias(f"g_{c}") for c in GEO])
+    px, gx = {c: F.col(c) for c in GEO}, {c: F.col(f"g_{c}") for c in GEO}
+    pairs = pred.select("image_id", "cand_id", "score", *GEO).join(g, "image_id").filter(overlap(px, gx) > 0)
+    return pairs.select("image_id", "cand_id", "box_id", "score", iou_value(px, gx).alias("iou"))
+
+
+def _iou_join_cells(pred: DataFrame, gt: DataFrame, cell: float) -> DataFrame:
     pairs = geometry_pairs(pred, gt, cell)
     g = gt.select("image_id", "box_id", *[F.col(c).alias(f"g_{c}") for c in GEO])
     p = pred.select("image_id", "cand_id", "score", *GEO)
@@ -75,13 +111,37 @@ def truth_classes(gt: DataFrame) -> DataFrame:
 def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
     """Score-ordered one-to-one matching: candidates in score order take the best free truth box.
 
-    Visiting candidates by score is the same as a stable matching in which every truth box prefers the
-    higher score, so it can run in parallel rounds: each candidate proposes to its best remaining truth,
-    a truth keeps the highest scores it has room for, and every pair below that bar is dropped for good.
-    The rounds end when nothing is dropped; no image is ever gathered in one task.
+    Images with few boxes are visited in this order, one array per image.  In the others it runs as a stable matching in
+    which every truth box prefers the higher score (``_match_rounds``).  Ties: equal scores by lower candidate id, equal
+    IoU by lower truth id (in rounds: by the lowest id of the identical boxes).  ``keys`` are extra columns of ``pred``
+    that separate independent runs.
+    """
+    found = lambda p, g: (_visited(p, g, threshold, keys).filter(F.col("__hit").isNotNull())
+                          .select(*keys, "image_id", "cand_id", F.col("__hit.box_id").alias("box_id"), F.col("__hit.iou").alias("iou")))
+    return by_image_size(pred, gt, found, lambda p, g: _match_rounds(p, g, threshold, keys))
+
+
+def _visited(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
+    """Candidates with ``__hit`` (iou, box_id) or null; needs images that fit an array."""
+    low = lambda e: F.struct(e["iou"].alias("iou"), (-e["box_id"]).alias("low"), e["box_id"].alias("box_id"))
+    edges = F.transform(F.filter("__near", lambda e: e["iou"] >= threshold), low)
+    cand = F.struct(F.col("score").alias("by"), (-F.col("cand_id")).alias("low"), edges.alias("edges"), F.struct(*pred.columns).alias("row"))
+    line = _partners(pred, gt, "box_id").groupBy(*keys, "image_id").agg(F.sort_array(F.collect_list(cand), asc=False).alias("line"))
+    none = F.array().cast(f"array<struct<iou:double,low:bigint,box_id:{gt.schema['box_id'].dataType.simpleString()}>>")
+
+    def visit(hits: Column, c: Column) -> Column:
+        free = F.filter(c["edges"], lambda e: ~F.coalesce(F.array_contains(hits["box_id"], e["box_id"]), F.lit(False)))
+        return F.concat(hits, F.array(F.array_max(free)))
+
+    hits = line.select(F.col("line.row").alias("row"), F.aggregate("line", none, visit).alias("hit"))
+    return hits.select(F.explode(F.arrays_zip("row", "hit")).alias("v")).select("v.row.*", F.col("v.hit").alias("__hit"))
+
+
+def _match_rounds(pred: DataFrame, gt: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
+    """The matching in parallel rounds: each candidate proposes to its best remaining truth, a truth keeps the highest
+    scores it has room for, and every pair below that bar is dropped for good.
 
-    Ties: equal scores by lower candidate id, equal IoU by lower truth id.  ``keys`` are extra columns
-    of ``pred`` that separate independent runs.
+    The rounds end when nothing is dropped; no image is ever gathered in one task.
     """
     keys = list(keys)
     pairs = geometry_pairs(pred, gt).filter(F.col("iou") >= threshold)
@@ -105,8 +165,11 @@ def greedy_match(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: S
 
 def flag_matches(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
     """Candidates with ``tp``."""
-    hit = greedy_match(pred, gt, threshold, keys).select(*keys, "image_id", "cand_id", F.lit(True).alias("tp"))
-    return pred.join(hit, [*keys, "image_id", "cand_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+    def rounds(p: DataFrame, g: DataFrame) -> DataFrame:
+        hit = _match_rounds(p, g, threshold, keys).select(*keys, "image_id", "cand_id", F.lit(True).alias("tp"))
+        return p.join(hit, [*keys, "image_id", "cand_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+
+    return by_image_size(pred, gt, lambda p, g: _visited(p, g, threshold, keys).withColumn("tp", F.col("__hit").isNotNull()).drop("__hit"), rounds)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -182,19 +245,32 @@ def pooled_figure(pred: DataFrame, gt: DataFrame, part: str = "part") -> DataFra
 
 def best_truth(pred: DataFrame, gt: DataFrame, positive: float = 0.35, negative: float = 0.20) -> DataFrame:
     """Best truth per candidate and its band; ties go to the lowest truth id."""
-    pairs = geometry_pairs(pred, gt).join(truth_classes(gt), ["image_id", *[f"g_{c}" for c in GEO]])
-    top = pairs.groupBy("image_id", *GEO).agg(F.max_by(F.struct("iou", F.col("cls").alias("box_id")), F.struct("iou", -F.col("cls"))).alias("m"))
-    out = pred.join(top, ["image_id", *GEO], "left")
+    def small(p: DataFrame, g: DataFrame) -> DataFrame:
+        ranked = F.transform("__near", lambda e: F.struct(e["iou"].alias("iou"), (-e["box_id"]).alias("low"), e["box_id"].alias("box_id")))
+        return _partners(p, g, "box_id").select(*pred.columns, F.array_max(ranked).alias("m"))
+
+    def cells(p: DataFrame, g: DataFrame) -> DataFrame:
+        pairs = geometry_pairs(p, g).join(truth_classes(g), ["image_id", *[f"g_{c}" for c in GEO]])
+        top = pairs.groupBy("image_id", *GEO).agg(F.max_by(F.struct("iou", (-F.col("cls")).alias("low"), F.col("cls").alias("box_id")), F.struct("iou", -F.col("cls"))).alias("m"))
+        return p.join(top, ["image_id", *GEO], "left").select(*pred.columns, "m")
+
     iou = F.coalesce(F.col("m.iou"), F.lit(0.0))
     band = F.when(iou >= positive, "positive").when(iou < negative, "negative").otherwise("ignored")
+    out = by_image_size(pred, gt, small, cells)
     return out.select(*pred.columns, iou.alias("best_iou"), F.col("m.box_id").alias("best_box_id"), band.alias("band"))
 
 
 def best_candidate(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Best IoU per truth box, 0 when nothing overlaps it."""
-    top = geometry_pairs(pred, gt).groupBy("image_id", *[f"g_{c}" for c in GEO]).agg(F.max("iou").alias("best_iou"))
-    top = top.select("image_id", *[F.col(f"g_{c}").alias(c) for c in GEO], "best_iou")
-    return gt.join(top, ["image_id", *GEO], "left").withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
+    def small(p: DataFrame, g: DataFrame) -> DataFrame:
+        return _partners(g, p).select(*gt.columns, F.array_max(F.transform("__near", lambda e: e["iou"])).alias("best_iou"))
+
+    def cells(p: DataFrame, g: DataFrame) -> DataFrame:
+        top = geometry_pairs(p, g).groupBy("image_id", *[f"g_{c}" for c in GEO]).agg(F.max("iou").alias("best_iou"))
+        top = top.select("image_id", *[F.col(f"g_{c}").alias(c) for c in GEO], "best_iou")
+        return g.join(top, ["image_id", *GEO], "left").select(*gt.columns, "best_iou")
+
+    return by_image_size(pred, gt, small, cells).withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
 
 
 def longest_side() -> Column:
@@ -312,17 +388,30 @@ def top_per_image(df: DataFrame, k: int = 40) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hard_negatives(banded: DataFrame, per_positive: int = 8) -> DataFrame:
+def hard_negatives(banded: DataFrame, per_positive: int = 8, sizes: DataFrame | None = None) -> DataFrame:
     """All positives and the best-scored negatives, up to ``per_positive`` per positive (at least that many).
 
-    Negatives are ranked in slices whose number grows with them.
+    Images are ranked in one sort; in images with more rows than one task orders, negatives are ranked in slices.
+    ``sizes`` is any frame with as many rows per image, for where that is cheaper to count.
     """
-    from tessera.operators.ordered import ordinal
-    npos = banded.groupBy("image_id").agg((per_positive * F.greatest(tally(F.col("band") == "positive"), F.lit(1))).alias("quota"))
-    neg = banded.filter("band = 'negative'").withColumn("__neg", -F.col("score"))
-    ranked = ordinal(neg, ["image_id"], ["__neg", "cand_id"], "__r").drop("__neg")
-    kept = ranked.join(npos, "image_id").filter(F.col("__r") < F.col("quota")).drop("__r", "quota")
-    return kept.unionByName(banded.filter("band = 'positive'"))
+    positive, negative = F.col("band") == "positive", F.col("band") == "negative"
+
+    def whole(d: DataFrame) -> DataFrame:
+        # negatives come first, so that their row number is their rank
+        order = Window.partitionBy("image_id").orderBy(negative.desc(), F.desc("score"), "cand_id")
+        d = d.withColumn("__r", F.row_number().over(order)).withColumn("__pos", tally(positive).over(Window.partitionBy("image_id")))
+        return d.filter(positive | (negative & (F.col("__r") <= per_positive * F.greatest("__pos", F.lit(1))))).drop("__r", "__pos")
+
+    def slices(d: DataFrame) -> DataFrame:
+        npos = d.groupBy("image_id").agg((per_positive * F.greatest(tally(positive), F.lit(1))).alias("quota"))
+        ranked = ordinal(d.filter(negative), ["image_id"], [F.desc("score"), "cand_id"], "__r")
+        kept = ranked.join(npos, "image_id").filter(F.col("__r") < F.col("quota")).drop("__r", "quota")
+        return kept.unionByName(d.filter(positive))
+
+    many = crowded((banded if sizes is None else sizes).select("image_id"), ["image_id"])
+    if many is None:
+        return whole(banded)
+    return whole(banded.join(many, "image_id", "left_anti")).unionByName(slices(banded.join(many, "image_id", "left_semi")))
 
 
 # ---- derived data ----------------------------------------------------------------------------

@@ -34,6 +34,22 @@ def ordinal_in_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[str],
             .drop("__start"))
 
 
+def crowded(df: DataFrame, keys: Sequence[str], rows: int = SLICE_ROWS) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, written once; None where there are none."""
+    many = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows).select(*keys))
+    return None if many.isEmpty() else many
+
+
+def ordinal_by_size(df: DataFrame, keys: Sequence[str], slots: Sequence[str], order: Sequence[Column | str], out: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``ordinal_in_slots`` for keys with more than ``rows`` rows only; the others are numbered in one exchange by key."""
+    many = crowded(df, keys, rows)
+    few = df if many is None else df.join(many, list(keys), "left_anti")
+    numbered = few.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
+    if many is None:
+        return numbered
+    return numbered.unionByName(ordinal_in_slots(df.join(many, list(keys), "left_semi"), keys, slots, order, out))
+
+
 def sliced(df: DataFrame, order: Sequence[Column | str], out: str = "__slice", rows: int = SLICE_ROWS) -> DataFrame:
     """Adds a slice number that does not decrease along ``order``; slices hold about ``rows`` rows, whatever the keys.
 

@@ -271,8 +271,9 @@ def _(t):
     # rescoring changes the visit order, so each arm is matched on its own
     c = F.col
     v = ((c("cand_id") * 7 + c("image_id")) % 50 + 50) / 100.0
-    arm = lambda name, s: t.pred.withColumn("score", s).withColumn("arm", F.lit(name)).withColumn("part", c("image_id") % 2)
-    pred = arm("before", c("score")).unionByName(arm("after", F.sqrt(c("score") * v)))
+    # both arms from one row, so that they stay where the image is
+    pred = t.pred.withColumn("part", c("image_id") % 2).withColumn("arm", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    pred = pred.withColumn("score", F.when(c("arm") == "before", c("score")).otherwise(F.sqrt(c("score") * v)))
     flagged = B.flag_matches(pred, t.gt, keys=["arm", "part"])
     n = t.gt.groupBy((c("image_id") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n_gt")).withColumn("arm", F.explode(F.array(F.lit("before"), F.lit("after"))))
     best = B.best_threshold(B.sweep(flagged, n, ["arm", "part"]), ["arm", "part"])
@@ -293,7 +294,7 @@ def _(t):
 n as (select *, row_number() over (partition by image_id order by score desc, cand_id) as r from bt where band='negative')
 select image_id, cand_id, band from n join q using (image_id) where r<=quota union all select image_id, cand_id, band from bt where band='positive'""")
 def _(t):
-    return B.hard_negatives(B.best_truth(t.pred, t.gt), per_positive=1).select("image_id", "cand_id", "band")
+    return B.hard_negatives(B.best_truth(t.pred, t.gt), per_positive=1, sizes=t.pred).select("image_id", "cand_id", "band")
 
 
 @register("w11_fused_boxes")
