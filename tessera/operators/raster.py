@@ -2,40 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators.boxes import GEO
+from tessera.operators.boxes import GEO, IMAGE_ROWS
+from tessera.operators.ordered import crowded
 from tessera.session import cut
 
 tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
 
 
-def _box_rows(boxes: DataFrame, lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column) -> DataFrame:
-    """One row per pixel row of a box: an equi key (image, y) with a short x range as residual."""
-    b = boxes.select("image_id", "box_id", lo_x.alias("__x0"), hi_x.alias("__x1"), lo_y.alias("__y0"), hi_y.alias("__y1"))
-    b = b.filter((F.col("__x1") > F.col("__x0")) & (F.col("__y1") > F.col("__y0")))
-    return b.withColumn("y", F.explode(F.sequence(F.col("__y0"), F.col("__y1") - 1))).drop("__y0", "__y1")
+#: Pixel rows of a band in images with many boxes.
+BAND = 8
+
+
+def _measured(boxes: DataFrame, raster: DataFrame, limits: tuple[Column, Column, Column, Column], aggs: Sequence[Column]) -> DataFrame:
+    """Boxes with aggregates over the pixels inside ``limits`` (x from, y from, x to, y to); a box without pixels stays.
+
+    Pixels stream past the boxes of their image, which are the side that is held: pixels are neither sorted nor broadcast,
+    as the optimiser does not know how many an explode makes.  Images with many boxes meet their pixels by bands of rows.
+    """
+    names = ["__x0", "__y0", "__x1", "__y1"]
+    lim = boxes.withColumns(dict(zip(names, limits)))
+    px = raster.withColumnRenamed("image_id", "__image")
+    x0, y0, x1, y1 = (F.col(n) for n in names)
+    near = (F.col("__image") == F.col("image_id")) & (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
+    collect = lambda j: j.groupBy(*boxes.columns).agg(*aggs)
+
+    def small(b: DataFrame, p: DataFrame) -> DataFrame:
+        return collect(p.join(b.hint("shuffle_hash"), near, "right"))
 
+    def large(b: DataFrame, p: DataFrame) -> DataFrame:
+        b = b.withColumn("__band", F.explode_outer(F.sequence(F.floor(y0 / BAND), F.floor((y1 - 1) / BAND))))
+        return collect(p.withColumn("__own", F.floor(F.col("y") / BAND)).join(b.hint("shuffle_hash"), near & (F.col("__own") == F.col("__band")), "right"))
 
-def _inside(boxes: DataFrame, raster: DataFrame, lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column) -> DataFrame:
-    rows = _box_rows(boxes, lo_x, lo_y, hi_x, hi_y)
-    return rows.join(raster, ["image_id", "y"]).filter((F.col("x") >= F.col("__x0")) & (F.col("x") < F.col("__x1")))
+    many = crowded(boxes, ["image_id"], IMAGE_ROWS)
+    if many is None:
+        return small(lim, px)
+    its = many.withColumnRenamed("image_id", "__image")
+    return (small(lim.join(many, "image_id", "left_anti"), px.join(its, "__image", "left_anti"))
+            .unionByName(large(lim.join(many, "image_id", "left_semi"), px.join(its, "__image", "left_semi"))))
 
 
 def whole(c: str) -> Column:
     return F.col(c).cast("int")
 
 
+def _inked(boxes: DataFrame, raster: DataFrame) -> DataFrame:
+    limits = F.greatest(whole("x1"), F.lit(0)), F.greatest(whole("y1"), F.lit(0)), whole("x2"), whole("y2")
+    ink = _measured(boxes, raster, limits, [F.count("y").alias("__n"), F.avg("t_ink").alias("t_mean"), F.avg("p_ink").alias("p_mean")])
+    return ink.filter("__n > 0").drop("__n")
+
+
 def box_ink(boxes: DataFrame, raster: DataFrame) -> DataFrame:
     """Mean ink of both sides inside each box; boxes without pixels are left out."""
-    px = _inside(boxes, raster, F.greatest(whole("x1"), F.lit(0)), F.greatest(whole("y1"), F.lit(0)), whole("x2"), whole("y2"))
-    return px.groupBy("image_id", "box_id").agg(F.avg("t_ink").alias("t_mean"), F.avg("p_ink").alias("p_mean"))
+    return _inked(boxes, raster).select("image_id", "box_id", "t_mean", "p_mean")
 
 
 def polarity_filter(boxes: DataFrame, raster: DataFrame, limit: float = 3.0) -> DataFrame:
     """Drop deletions (template inked, photo blank) and empty boxes."""
-    ink = box_ink(boxes, raster)
-    return boxes.join(ink, ["image_id", "box_id"]).filter(~((F.col("t_mean") > limit) & (F.col("p_mean") < limit)))
+    return _inked(boxes, raster).filter(~((F.col("t_mean") > limit) & (F.col("p_mean") < limit)))
 
 
 def polarity_counts(ink: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -50,13 +77,11 @@ def snap_to_ink(boxes: DataFrame, raster: DataFrame, w: int, h: int, pad: int =
     lo = lambda c: F.greatest(F.col(c) - pad, F.lit(0.0)).cast("int")
     hi = lambda c, n: F.least(F.col(c) + pad, F.lit(float(n))).cast("int")
     diff = raster.filter(F.abs(F.col("p_ink") - F.col("t_ink")) > limit).select("image_id", "y", "x")
-    px = _inside(boxes, diff, lo("x1"), lo("y1"), hi("x2", w), hi("y2", h))
-    fit = px.groupBy("image_id", "box_id").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("x") - margin[0]).alias("n_x1"), (F.min("y") - margin[1]).alias("n_y1"),
-        (F.max("x") + 1 + margin[2]).alias("n_x2"), (F.max("y") + 1 + margin[3]).alias("n_y2"))
-    j = boxes.join(fit.filter("n >= 3"), ["image_id", "box_id"], "left")
+    j = _measured(boxes, diff, (lo("x1"), lo("y1"), hi("x2", w), hi("y2", h)), [
+        F.count("y").alias("n"), (F.min("x") - margin[0]).alias("n_x1"), (F.min("y") - margin[1]).alias("n_y1"),
+        (F.max("x") + 1 + margin[2]).alias("n_x2"), (F.max("y") + 1 + margin[3]).alias("n_y2")])
     shift = F.greatest(*[F.abs(F.col(f"n_{c}") - F.col(c)) for c in GEO])
-    ok = F.col("n").isNotNull() & (shift <= max_shift)
+    ok = (F.col("n") >= 3) & (shift <= max_shift)
     return j.select("image_id", "box_id", *[F.when(ok, F.col(f"n_{c}").cast("double")).otherwise(F.col(c)).alias(c) for c in GEO], ok.alias("snapped"))
 
 
