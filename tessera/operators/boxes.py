@@ -362,13 +362,13 @@ def training_windows(images: DataFrame, gt: DataFrame, n: int, tile: int, positi
     """Repeatable window sampling: a share of windows centre on a truth box of the image, the rest is uniform.
 
     The box of a window is the one with the smallest hash of (image, window, box): a map-side combined
-    minimum, so an image with many boxes is not gathered.
+    minimum per window, so an image with many boxes is not gathered.  Windows are dealt after the join by image.
     """
-    draws = images.withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("centred", unit(seed, "image_id", "win") < positive)
-    picks = (gt.select("image_id", *GEO, "box_id").withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .groupBy("image_id", "win").agg(F.min_by(F.struct("box_id", *GEO), hash_text(seed, "image_id", "win", "box_id")).alias("p")))
-    d = draws.join(picks, ["image_id", "win"], "left")
+    first = lambda i: F.min_by(F.struct("box_id", *GEO), hash_text(seed, "image_id", f"__w{i}", "box_id"))
+    numbered = gt.select("image_id", *GEO, "box_id", *[F.lit(i).alias(f"__w{i}") for i in range(n)])
+    picks = numbered.groupBy("image_id").agg(F.array(*[first(i) for i in range(n)]).alias("__picks"))
+    d = images.join(picks, "image_id", "left").withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    d = d.withColumn("p", F.get("__picks", F.col("win"))).withColumn("centred", unit(seed, "image_id", "win") < positive)
     use = F.col("centred") & F.col("p").isNotNull()
 
     def start(lo: str, hi: str, size: str, k: int) -> Column:
@@ -465,8 +465,37 @@ def islands(df: DataFrame, cell: float = 16.0) -> DataFrame:
     return split(d, ["image_id", "slab"], "y1", "y2", "block")
 
 
+#: Boxes of a block that are fused without arrays.
+FEW_BOXES = 16
+
+
+def _fuse_few(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sources: int) -> list[tuple]:
+    """``_fuse`` for a handful of boxes, where array steps cost more than they save; the same sums in the same order."""
+    fused: list[list[float]] = []
+    members: list[list[int]] = []
+    for i, (x1, y1, x2, y2) in enumerate(boxes):
+        j, top = -1, 0.0
+        for k, (a1, b1, a2, b2) in enumerate(fused):
+            w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
+            if w > 0 and h > 0:
+                union = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - w * h
+                v = w * h / max(union, 1e-9) if union > 0 else 0.0
+                if v > top:
+                    j, top = k, v
+        if j < 0 or top < iou_thr:
+            fused.append([x1, y1, x2, y2])
+            members.append([i])
+        else:
+            members[j].append(i)
+            total = sum(scores[m] for m in members[j])
+            fused[j] = [sum(boxes[m][c] * scores[m] for m in members[j]) / total for c in range(4)]
+    return _fused_rows(fused, members, scores, n_sources)
+
+
 def _fuse(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sources: int) -> list[tuple]:
     """Running weighted averages over boxes in visiting order; each box meets all fused ones in one array step."""
+    if len(boxes) <= FEW_BOXES:
+        return _fuse_few(boxes, scores, iou_thr, n_sources)
     fused = np.zeros((min(len(boxes), 64), 4))
     members: list[list[int]] = []
     for i, (x1, y1, x2, y2) in enumerate(boxes):
@@ -484,7 +513,10 @@ def _fuse(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sourc
             members[j].append(i)
             total = sum(scores[m] for m in members[j])
             fused[j] = [sum(boxes[m][c] * scores[m] for m in members[j]) / total for c in range(4)]
-    fused = fused[:len(members)].tolist()
+    return _fused_rows(fused[:len(members)].tolist(), members, scores, n_sources)
+
+
+def _fused_rows(fused: list[list[float]], members: list[list[int]], scores: list[float], n_sources: int) -> list[tuple]:
     out = []
     for f, m in zip(fused, members):
         score = sum(scores[i] for i in m) / len(m) * min(len(m), n_sources) / n_sources
@@ -495,14 +527,40 @@ def _fuse(boxes: list[list[float]], scores: list[float], iou_thr: float, n_sourc
 def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFrame:
     """Weighted box fusion.
 
-    The visit order carries state, so each disjoint block is one small sequential unit.  A box alone in
-    its block needs no state and stays in the JVM; the others are hash-partitioned by block, sorted in
-    visit order, and many blocks run in one Arrow batch.
+    The visit order carries state, so each disjoint block is one small sequential unit.  An image with few boxes is such
+    a unit as it stands; the others are cut into blocks, and a box alone in its block needs no state and stays in the JVM.
+    Units are hash-partitioned, sorted in visit order, and many run in one Arrow batch.
     """
+    cols = df.select("image_id", "cand_id", *[F.col(c).cast("double").alias(c) for c in GEO], "score")
+    many = crowded(df.select("image_id"), ["image_id"], IMAGE_ROWS)
+    if many is None:
+        return _fuse_images(cols, n_sources, iou_thr)
+    return (_fuse_images(cols.join(many, "image_id", "left_anti"), n_sources, iou_thr)
+            .unionByName(_fuse_islands(cols.join(many, "image_id", "left_semi"), n_sources, iou_thr)))
+
+
+FUSED = "image_id long, x1 double, y1 double, x2 double, y2 double, score double, members long"
+
+
+def _fuse_images(cols: DataFrame, n_sources: int, iou_thr: float) -> DataFrame:
+    # one row per image, in visit order
+    box = F.struct((-F.col("score")).alias("by"), "cand_id", F.array(*GEO).alias("geo"), "score")
+    line = cols.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("line"))
+    line = line.select("image_id", "line.geo", "line.score")
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, *r) for i, g, s in zip(pdf["image_id"].tolist(), pdf["geo"], pdf["score"])
+                    for r in _fuse([x.tolist() for x in g], s.tolist(), iou_thr, n_sources)]
+            yield pd.DataFrame(rows, columns=["image_id", *GEO, "score", "members"])
+
+    return line.mapInPandas(run, FUSED)
+
+
+def _fuse_islands(cols: DataFrame, n_sources: int, iou_thr: float) -> DataFrame:
     key = ["image_id", "slab", "block"]
     # the candidates feed several steps: written once instead of being computed for each of them
-    cols = cut(df.select("image_id", "cand_id", *[F.col(c).cast("double").alias(c) for c in GEO], "score"))
-    placed = cut(islands(cols))
+    placed = cut(islands(cut(cols)))
     alone = placed.join(placed.groupBy(*key).agg(n_rows("__n")), key)
     single = alone.filter("__n = 1").select(
         "image_id", *GEO, F.least(F.greatest(F.col("score") / n_sources, F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit(1).cast("long").alias("members"))
@@ -537,5 +595,5 @@ def fuse_boxes(df: DataFrame, n_sources: int, iou_thr: float = 0.55) -> DataFram
 
     work = (alone.filter("__n > 1").select(*key, "cand_id", *GEO, "score").repartition(*key)
             .sortWithinPartitions(*key, F.desc("score"), "cand_id"))
-    fused = work.mapInPandas(run, "image_id long, x1 double, y1 double, x2 double, y2 double, score double, members long")
+    fused = work.mapInPandas(run, FUSED)
     return single.unionByName(fused)

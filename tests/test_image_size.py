@@ -70,6 +70,27 @@ def test_numbers_by_size(spark):
         assert got["rn"].tolist() == want
 
 
+def test_fused_images_equal_blocks(spark, sides, monkeypatch):
+    p = spark.createDataFrame(sides[0]).withColumn("score", F.col("score") + 0.01)
+    small = rows(B.fuse_boxes(p, 3), 6)
+    monkeypatch.setattr(B, "FEW_BOXES", 0)
+    assert small == rows(B.fuse_boxes(p, 3), 6)
+    for limit in (20, 0):
+        monkeypatch.setattr(B, "IMAGE_ROWS", limit)
+        assert small == rows(B.fuse_boxes(p, 3), 6)
+
+
+def test_small_images_write_nothing_between_steps(spark, tables):
+    text = plan(B.fuse_boxes(tables.pred, 3))
+    assert "ExistingRDD" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_windows_share_the_exchange_by_image(spark, tables):
+    images = tables.gt.select("image_id").distinct().withColumns({"w": F.lit(500), "h": F.lit(400)})
+    text = plan(B.training_windows(images, tables.gt, 4, 192, seed=3))
+    assert text.count("Exchange hashpartitioning") <= 2
+
+
 # ---- pixels ----------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
