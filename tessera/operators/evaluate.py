@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators import ordered
+from tessera.session import cut
 from tessera.vocabulary import N_CLASSES
 
 n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
@@ -259,7 +260,7 @@ def bootstrap_gain(rows: DataFrame, before: str, after: str, replicates: int = 2
 
 def cluster_quality(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
     """Mean purity, singletons, largest cluster and adjusted Rand index from the contingency counts."""
-    cell = rows.groupBy(cluster, truth).agg(n_rows())
+    cell = cut(rows.groupBy(cluster, truth).agg(n_rows()))  # five figures read the counts
     per = cell.groupBy(cluster).agg(F.max("n").alias("top"), F.sum("n").alias("n"))
     head = per.agg(n_rows("clusters"), F.avg(F.col("top") / F.col("n")).alias("mean_purity"), tally(F.col("n") == 1).alias("singletons"),
                    F.max("n").alias("largest"))

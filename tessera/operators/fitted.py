@@ -303,7 +303,7 @@ def neighbour_pairs(df: DataFrame, group: str, row: str, columns: Sequence[str])
     """
     o = ordinal(df.select(group, row, *columns), [group], [row], "__o")
     nxt = o.select(group, (F.col("__o") - 1).alias("__o"), F.col(row).alias(f"{row}_b"), *[F.col(x).alias(f"b_{x}") for x in columns])
-    j = o.join(nxt, [group, "__o"])
+    j = o.join(nxt.hint("merge"), [group, "__o"])
     return j.select(group, row, f"{row}_b", *[F.abs(F.col(x) - F.col(f"b_{x}")).alias(f"diff_{x}") for x in columns],
                     *[((F.col(x) + F.col(f"b_{x}")) / 2).alias(f"mean_{x}") for x in columns])
 
@@ -316,7 +316,7 @@ def negative_pairs(df: DataFrame, group: str, row: str, columns: Sequence[str],
     out = None
     for i in range(per_row):
         b = seeded_ordinal(base, [], row, seed + 1 + i, "__o").select("__o", F.col(group).alias("__g"), F.col(row).alias(f"{row}_b"), *[F.col(x).alias(f"b_{x}") for x in columns])
-        j = a.join(b, "__o").filter(F.col(group) != F.col("__g"))
+        j = a.join(b.hint("merge"), "__o").filter(F.col(group) != F.col("__g"))
         j = j.select(group, row, f"{row}_b", *[F.abs(F.col(x) - F.col(f"b_{x}")).alias(f"diff_{x}") for x in columns], *[((F.col(x) + F.col(f"b_{x}")) / 2).alias(f"mean_{x}") for x in columns])
         out = j if out is None else out.unionByName(j)
     return out

@@ -260,7 +260,7 @@ def _(t):
 
 @register("m30_same_source_scorer")
 def _(t):
-    g = t.grouped.filter("split = 'train'")
+    g = cut(t.grouped.filter("split = 'train'").select("gkey", "flow_id", *DENS))  # read by both kinds of pairs and the clusters
     pos = fitted.neighbour_pairs(g, "gkey", "flow_id", DENS)
     neg = fitted.negative_pairs(g, "gkey", "flow_id", DENS)
     feats = [f"{k}_{x}" for x in DENS for k in ("diff", "mean")]
@@ -268,7 +268,7 @@ def _(t):
     from tessera.operators.ordered import rank_auc
     auc = rank_auc(scored.filter("not is_train"), [], "score", c("y") == 1)
     labels = raster.connected(g.select(c("flow_id").alias("node")), scored.filter("score >= 0.5").select(c("row_id").alias("a"), c("flow_id_b").alias("b")))
-    quality = E.cluster_quality(labels.join(g.select(c("flow_id").alias("node"), "gkey"), "node"), "label", "gkey")
+    quality = E.cluster_quality(labels.join(g.select(c("flow_id").alias("node"), "gkey").hint("merge"), "node"), "label", "gkey")
     return quality.withColumn("auc", auc.scalar()).withColumn("gate_passed", c("auc") >= 0.75)
 
 
