@@ -332,7 +332,7 @@ def _(t):
 r as (select *, row_number() over (partition by image_id order by score desc, y, x) as rank from n where score=m)
 select image_id, cast(rank as int) as rank, round(score,6) as score, x*4-w/2 as x1, y*4-h/2 as y1, x*4+w/2 as x2, y*4+h/2 as y2 from r where rank<=64 and score>=0.05""")
 def _(t):
-    return R6(X.heatmap_boxes(t.grid), "score")
+    return R6(X.heatmap_boxes(t.grid_tiles), "score")
 
 
 CLOSED = """, m as (select image_id, y, x, case when abs(p_ink-t_ink)>25 then 1 else 0 end as m from f_raster),
@@ -348,4 +348,4 @@ lab as (select image_id, a as id, min(b) as label from reach group by all),
 c as (select image_id, min(x) as x1, min(y) as y1, max(x)+1 as x2, max(y)+1 as y2, count(*) as area from px join lab using (image_id,id) group by image_id, label)
 select image_id, x1, y1, x2, y2, area, round(least(1.0, area/200.0),6) as score from c where area>=12""")
 def _(t):
-    return R6(X.blobs(X.closed_mask(t.raster)), "score")
+    return R6(X.difference_blobs(t.raster_tiles), "score")
