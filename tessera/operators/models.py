@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,7 +23,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.draws import unit
 from tessera.operators import boosting, evaluate as E
@@ -30,6 +32,10 @@ from tessera.session import cut
 from tessera.vocabulary import APPS, N_CLASSES
 
 SEED = 42
+#: Independent fits that run at a time; a fit is a driver loop over jobs that are short where rows are few.
+SIDE_BY_SIDE = 4
+#: Rows that make a task of its own worth while in a fit.
+TASK_ROWS = 4_000
 
 # name -> (number of features, number of classes, parameters) -> estimator; the defaults are full budgets
 FAMILIES: dict[str, Callable[[int, int, dict], Estimator]] = {
@@ -37,7 +43,7 @@ FAMILIES: dict[str, Callable[[int, int, dict], Estimator]] = {
     "logistic": lambda d, k, p: LogisticRegression(labelCol="y", family="multinomial", **({"maxIter": 200, "regParam": 0.01} | p)),
     "perceptron": lambda d, k, p: MultilayerPerceptronClassifier(labelCol="y", seed=SEED, layers=[d, p.get("hidden", 64), k],
                                                                  **({"maxIter": 200} | {x: v for x, v in p.items() if x != "hidden"})),
-    "linear_svm": lambda d, k, p: OneVsRest(labelCol="y", classifier=LinearSVC(labelCol="y", **({"maxIter": 100, "regParam": 0.01} | p))),
+    "linear_svm": lambda d, k, p: OneVsRest(labelCol="y", parallelism=SIDE_BY_SIDE, classifier=LinearSVC(labelCol="y", **({"maxIter": 100, "regParam": 0.01} | p))),
 }
 #: Families without an estimator: boosted trees grow for all classes and folds at once, neighbours are looked up.
 DIRECT = ["boosted", "neighbours"]
@@ -50,7 +56,23 @@ SCALED = {"logistic", "perceptron", "linear_svm", "neighbours"}
 
 def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Feature vectors, unscaled, materialised once; scaling belongs to a fit."""
-    return cut(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.select(*keep, *columns)).select(*keep, "features"))
+    return spread(cut(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.select(*keep, *columns)).select(*keep, "features")), "row_id")
+
+
+def spread(data: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """Materialised rows over as many tasks as their number is worth, two per core at most or as they lie.
+
+    Rows are compact, so their bytes alone would put a fit of a million rows on a few tasks.
+    """
+    parts = min(2 * data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // rows))
+    return data if parts <= data.rdd.getNumPartitions() else cut(data.repartition(parts, key))
+
+
+def side_by_side(spark: SparkSession, run: Callable, items: Sequence, parallelism: int = SIDE_BY_SIDE) -> list:
+    """``run`` of every item in order, some at a time."""
+    jobs = [inheritable_thread_target(spark)(partial(run, x)) for x in items]
+    with ThreadPool(max(min(parallelism, len(jobs)), 1)) as pool:
+        return pool.map(lambda job: job(), jobs, chunksize=1)
 
 
 def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
@@ -129,7 +151,8 @@ def out_of_fold(data: DataFrame, family: str, folds: Sequence[int], n: int = N_C
     """Probability rows of every fold by a model that did not see it."""
     if family == "boosted":  # one fit grows the models of all folds
         return cut(rows_of(boosting.score(boosting.fit(data, n, folds, weight, params), data, folds), family))
-    parts = [rows_of(fit_predict(family, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f), n, params, weight), family) for f in folds]
+    one = lambda f: rows_of(fit_predict(family, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f), n, params, weight), family)
+    parts = side_by_side(data.sparkSession, one, folds)
     return cut(reduce(lambda a, b: a.unionByName(b), parts))
 
 

@@ -95,7 +95,8 @@ def _(t):
 @register("m13_model_families")
 def _(t):
     d = data(t)
-    rows = reduce(lambda a, b: a.unionByName(b), [M.out_of_fold(d, f, FOLDS, params=Q[f]) for f in [*M.FAMILIES, *M.DIRECT]])
+    families = [*M.DIRECT, *reversed(M.FAMILIES)]  # the longest first
+    rows = reduce(lambda a, b: a.unionByName(b), M.side_by_side(t.spark, lambda f: M.out_of_fold(d, f, FOLDS, params=Q[f]), families, 3))
     return E.summary(E.argmax_rows(rows), ["model"])
 
 
