@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.operators import docs as D, retrieval as R
@@ -21,10 +23,15 @@ def nth_vector(t, keyed, at):
 
 def chunks(t, dims=64):
     """Every document as a chunk of its language's corpus, with a stored vector."""
-    d = nth_vector(t, t.table("documents").select(c("lang").alias("corpus"), "doc_id", "text"), c("doc_id"))
+    d = nth_vector(t, texts(t), c("doc_id"))
     return d.withColumn("vector", F.slice("vector", 1, dims))
 
 
+def texts(t):
+    """Every document as a chunk of its language's corpus."""
+    return t.table("documents").select(c("lang").alias("corpus"), "doc_id", "text")
+
+
 def queries(t, dims=64):
     """Every benchmark item, whole, with a stored vector."""
     q = nth_vector(t, t.table("benchmark").select(c("item_id").alias("query_id"), "text", c("text").alias("item")), c("query_id") * 7 + 3)
@@ -59,7 +66,7 @@ def ranked_sql(score, source, k, name="tk", order="desc"):
 
 @register("r01_bm25", "", BM + ", " + ranked_sql("score", "bm", 20) + " select query_id, corpus, doc_id, rank, round(score,6) as score from tk")
 def _(t):
-    return R6(R.bm25(chunks(t).drop("vector"), queries(t)).select("query_id", "corpus", "doc_id", "rank", "score"), "score")
+    return R6(R.bm25(texts(t), queries(t)).select("query_id", "corpus", "doc_id", "rank", "score"), "score")
 
 
 @register("r02_dense_scores", "", BM + "," + dense_sql() + ", " + ranked_sql("dense", "ds", 20) + " select query_id, corpus, doc_id, rank, round(dense,6) as dense from tk")
@@ -145,12 +152,10 @@ fr_{name} as (select alpha, query_id, corpus, min(rank) as fr from tk_{name} joi
 
 @register("a43_hit_rates", "", _grid_sql())
 def _(t):
-    rel = cut(R.containing(chunks(t), queries(t)))
-    out = None
-    for name, dims in ENCODERS.items():
-        rates = R.hit_rates(R.hybrid_top(chunks(t, dims), queries(t, dims), AL, 5), rel).withColumn("encoder", F.lit(name))
-        out = rates if out is None else out.unionByName(rates)
-    return R6(out, "hit_rate")
+    rel = cut(R.containing(texts(t), queries(t)))
+    best = cut(R.hybrid_top(chunks(t), queries(t), AL, 5, list(ENCODERS.values())))
+    parts = [R.hit_rates(best.filter(c("dims") == dims), rel).withColumn("encoder", F.lit(name)) for name, dims in ENCODERS.items()]
+    return R6(reduce(lambda a, b: a.unionByName(b), parts), "hit_rate")
 
 
 @register("a43_phrase_hits", "", BM + "," + dense_sql() + ", " + ranked_sql("0.25*dn+0.75*bn", "fu", 5) + f""",
@@ -160,7 +165,7 @@ select corpus, count(*) filter (phrase_hit) as hits, count(*) as asked from r gr
 def _(t):
     best = R.hybrid_top(chunks(t), queries(t), [0.25], 5)
     ph = queries(t).select("query_id", D.content_tokens(c("text")).alias("phrase"))
-    r = R.phrase_hits(best, chunks(t), ph, ["query_id", "corpus"], 5)
+    r = R.phrase_hits(best, texts(t), ph, ["query_id", "corpus"], 5)
     return r.groupBy("corpus").agg(F.sum(F.when(c("phrase_hit"), 1).otherwise(0)).alias("hits"), F.count(F.lit(1)).alias("asked"))
 
 
@@ -173,5 +178,5 @@ def _(t):
 s as (select corpus, track, body, min(query_id*100+rank) as first from r group by all), n as (select *, 'E'||row_number() over (partition by corpus order by first) as label from s)
 select corpus, query_id, string_agg(label, ', ' order by rank) as pointers from r join n using (corpus, track, body) group by all""")
 def _(t):
-    tracked = chunks(t).select("corpus", "doc_id", "text", (1 + c("doc_id") % 9).cast("int").alias("track"))
-    return R.context_pointers(reranked(t, 0.25, 3).select("query_id", "corpus", "doc_id", "rank").join(tracked, ["corpus", "doc_id"]))
+    tracked = texts(t).withColumn("track", (1 + c("doc_id") % 9).cast("int"))
+    return R.context_pointers(tracked.join(R.few(reranked(t, 0.25, 3).select("query_id", "corpus", "doc_id", "rank")), ["corpus", "doc_id"]))
