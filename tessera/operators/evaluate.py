@@ -58,9 +58,8 @@ def prior_correct(prob_rows: DataFrame, prior: Column) -> DataFrame:
 
 
 def normalise(prob_rows: DataFrame) -> DataFrame:
-    """Rows scaled to sum 1."""
-    d = prob_rows.withColumn("__t", F.aggregate("probs", F.lit(0.0), lambda a, b: a + b))
-    return d.withColumn("probs", F.transform("probs", lambda p: p / F.col("__t"))).drop("__t")
+    """Rows scaled to sum 1; the sum is made once per row, not once per class."""
+    return prob_rows.withColumn("probs", F.aggregate("probs", F.lit(0.0), lambda a, b: a + b, lambda t: F.transform("probs", lambda p: p / t)))
 
 
 def defer_within_pair(prob_rows: DataFrame, margin: float, prior: Column) -> DataFrame:
