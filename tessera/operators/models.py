@@ -199,14 +199,19 @@ def run_specs(data: DataFrame, specs: DataFrame, folds: Sequence[int], n: int =
 
 # ---- composed targets ------------------------------------------------------------------------
 
+def compose(rows: DataFrame, app: str, video: Column) -> DataFrame:
+    """``probs`` as P(app) times P(mode | app), from arrays of one row."""
+    j, parts = rows.withColumn("__v", video), []
+    for a in range(len(APPS)):
+        p, v = F.element_at(app, a + 1), F.element_at("__v", a + 1)
+        parts += [p * (1 - v), p * v]
+    return j.withColumn("probs", F.array(*parts)).drop("__v")
+
+
 def compose_heads(app: DataFrame, video: DataFrame) -> DataFrame:
     """P(app) times P(mode | app): ``app`` has five probabilities, ``video`` one per application."""
     j = app.join(video.select("row_id", F.col("probs").alias("pv")), "row_id")
-    parts = []
-    for a in range(len(APPS)):
-        p, v = F.element_at("probs", a + 1), F.element_at("pv", a + 1)
-        parts += [p * (1 - v), p * v]
-    return j.withColumn("probs", F.array(*parts)).drop("pv")
+    return compose(j, "probs", F.col("pv")).drop("pv")
 
 
 def fold_back(rows: DataFrame) -> DataFrame:
@@ -224,14 +229,15 @@ def fifteen(y: Column, audio_only: Column) -> Column:
 def hierarchical(train: DataFrame, valid: DataFrame, family: str = "forest", params: dict | None = None) -> DataFrame:
     """One application model, and one mode model per application fitted on its own rows."""
     as_y = lambda d, c: d.withColumn("y", c.cast("int"))
-    app = fit_predict(family, as_y(train, F.floor(F.col("y") / 2)), valid, len(APPS), params).select("row_id", "y", "fold", "probs")
-    heads = []
-    for a in range(len(APPS)):
-        own = as_y(train.filter(F.floor(F.col("y") / 2) == a), F.col("y") % 2)
-        heads.append(fit_predict(family, own, valid, 2, params).select("row_id", F.lit(a).alias("a"), F.element_at("probs", 2).alias("v")))
-    video = reduce(lambda x, z: x.unionByName(z), heads).groupBy("row_id").agg(
-        F.array(*[F.max(F.when(F.col("a") == a, F.col("v"))) for a in range(len(APPS))]).alias("probs"))
-    return compose_heads(app, video).withColumn("model", F.lit("hierarchical"))
+    targets = [(as_y(train, F.floor(F.col("y") / 2)), len(APPS))]
+    targets += [(as_y(train.filter(F.floor(F.col("y") / 2) == a), F.col("y") % 2), 2) for a in range(len(APPS))]
+    rows, kept = valid, valid.columns
+    for i, (own, n) in enumerate(targets):  # every model adds its column to the same rows, so none is joined
+        got = fit_predict(family, own, rows.withColumn("__raw", F.col("features")), n, params)
+        kept = [*kept, f"__p{i}"]
+        rows = got.withColumn(f"__p{i}", F.col("probs")).drop("features").withColumnRenamed("__raw", "features").select(*kept)
+    video = F.array(*[F.element_at(f"__p{i + 1}", 2) for i in range(len(APPS))])
+    return compose(rows, "__p0", video).select("row_id", "y", "fold", "probs", F.lit("hierarchical").alias("model"))
 
 
 def mixture_view(train: DataFrame, valid: DataFrame, family: str = "forest", params: dict | None = None) -> DataFrame:
@@ -242,8 +248,8 @@ def mixture_view(train: DataFrame, valid: DataFrame, family: str = "forest", par
 
 def over_folds(data: DataFrame, folds: Sequence[int], view: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Probability rows of every fold by ``view(training rows, held-out rows)``."""
-    parts = [view(data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)).select("row_id", F.col("y").cast("int").alias("y"), "fold", "model", "probs") for f in folds]
-    return cut(reduce(lambda a, b: a.unionByName(b), parts))
+    one = lambda f: view(data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)).select("row_id", F.col("y").cast("int").alias("y"), "fold", "model", "probs")
+    return cut(reduce(lambda a, b: a.unionByName(b), side_by_side(data.sparkSession, one, folds)))
 
 
 # ---- ensembles -------------------------------------------------------------------------------

@@ -25,3 +25,14 @@ def test_fits_run_at_a_time_and_keep_their_order(spark):
 
     assert M.side_by_side(spark, run, [5, 3, 9], 3) == [5, 3, 9]
     assert M.side_by_side(spark, run, []) == []
+
+
+def test_heads_are_added_without_a_join(spark, tables):
+    from tessera.plans.models import Q, data
+    d = data(tables)
+    got = M.hierarchical(d.filter("fold <> 0"), d.filter("fold = 0"), params=Q["forest"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == d.filter("fold = 0").count() and all(abs(sum(r["probs"]) - 1) < 1e-9 and len(r["probs"]) == 10 for r in rows)
+    scaled = M.hierarchical(d.filter("fold <> 0"), d.filter("fold = 0"), "logistic", {"maxIter": 2}).collect()
+    assert len(scaled) == len(rows) and all(abs(sum(r["probs"]) - 1) < 1e-9 for r in scaled)
