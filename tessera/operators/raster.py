@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.operators.boxes import GEO, IMAGE_ROWS
 from tessera.operators.ordered import crowded
-from tessera.session import cut
+from tessera.session import cut, recut
 
 tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
 
@@ -231,18 +231,20 @@ def closed_tiles(raster: DataFrame, limit: float = 25.0, side: int = TILE) -> Da
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``nodes`` (node), ``edges`` (a, b) -> (node, label = smallest node).
 
-    Labels shrink to the smallest neighbour label and then jump to the label of their label, so the
-    rounds grow with the logarithm of the longest chain.  Every round is cut from its lineage.  All sides grow with the
-    rows, so none is broadcast.
+    In a round a node takes the smallest label among its neighbours and hands it on to the node its own label names, so
+    whole regions merge at once; then labels jump to the label of their label.  So the rounds grow with the logarithm of
+    the longest chain, in whatever order its ids lie.  Every round is cut from its lineage and from the planner's size
+    estimate.  All sides grow with the rows, so none is broadcast.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    both = recut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = recut(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(near.hint("merge"), labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        low = cut(low)
+        low = labels.join(near.hint("merge"), labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("m"))
+        told = F.explode(F.array(F.struct("node", "old", "m"), F.struct(F.col("old").alias("node"), F.lit(None).alias("old"), "m"))).alias("t")
+        low = recut(low.select(told).groupBy("t.node").agg(F.min("t.m").alias("label"), F.min("t.old").alias("old")))
         up = low.select(F.col("node").alias("p"), F.col("label").alias("pl"))
-        nxt = cut(low.join(up.hint("merge"), F.col("label") == F.col("p"), "left").select("node", F.least("label", "pl").alias("label"), "old"))
+        nxt = recut(low.join(up.hint("merge"), F.col("label") == F.col("p"), "left").select("node", F.least("label", "pl").alias("label"), "old"))
         moved = nxt.filter("label <> old").limit(1).count()
         labels = nxt.select("node", "label")
         if not moved:
