@@ -23,10 +23,10 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.draws import unit
-from tessera.operators import boosting, evaluate as E
+from tessera.operators import boosting, evaluate as E, neighbours
 from tessera.operators.ordered import rank_auc
 from tessera.session import cut
 from tessera.vocabulary import APPS, N_CLASSES
@@ -100,14 +100,22 @@ def probabilities(scored: DataFrame, n: int) -> DataFrame:
 
 
 def neighbour_probabilities(train: DataFrame, valid: DataFrame, n: int, k: int = 5) -> DataFrame:
-    """Share of each class among the ``k`` nearest training rows, exact, in blocks."""
-    from tessera.operators.retrieval import class_neighbours
-    q = valid.select(F.col("row_id").alias("query_id"), vector_to_array("features").alias("vector"))
-    rows = train.select(F.col("y").cast("int").alias("label"), F.col("row_id").alias("doc_id"), vector_to_array("features").alias("vector"))
-    near = class_neighbours(q, rows, k)
-    best = near.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "doc_id"))).filter(F.col("__r") <= k)
-    votes = best.groupBy(F.col("query_id").alias("row_id")).agg(F.array(*[F.avg(F.when(F.col("label") == c, 1.0).otherwise(0.0)) for c in range(n)]).alias("probs"))
-    return valid.join(votes, "row_id")
+    """Share of each class among the ``k`` nearest training rows, exact."""
+    own = lambda d, side: d.select("row_id", F.col("y").cast("long").alias("y"), F.lit(side).alias("fold"), "features")
+    near = neighbours.other_folds(own(train, 0).unionByName(own(valid, 1)), {1: (0.0, 1.0)}, k)  # as they are scaled
+    return valid.join(near.select("row_id", neighbours.shares("near", n).alias("probs")), "row_id")
+
+
+def neighbour_folds(data: DataFrame, folds: Sequence[int], n: int, k: int = 5) -> DataFrame:
+    """``neighbour_probabilities`` of every fold by the rows of the others, each fold in their scaling; one search serves all."""
+    fit = lambda f: StandardScaler(inputCol="features", outputCol="__scaled", withMean=True).fit(data.filter(F.col("fold") != f))
+    if data.isEmpty():
+        return data.withColumn("probs", F.array().cast("array<double>"))
+    some = [r[0] for r in data.select("fold").distinct().collect()]
+    use = [f for f in folds if set(some) - {f, None}]  # a fold without others has no answers
+    scales = {f: (m.mean.toArray(), np.divide(1.0, m.std.toArray(), out=np.zeros(len(m.std)), where=m.std.toArray() != 0)) for f, m in zip(use, side_by_side(data.sparkSession, fit, use))}
+    near = neighbours.other_folds(data, scales, k)
+    return near.select("row_id", "y", "fold", neighbours.shares("near", n).alias("probs"))
 
 
 def fit_predict(family: str, train: DataFrame, valid: DataFrame, n: int = N_CLASSES, params: dict | None = None, weight: str | None = None) -> DataFrame:
@@ -151,6 +159,8 @@ def out_of_fold(data: DataFrame, family: str, folds: Sequence[int], n: int = N_C
     """Probability rows of every fold by a model that did not see it."""
     if family == "boosted":  # one fit grows the models of all folds
         return cut(rows_of(boosting.score(boosting.fit(data, n, folds, weight, params), data, folds), family))
+    if family == "neighbours":
+        return cut(rows_of(neighbour_folds(data, folds, n, **(params or {})), family))
     one = lambda f: rows_of(fit_predict(family, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f), n, params, weight), family)
     parts = side_by_side(data.sparkSession, one, folds)
     return cut(reduce(lambda a, b: a.unionByName(b), parts))
