@@ -26,6 +26,8 @@ DEFAULTS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "maxBins": 32, "reg
 UNIT = float(1 << 20)
 #: Rounds after which the blocks are written anew with their margins; between, tasks add the newest trees themselves.
 REFRESH = 10
+#: Levels of a tree that are compared column by column.
+LOOKED_AT = 4
 #: Partial tables merged by one task before the last merge.
 FAN_IN = 64
 BLOCK = "bins binary, y binary, weight binary, margin binary"
@@ -43,14 +45,22 @@ class Trees:
 
 def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """Bin = number of borders below the value; NaN lies above all."""
-    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+    return np.array([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], np.uint8).T  # a column lies together
 
 
 def descend(bins: np.ndarray, feature: np.ndarray, border: np.ndarray, levels: int) -> np.ndarray:
     """Node of each row, counted inside its level, after ``levels`` splits."""
-    at = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    for level in range(levels):
+    at = np.zeros(len(bins), np.uint8)
+    columns = bins.T
+    for level in range(min(levels, LOOKED_AT)):  # few nodes: whole columns are compared, each row keeps its own node's answer
+        first = (1 << level) - 1
+        above = np.zeros(len(bins), bool)
+        for node in range(first, 2 * first + 1):
+            above |= (columns[feature[node]] > int(border[node])) & (at == node - first)
+        at = 2 * at + above.view(np.uint8)
+    at = at.astype(np.int64)
+    rows = np.arange(len(bins)) if levels > LOOKED_AT else None
+    for level in range(LOOKED_AT, levels):
         node = at + (1 << level) - 1
         at = 2 * at + (bins[rows, feature[node]] > border[node])
     return at
@@ -109,6 +119,7 @@ def fit(data: DataFrame, n: int, held: Sequence[int | None] = (None,), weight: s
         for b in f.itertuples(index=False):
             y = np.frombuffer(b.y, np.int32)
             bins = np.frombuffer(b.bins, np.uint8).reshape(models, len(y), dim)
+            bins = np.ascontiguousarray(bins.transpose(0, 2, 1)).transpose(0, 2, 1)  # a column lies together
             margin = np.frombuffer(b.margin).reshape(models, len(y), n).copy()
             for m in range(models):
                 add_trees(margin[m], bins[m], newest, m, range(len(rounds)), depth)
@@ -125,14 +136,17 @@ def fit(data: DataFrame, n: int, held: Sequence[int | None] = (None,), weight: s
                     seen = True
                     for m in range(models):
                         use = live[m] > 0
-                        b, w, probs = bins[m][use], live[m][use], softmax(margin[m][use])
+                        b, w, probs = bins[m].T[:, use].T, live[m][use], softmax(margin[m][use])
+                        place = b.T.astype(np.int64) + np.arange(dim)[:, None] * n_bins  # feature, row
+                        still = y[use]
                         for k in range(n):
-                            g = np.rint((probs[:, k] - (y[use] == k)) * w * UNIT)
+                            g = np.rint((probs[:, k] - (still == k)) * w * UNIT)
                             h = np.rint(probs[:, k] * (1 - probs[:, k]) * w * UNIT)
-                            node = descend(b, grown.feature[0, m, k], grown.border[0, m, k], level)
-                            cell = ((node[:, None] * dim + np.arange(dim)) * n_bins + b).ravel()
+                            cell = place
+                            if level:
+                                cell = place + descend(b, grown.feature[0, m, k], grown.border[0, m, k], level) * (dim * n_bins)
                             for i, v in enumerate((g, h)):
-                                total[m * n + k, i] += np.bincount(cell, np.repeat(v, dim), size).astype(np.int64)
+                                total[m * n + k, i] += sum(np.bincount(c, v, size) for c in cell).astype(np.int64)
             if seen:
                 yield pd.DataFrame({"tree": np.arange(models * n, dtype=np.int32), "cells": [c.tobytes() for c in total]})
         return tables
